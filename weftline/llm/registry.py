@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import hyperminhash, packing
 
 
 def queries() -> dict:
     return {
+        "op3_hyperminhash": hyperminhash.op3_hyperminhash,
         "op10_mixture_packing": packing.op10_mixture_packing,
     }
 
