@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import hyperminhash, packing
+from . import hyperminhash, packing, suffix_index
 
 
 def queries() -> dict:
     return {
         "op3_hyperminhash": hyperminhash.op3_hyperminhash,
+        "op7_suffix_index": suffix_index.op7_suffix_index,
         "op10_mixture_packing": packing.op10_mixture_packing,
     }
 
