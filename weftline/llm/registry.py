@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import hyperminhash, packing, suffix_index
+from . import hyperminhash, language_mix, neighbour_vote, packing, suffix_index
 
 
 def queries() -> dict:
     return {
         "op3_hyperminhash": hyperminhash.op3_hyperminhash,
+        "op4_neighbour_vote": neighbour_vote.op4_neighbour_vote,
+        "op6_language_mixture": language_mix.op6_language_mixture,
         "op7_suffix_index": suffix_index.op7_suffix_index,
         "op10_mixture_packing": packing.op10_mixture_packing,
     }
