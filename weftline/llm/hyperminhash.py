@@ -13,10 +13,11 @@ No bucket is capped and none emits all its pairs:
 * documents with equal word sequences are one node from the start;
 * in a bucket every member is compared with the smallest one, and links verified so far
   give components;
-* a bucket that still holds several components is finished in blocks: members
-  outside its largest component are compared, on registers alone, with all members of other
-  components, and only pairs that pass are verified.  Pairs inside a component can't change
-  the result.
+* in a bucket that still holds several components, members outside its largest one are
+  compared, in blocks and on registers alone, with all members of other components; what comes
+  out is not pairs but which document may be linked with which component;
+* such a document meets all members of that component in blocks of bounded text, until
+  one link is verified.  Pairs inside a component can't change the result.
 
 A pair at the threshold misses all bands with probability below 1e-5 and fails the
 estimate with one below 1e-4.
@@ -44,7 +45,9 @@ ROWS_PER_BAND = 4
 #: Standard deviations of the estimate that a pair at the threshold may fall short.
 SLACK = 4.0
 #: Members of one block of a bucket.
-BLOCK = 2048
+BLOCK = 512
+#: Shingles of one side of a block of texts.
+BLOCK_SHINGLES = 1 << 18
 
 SKETCH = "doc_id long, n_shingles long, key binary, bands array<long>"
 
@@ -175,11 +178,8 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, label: str, percent: int, k: int) -> DataFrame:
     """Of the pairs (a, b), those whose full shingle sets are similar enough."""
     pairs = scratch.save(pairs, f"{label}-pairs")
-    need = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    need = texts.join(need, "rep").groupBy("rep", F.xxhash64("text")).agg(F.first("text").alias("text"))  # repeated rows once
-    need = scratch.save(need.select("rep", "text"), f"{label}-texts")
-    both = pairs.join(need.select(F.col("rep").alias("a"), F.col("text").alias("t_a")), "a")
-    both = both.join(need.select(F.col("rep").alias("b"), F.col("text").alias("t_b")), "b")
+    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("t_a")), "a")
+    both = both.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("t_b")), "b")
 
     def run(batches):
         last, last_set = None, set()
@@ -189,82 +189,136 @@ def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, label: str, p
             for i in range(batch.num_rows):
                 if last != b[i].as_py():
                     last, last_set = b[i].as_py(), shingle_set(t_b[i].as_py(), k)
-                one = shingle_set(t_a[i].as_py(), k)
-                inter = len(one & last_set)
-                keep.append(100 * inter >= percent * (len(one) + len(last_set) - inter))
+                keep.append(_similar(shingle_set(t_a[i].as_py(), k), last_set, percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
     return scratch.save(both.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long"), f"{label}-links")
 
 
-def _rest_of_buckets(members: DataFrame, reps: DataFrame, labels: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and can be similar enough.
+def _similar(one: set, other: set, percent: int) -> bool:
+    inter = len(one & other)
+    return 100 * inter >= percent * (len(one) + len(other) - inter)
 
-    ``members``: band, key, rep of all buckets with two rows or more.
+
+def _groups(batches, keys: list[str]):
+    """Tables of rows with equal keys, from batches sorted by them."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ident = np.stack([batch.column(c).to_numpy() for c in keys], 1)
+        cuts = [0, *(np.flatnonzero((ident[1:] != ident[:-1]).any(1)) + 1).tolist(), len(ident)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and held[0][0] != tuple(ident[a]):
+                yield pa.Table.from_batches([p for _, p in held])
+                held = []
+            held.append((tuple(ident[a]), batch.slice(a, b - a)))
+    if held:
+        yield pa.Table.from_batches([p for _, p in held])
+
+
+def _in_blocks(rows: DataFrame, sizes: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of groups, so that each odd row meets each other row in one block (i, j).
+
+    ``sizes`` has odd_blocks and blocks for each group.
+    """
+    rows = rows.join(sizes, on)
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    odd = rows.where("odd = 1").select("*", block("odd_blocks").alias("i"), every("blocks").alias("j"))
+    return odd.unionByName(rows.where("odd = 0").select("*", every("odd_blocks").alias("i"), block("blocks").alias("j")))
+
+
+def _asked(members: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(rep, component): documents and other components that share a bucket and can hold a link.
+
+    ``members``: band, key, rep of all buckets with two rows or more; ``nodes``: rep, component and registers of all documents.
     """
-    rows = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rows = scratch.save(rows, "rest-rows")
+    rows = scratch.save(members.join(nodes.select("rep", "component"), "rep"), "rest-rows")
     sizes = rows.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("band", "key").agg(F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    sizes = scratch.save(sizes.select("band", "key", F.col("top.main").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("odd_blocks")), "rest-sizes")
-    rows = rows.join(sizes, ["band", "key"]).join(reps.select("rep", "n_shingles", "bands"), "rep")
-    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    # an odd member meets every block of members, a member every block of odd ones
-    as_odd = rows.where("component <> main").select("*", F.lit(1).alias("odd"), block("odd_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    as_any = rows.select("*", F.lit(0).alias("odd"), F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("i"), block("blocks").alias("j"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = scratch.save(sizes.select("band", "key", F.col("top.main").alias("main"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("top.n")).alias("odd_blocks")), "rest-sizes")
+    rows = rows.join(sizes.select("band", "key", "main"), ["band", "key"])
+    rows = rows.withColumn("odd", F.lit(0)).union(rows.where("component <> main").withColumn("odd", F.lit(1)))
     keys = ["band", "key", "i", "j"]
-    dealt = as_odd.unionByName(as_any).select(*keys, "odd", "rep", "component", "main", "n_shingles", "bands")
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "odd")
+    dealt = _in_blocks(rows.drop("main"), sizes, ["band", "key"]).join(nodes.select("rep", "n_shingles", "bands"), "rep")
+    dealt = dealt.select(*keys, "odd", "rep", "component", "main", "n_shingles", "bands").repartition(*keys).sortWithinPartitions(*keys)
     least = floor_estimate(percent)
 
-    def compare(group: pa.Table):
-        odd = group.column("odd").to_numpy() == 1
-        if not odd.any() or odd.all():
-            return None
-        rep, comp, n = (group.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-        reg, band = _registers(group.column("bands")), int(group.column("band")[0].as_py())
-        keys = reg.view(np.int64)
-        main, out_a, out_b = group.column("main")[0].as_py(), [], []
-        rest = np.flatnonzero(~odd)
-        r_rep, r_comp, r_n, r_reg, r_keys = rep[rest], comp[rest], n[rest], reg[rest], keys[rest]
-        for x in np.flatnonzero(odd):
-            # of two odd members the larger asks; of several common buckets the first band's counts
-            ok = (r_comp != comp[x]) & ((r_comp == main) | (r_rep < rep[x]))
-            ok &= 100 * np.minimum(r_n, n[x]) >= percent * np.maximum(r_n, n[x])
-            if band:
-                ok[ok] = ~(r_keys[ok, :band] == keys[x, :band]).any(1)
-            at = np.flatnonzero(ok)
-            if len(at):
-                equal = (r_reg[at] == reg[x]).mean(1)
-                at = at[estimate(equal, r_n[at], np.full(len(at), n[x])) >= least]
-                out_a.append(np.full(len(at), rep[x]))
-                out_b.append(r_rep[at])
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else None
-
     def run(batches):
-        held: list = []
-
-        def done(group):
-            found = compare(group)
-            if found is not None and len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
+        for group in _groups(batches, keys):
+            odd = group.column("odd").to_numpy() == 1
+            if not odd.any() or odd.all():
                 continue
-            ident = np.stack([batch.column(c).to_numpy() for c in keys], 1)
-            cuts = [0, *(np.flatnonzero((ident[1:] != ident[:-1]).any(1)) + 1).tolist(), len(ident)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                piece = (tuple(ident[a]), batch.slice(a, b - a))
-                if held and held[0][0] != piece[0]:
-                    yield from done(pa.Table.from_batches([p for _, p in held]))
-                    held = []
-                held.append(piece)
-        if held:
-            yield from done(pa.Table.from_batches([p for _, p in held]))
+            rep, comp, n = (group.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
+            reg, main = _registers(group.column("bands")), group.column("main")[0].as_py()
+            rest, found = np.flatnonzero(~odd), set()
+            for x in np.flatnonzero(odd):
+                # of two odd documents the larger asks
+                ok = (comp[rest] != comp[x]) & ((comp[rest] == main) | (rep[rest] < rep[x]))
+                ok &= 100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])
+                at = rest[ok]
+                if len(at):
+                    equal = (reg[at] == reg[x]).mean(1)
+                    at = at[estimate(equal, n[at], np.full(len(at), n[x])) >= least]
+                    found.update((int(rep[x]), int(c)) for c in np.unique(comp[at]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*sorted(found), strict=True)], ["rep", "component"])
+
+    return scratch.save(dealt.mapInArrow(run, "rep long, component long").distinct(), "asked")
+
+
+def _settled(asked: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int, k: int) -> DataFrame:
+    """Of the asked (rep, component), one verified link (a, b) each, where there is one.
+
+    A component's members and the documents that ask for it meet in blocks of bounded
+    text. In a block, pairs that the registers don't rule out are compared on all hashes of
+    their shingles, and the first that passes is confirmed on the shingles themselves.
+    """
+    odd = asked.select(F.col("component").alias("group"), "rep", F.lit(1).alias("odd"))
+    rest = nodes.join(asked.select("component").distinct(), "component").select(F.col("component").alias("group"), "rep", F.lit(0).alias("odd"))
+    rows = odd.union(rest).join(nodes.select("rep", "n_shingles", "bands"), "rep")
+    rows = scratch.save(rows, "ask-rows")
+    blocks = lambda side: F.ceil(F.sum(F.when(F.col("odd") == side, F.col("n_shingles"))) / BLOCK_SHINGLES).cast("int")
+    sizes = scratch.save(rows.groupBy("group").agg(blocks(1).alias("odd_blocks"), blocks(0).alias("blocks")), "ask-sizes")
+    keys = ["group", "i", "j"]
+    dealt = _in_blocks(rows, sizes, ["group"]).join(texts, "rep")
+    dealt = dealt.select(*keys, "odd", "rep", "n_shingles", "bands", "text").repartition(*keys).sortWithinPartitions(*keys)
+    least = floor_estimate(percent)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        known: dict = {}
+        for group in _groups(batches, keys):
+            odd = group.column("odd").to_numpy() == 1
+            if not odd.any() or odd.all():
+                continue
+            rep, n, text = group.column("rep").to_numpy(), group.column("n_shingles").to_numpy(), group.column("text").to_pylist()
+            reg, rest, links = _registers(group.column("bands")), np.flatnonzero(~odd), []
+            hashes: dict[int, np.ndarray] = {}
+
+            def of(i, hashes=hashes, text=text):
+                if i not in hashes:
+                    hashes[i] = hash_shingles(words_of(text[i]), known, k)
+                return hashes[i]
+
+            for x in np.flatnonzero(odd):
+                at = rest[100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])]
+                if not len(at):
+                    continue
+                guess = estimate((reg[at] == reg[x]).mean(1), n[at], np.full(len(at), n[x]))
+                own = of(x)
+                for i in at[np.argsort(-guess, kind="stable")][: int((guess >= least).sum())]:
+                    other = of(i)
+                    inter = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                    if 100 * inter >= percent * (len(own) + len(other) - inter) and _similar(shingle_set(text[x], k), shingle_set(text[i], k), percent):
+                        links.append((int(rep[x]), int(rep[i])))
+                        break
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*links, strict=True)], ["a", "b"])
+
+    return scratch.save(dealt.mapInArrow(run, "a long, b long"), "ask-links")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
@@ -277,13 +331,17 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, k
     bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = scratch.save(bands.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
     members = scratch.save(bands.join(buckets, ["band", "key"]), "members")
-    texts = docs.join(classes.select(F.col("rep").alias("doc_id"), "key"), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    # repeated rows once; a document that shares no bucket has no link
+    near = members.select("rep").distinct()
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(near, "rep").groupBy("rep", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    texts = scratch.save(texts.select("rep", "text"), "texts")
     star = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     links = verified(likely(star, reps, percent), texts, scratch, "star", percent, k)
-    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    labels = scratch.save(connected_components(edges, scratch, "cc1"), "labels1")
-    rest = _rest_of_buckets(members.select("band", "key", "rep"), reps, labels, scratch, percent)
-    more = verified(rest, texts, scratch, "rest", percent, k)
+    labels = scratch.save(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, "cc1"), "labels1")
+    nodes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    nodes = scratch.save(nodes, "nodes")
+    asked = _asked(members.select("band", "key", "rep"), nodes, scratch, percent)
+    more = _settled(asked, nodes, texts, scratch, percent, k)
     # the first components as stars, joined by the links found since
     edges = labels.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more.select("a", "b"))
     labels = connected_components(edges, scratch, "cc2")

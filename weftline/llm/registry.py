@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import hyperminhash, language_mix, neighbour_vote, packing, suffix_index
+from . import chat, hyperminhash, language_mix, neighbour_vote, packing, suffix_index, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc_transactions": warc.op1_warc_transactions,
+        "op2_chat_format": chat.op2_chat_format,
         "op3_hyperminhash": hyperminhash.op3_hyperminhash,
         "op4_neighbour_vote": neighbour_vote.op4_neighbour_vote,
         "op6_language_mixture": language_mix.op6_language_mixture,
@@ -16,4 +18,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc_transactions": warc.OP1_SQL,
+        "op2_chat_format": chat.OP2_SQL,
+    }
