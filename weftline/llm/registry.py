@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, hyperminhash, language_mix, neighbour_vote, packing, suffix_index, warc
+from . import chat, collision_count, decontaminate, hyperminhash, language_mix, neighbour_vote, packing, suffix_index, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op4_neighbour_vote": neighbour_vote.op4_neighbour_vote,
         "op6_language_mixture": language_mix.op6_language_mixture,
         "op7_suffix_index": suffix_index.op7_suffix_index,
+        "op8_collision_count": collision_count.op8_collision_count,
+        "op9_latent_decontamination": decontaminate.op9_latent_decontamination,
         "op10_mixture_packing": packing.op10_mixture_packing,
     }
 
