@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, collision_count, decontaminate, hyperminhash, language_mix, neighbour_vote, packing, suffix_index, warc
+from . import chat, collision_count, decontaminate, hyperminhash, language_mix, license_lookup, neighbour_vote, packing, suffix_index, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_chat_format": chat.op2_chat_format,
         "op3_hyperminhash": hyperminhash.op3_hyperminhash,
         "op4_neighbour_vote": neighbour_vote.op4_neighbour_vote,
+        "op5_license_lookup": license_lookup.op5_license_lookup,
         "op6_language_mixture": language_mix.op6_language_mixture,
         "op7_suffix_index": suffix_index.op7_suffix_index,
         "op8_collision_count": collision_count.op8_collision_count,
@@ -23,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_transactions": warc.OP1_SQL,
         "op2_chat_format": chat.OP2_SQL,
+        "op5_license_lookup": license_lookup.OP5_SQL,
     }
