@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import table
 
 SLOTS = 1 << 16
 PER_LANGUAGE = 1000
@@ -33,7 +33,7 @@ STEPS = 12
 LEAST_SHARE = 0.02
 
 COUNTS = "lang string, gram int, n long"
-RESULT = "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>"
+RESULT = ", lang_pred string, score double, languages array<string>, shares array<double>"
 
 
 def grams(text: str) -> np.ndarray:
@@ -106,15 +106,20 @@ def select(log_prob: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray, np.
     return best[1], best[2], full
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score, and the selected languages with their shares."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None) -> DataFrame:
+    """doc_id, lang_pred, score, and the selected languages with their shares.
+
+    ``keep``: columns to hand through, instead of doc_id alone.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    keep = keep or ["doc_id"]
+    passed = docs.select(*[F.col(c).cast("long") if c == "doc_id" else F.col(c) for c in keep], F.col("text").cast("string").alias("_text"))
 
     def run(batches):
         langs, log_prob = sent.value
         for batch in batches:
             out = [[] for _ in range(4)]
-            for text in batch.column(1).to_pylist():
+            for text in batch.column("_text").to_pylist():
                 if not langs or not has_letter(text):
                     row = ("und", 0.0, [], [])
                 else:
@@ -123,9 +128,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                     row = (langs[top], float(min(1.0, full[top])), [langs[i] for i in chosen], share.tolist())
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "languages", "shares"])
+            told = [pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *told], [*keep, "lang_pred", "score", "languages", "shares"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, RESULT)
+    return passed.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed.schema if f.name != "_text") + RESULT)
 
 
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
