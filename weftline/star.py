@@ -146,6 +146,8 @@ _folders: list[str] = []
 def _root(spark: SparkSession, label: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         if not _folders:
             _folders.append(tempfile.mkdtemp(prefix="weftline-store-"))
             atexit.register(shutil.rmtree, _folders[0], True)
