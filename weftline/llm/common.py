@@ -5,10 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes that are hashed at once.
+CHUNK = 1 << 20
+
 _local_folder: str | None = None
 _scratches: list["Scratch"] = []
 
@@ -29,6 +34,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_local_folder}"
 
 
+@lru_cache(maxsize=1)
+def hash_tables(n: int = CHUNK + 1024):
+    """A random value for each byte, and powers of an odd base and of its inverse."""
+    rng = np.random.Generator(np.random.PCG64(20240229))
+    values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    base = int(rng.integers(1, 2**62)) * 2 + 1
+    inverse = pow(base, -1, 2**64)
+    power = lambda b: np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(b))]).astype(np.uint64))
+    return values, power(base), power(inverse)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Running sums p of bytes, CHUNK and a little more at most, such that (p[b] - p[a]) * inverse[a] tells data[a:b] apart."""
+    values, power, _ = hash_tables()
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(values[data] * power[: len(data)], out=out[1:])
+    return out
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive lost executors.
 

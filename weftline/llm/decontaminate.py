@@ -4,16 +4,17 @@
 2. The benchmark's passages (PASSAGE words each, overlapping by half) are TF-IDF vectors, and a distributed randomised
    SVD finds the leading RANK right singular vectors of their matrix A: each task sends the
    product of its rows' part of A'A with a narrow matrix, and the parts are summed in a tree.
-3. Documents are searched in overlapping windows of two lengths. The latent vector of a window is a difference of
-   running sums over the words' rows of V, and its cosine with every latent benchmark passage
-   is exact within the latent space.
+3. Documents are searched in overlapping windows of two lengths.  The latent vector of a window is the weighted sum of its
+   words' rows of V, and its cosine with every latent benchmark passage is computed.  Only words of the
+   benchmark have rows: a window that has less than OWN_WEIGHT of its squared weight in them is no
+   candidate, whatever the direction of the rest, and running sums tell such windows apart.
 4. A candidate is checked on its words: the longest common subsequence of the item and the
    text around the window, as a share of the item, and the share of the item's answer found there
    in order.  The answer is the column ``answer`` where the benchmark has one, else the
    item's last words.
 
-Broadcast: RANK rows of SLOTS, and BLOCK benchmark items at a time, a further scan for each further
-block.  Texts are searched whole.
+Broadcast: SLOTS rows of RANK numbers at most, and BLOCK benchmark items at a time, a further scan for each
+further block.  Texts are searched whole.
 
 Defined results: null and empty texts hold nothing; items with fewer than LEAST_WORDS words, null
 texts or null ids are not looked for; rows that share an item_id are one item's several wordings, the best of
@@ -23,30 +24,28 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import CHUNK, hash_tables, mix, prefix_hashes, table
 
-SLOTS = 1 << 14
-RANK = 128
+SLOTS = 1 << 16  # 2 to the power of SLOT_BITS
+RANK = 256
 OVERSAMPLE = 16
 PASSAGE = 48
 #: (words, step) of the windows over documents.
 WINDOWS = ((16, 8), (48, 16))
-#: Cosine from which a window is checked.
-CANDIDATE = 0.35
+#: Part of a window's squared weight in words of the benchmark, and latent cosine, from which it is checked.
+OWN_WEIGHT, CANDIDATE = 0.3, 0.6
 #: Share of an item that is proof in itself, and with the answer found too.
-ALONE, WITH_ANSWER = 0.85, 0.6
+ALONE, WITH_ANSWER = 0.85, 0.7
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 LEAST_WORDS = 8
 BLOCK = 20_000
-#: Words of a document whose latent rows are summed at once.
-STRETCH = 4096
+#: Leading bits of a word's hash by which benchmark words are told from others, and its slot.
+KNOWN_BITS, SLOT_BITS = 22, 16
 
 #: ASCII letters and digits stay, other ASCII becomes a space, bytes of other letters stay.
 _KEEP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -54,32 +53,45 @@ _KEEP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 MATCH = "doc_id long, item_id long, cosine double, lcs double, answer double"
 
 
+def plain(text: str | None) -> bytes:
+    """Lower case with single-byte marks as spaces."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_KEEP)
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_KEEP).split()
+    return plain(text).split()
 
 
-def slots_of(words: list[bytes], known: dict) -> np.ndarray:
-    if len(known) > 1_000_000:
-        known.clear()
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of a plain text's words in order."""
     out = []
-    for w in words:
-        s = known.get(w)
-        if s is None:
-            s = known[w] = zlib.crc32(w) % SLOTS
-        out.append(s)
-    return np.array(out, dtype=np.int64)
+    while text:
+        part = text if len(text) <= CHUNK else text[: text.rfind(b" ", 0, CHUNK) + 1] or text[:CHUNK]
+        text = text[len(part) :]
+        data = np.frombuffer(part, np.uint8)
+        inside = np.zeros(len(data) + 2, dtype=np.int8)
+        inside[1:-1] = (data > 32) & (data != 127)
+        edge = np.flatnonzero(np.diff(inside))
+        a, b = edge[::2], edge[1::2]
+        sums = prefix_hashes(data)
+        out.append(mix((sums[b] - sums[a]) * hash_tables()[2][a]))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.uint16)
 
 
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold each slot's words, and all documents."""
 
     def count(batches):
-        known, n, total = {}, np.zeros(SLOTS + 1, dtype=np.int64), 0
+        n, total = np.zeros(SLOTS + 1, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen = np.zeros(SLOTS + 1, dtype=bool)
-                seen[slots_of(words_of(text), known)] = True
-                n += seen
+                slots = np.sort(slots_of(word_hashes(plain(text))), kind="stable")  # by digits, as they are 16 bits
+                if len(slots):
+                    n[slots[np.concatenate([[True], slots[1:] != slots[:-1]])]] += 1
                 total += 1
         n[SLOTS] = total
         at = np.flatnonzero(n)
@@ -91,7 +103,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return n[:SLOTS], int(n[SLOTS])
 
 
-def passages_of(words: list) -> list[tuple[int, int]]:
+def passages_of(words) -> list[tuple[int, int]]:
     """(start, end) of an item's passages."""
     if len(words) <= PASSAGE:
         return [(0, len(words))]
@@ -100,42 +112,47 @@ def passages_of(words: list) -> list[tuple[int, int]]:
 
 def _vectors(text: str | None, idf: np.ndarray):
     """TF-IDF of an item's passages as (slots, weights), of length 1."""
-    words = words_of(text)
-    if len(words) < LEAST_WORDS:
+    slots = slots_of(word_hashes(plain(text)))
+    if len(slots) < LEAST_WORDS:
         return
-    slots = slots_of(words, {})
-    for a, b in passages_of(words):
+    for a, b in passages_of(slots):
         s, n = np.unique(slots[a:b], return_counts=True)
         x = n * idf[s]
         yield s, x / max(np.linalg.norm(x), 1e-12)
 
 
-def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 3) -> np.ndarray:
-    """Leading right singular vectors (SLOTS, rank) of the matrix of all passages of ``items`` (text)."""
+def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors of the matrix of all passages of ``items`` (text).
+
+    Returns the row of each slot, -1 where no item has its words, and the rows.
+    """
     spark = items.sparkSession
     texts = items.select("text").rdd.map(lambda r: r[0])
-    width = rank + OVERSAMPLE
-    q = np.random.Generator(np.random.PCG64(7)).standard_normal((SLOTS, width)).astype(np.float32)
-    q, _ = np.linalg.qr(q)
+    used = np.array(sorted(texts.flatMap(lambda t: np.unique(slots_of(word_hashes(plain(t)))).tolist()).distinct().collect()), dtype=np.int64)
+    row = np.full(SLOTS, -1, dtype=np.int64)
+    row[used] = np.arange(len(used))
+    width = min(rank + OVERSAMPLE, max(1, len(used)))
+    q = np.random.Generator(np.random.PCG64(7)).standard_normal((len(used), width)).astype(np.float32)
     for i in range(rounds):
-        sent = spark.sparkContext.broadcast((idf, q))
+        q, _ = np.linalg.qr(q)
+        sent = spark.sparkContext.broadcast((idf, row, q))
 
         def part(rows, sent=sent):
-            weight, basis = sent.value
+            weight, row, basis = sent.value
             out = np.zeros(basis.shape, dtype=np.float32)
             for text in rows:
                 for s, x in _vectors(text, weight):
-                    out[s] += np.outer(x, x @ basis[s]).astype(np.float32)
+                    at = row[s]
+                    out[at] += np.outer(x, x @ basis[at]).astype(np.float32)
             yield out
 
         product = texts.mapPartitions(part).treeReduce(lambda a, b: a + b)
-        if i == rounds - 1:  # A'A within the basis
-            value, vector = np.linalg.eigh((q.T @ product).astype(np.float64))
-            top = np.argsort(-value)[:rank]
-            top = top[value[top] > 1e-6]
-            return (q @ vector[:, top]).astype(np.float32)
-        q, _ = np.linalg.qr(product)
-    raise AssertionError("no round")
+        if i < rounds - 1:
+            q = product
+    # A'A within the basis
+    value, vector = np.linalg.eigh((q.T @ product).astype(np.float64))
+    top = np.argsort(-value)[:rank]
+    return row, (q @ vector[:, top[value[top] > 1e-6]]).astype(np.float32)
 
 
 def lcs(item: list, text: list) -> int:
@@ -156,39 +173,54 @@ def lcs(item: list, text: list) -> int:
 class _Index:
     """Latent passages of a block of items, and the items' words."""
 
-    def __init__(self, rows: list[tuple], idf: np.ndarray, v: np.ndarray):
-        self.idf, self.rows_of_v = idf.astype(np.float32), (idf[:, None] * v).astype(np.float32)
+    def __init__(self, rows: list[tuple], idf: np.ndarray, row: np.ndarray, v: np.ndarray):
+        self.idf, self.row = idf.astype(np.float32), row
+        used = np.flatnonzero(row >= 0)
+        self.weighted = np.zeros((len(used), v.shape[1]), dtype=np.float32)
+        self.weighted[row[used]] = idf[used, None] * v[row[used]]
         self.items, latent, owner = [], [], []
         for item_id, text, answer in rows:
             words = words_of(text)
             for s, x in _vectors(text, idf):
-                z = x @ v[s]
+                z = x @ v[row[s]]
                 latent.append(z / max(np.linalg.norm(z), 1e-12))
                 owner.append(len(self.items))
             self.items.append((item_id, words, words_of(answer) or words[-ANSWER_WORDS:]))
+        self.known = np.zeros(1 << KNOWN_BITS, dtype=bool)
+        for _, text, _ in rows:
+            self.known[word_hashes(plain(text)) >> np.uint64(64 - KNOWN_BITS)] = True
         self.latent = np.array(latent, dtype=np.float32).reshape(len(latent), v.shape[1])
         self.owner = np.array(owner, dtype=np.int64)
 
-    def search(self, text: str | None, known: dict):
+    def search(self, text: str | None):
         """(item_id, cosine, lcs, answer) of the items that the text holds."""
-        words = words_of(text)
-        if len(words) < LEAST_WORDS or not len(self.owner):
+        text = plain(text)
+        hashes = word_hashes(text)
+        n = len(hashes)
+        if n < LEAST_WORDS or not len(self.owner):
+            return
+        slots, found = slots_of(hashes), {}
+        # a word that shares its leading bits with a benchmark word counts as one, which the check on words puts right
+        own = self.known[hashes >> np.uint64(64 - KNOWN_BITS)] & (self.row[slots] >= 0)
+        square = self.idf[slots].astype(np.float64) ** 2
+        all_, theirs = (np.concatenate([[0.0], np.cumsum(x)]) for x in (square, square * own))
+        place = np.flatnonzero(own)
+        rows = self.row[slots[place]]
+        for width, step in WINDOWS:
+            begin = np.arange(0, max(1, n - width + step), step)
+            end = np.minimum(begin + width, n)
+            near = np.flatnonzero(theirs[end] - theirs[begin] >= OWN_WEIGHT * (all_[end] - all_[begin]))
+            if not len(near):
+                continue
+            first, last = (np.searchsorted(place, x[near]).tolist() for x in (begin, end))
+            latent = np.stack([self.weighted[rows[a:b]].sum(0) for a, b in zip(first, last, strict=True)])
+            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", latent, latent)), 1e-12)
+            cos = (latent @ self.latent.T) / norm[:, None]
+            for i, p in zip(*np.nonzero(cos >= CANDIDATE), strict=True):
+                found.setdefault(int(self.owner[p]), []).append((int(begin[near[i]]), int(end[near[i]]), float(cos[i, p])))
+        if not found:
             return
-        slots, found = slots_of(words, known), {}
-        longest = max(w for w, _ in WINDOWS)
-        for a in range(0, len(slots), STRETCH):
-            part = slots[a : a + STRETCH + longest]
-            sums = np.zeros((len(part) + 1, self.rows_of_v.shape[1]), dtype=np.float32)
-            np.cumsum(self.rows_of_v[part], axis=0, out=sums[1:])
-            square = np.concatenate([[0], np.cumsum(self.idf[part].astype(np.float64) ** 2)])
-            for width, step in WINDOWS:
-                begin = np.arange(0, max(1, len(part) - width + step), step)
-                end = np.minimum(begin + width, len(part))
-                norm = np.sqrt(np.maximum(square[end] - square[begin], 1e-12)).astype(np.float32)
-                cos = ((sums[end] - sums[begin]) / norm[:, None]) @ self.latent.T
-                for w, p in zip(*np.nonzero(cos >= CANDIDATE), strict=True):
-                    found.setdefault(int(self.owner[p]), []).append((a + int(begin[w]), a + int(end[w]), float(cos[w, p])))
-        best: dict = {}
+        words, best = text.split(), {}
         for i, spots in found.items():
             item_id, item, answer = self.items[i]
             spots.sort()
@@ -201,6 +233,9 @@ class _Index:
                     regions.append([b, e, c])
             for b, e, c in regions:
                 around = words[max(0, b - len(item)) : e + len(item)]
+                there = set(around)
+                if sum(w in there for w in item) < WITH_ANSWER * len(item):  # no order can help
+                    continue
                 share = lcs(item, around) / len(item)
                 if share >= WITH_ANSWER:
                     told = lcs(answer, around) / len(answer)
@@ -221,16 +256,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
         return spark.createDataFrame([], MATCH)
     n, total = frequencies(docs)
     idf = np.log((1 + total) / (1 + n)) + 0.05
-    v = randomised_svd(items, idf, rank)
+    row, v = randomised_svd(items, idf, rank)
     blocks, out = -(-n_items // BLOCK), None
     for block in range(blocks):
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()]
-        sent = spark.sparkContext.broadcast(_Index(rows, idf, v))
+        sent = spark.sparkContext.broadcast(_Index(rows, idf, row, v))
 
         def run(batches, sent=sent):
-            known: dict = {}
             for batch in batches:
-                got = [(doc_id, *m) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in sent.value.search(text, known)]
+                got = [(doc_id, *m) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in sent.value.search(text)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "cosine", "lcs", "answer"])
 

@@ -27,7 +27,6 @@ places; null doc_ids are allowed; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import CHUNK, Scratch, hash_tables, mix, prefix_hashes, table
 
 LENGTH = 200
 GRAM = 64
@@ -43,41 +42,16 @@ GRAM = 64
 BATCHES = 4
 #: Contexts of one gram that are compared in one task.
 HOT = 4096
-#: Bytes worked on at once.
-CHUNK = 1 << 20
 BLOCK_WINDOWS = 1 << 20
 
 ENTRY = "gram long, whole long, row long, start int, windows int"
 
 
-@lru_cache(maxsize=1)
-def _hash_tables(n: int = CHUNK + LENGTH):
-    """A random value for each byte, and powers of an odd base and of its inverse."""
-    rng = np.random.Generator(np.random.PCG64(20240229))
-    values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base = int(rng.integers(1, 2**62)) * 2 + 1
-    inverse = pow(base, -1, 2**64)
-    power = lambda b: np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(b))]).astype(np.uint64))
-    return values, power(base), power(inverse)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def _prefix(data: np.ndarray) -> np.ndarray:
-    values, power, _ = _hash_tables()
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * power[: len(data)], out=out[1:])
-    return out
-
-
 def string_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
     """Hash of every string of ``size`` bytes."""
-    _, _, inverse = _hash_tables()
+    inverse = hash_tables()[2]
     n = len(prefix) - size
-    return _mix((prefix[size:] - prefix[:n]) * inverse[:n])
+    return mix((prefix[size:] - prefix[:n]) * inverse[:n])
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -93,7 +67,7 @@ def entries(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
         return none, none, none, none
-    grams = string_hashes(_prefix(data), gram)
+    grams = string_hashes(prefix_hashes(data), gram)
     order = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     pick = (_sliding_min(order, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = np.arange(len(pick))
@@ -261,7 +235,7 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
                     if not ask["hot"]:
                         out.append((False, ask["gram"], row, a, n, body, None, None))
                         continue
-                    w = string_hashes(_prefix(np.frombuffer(body, np.uint8)), LENGTH).view(np.int64)
+                    w = string_hashes(prefix_hashes(np.frombuffer(body, np.uint8)), LENGTH).view(np.int64)
                     held.append((w, np.full(n, row), np.arange(a, a + n)))
                     size += n
                     if size >= BLOCK_WINDOWS:
@@ -285,8 +259,8 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
         windows = np.array([x[3] for x in group])
         owner = np.repeat(np.arange(len(group)), windows)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + first[owner]
-        hashes = np.concatenate([string_hashes(_prefix(data[p : p + CHUNK]), LENGTH) for p in range(0, max(1, len(data) - LENGTH + 1), CHUNK - LENGTH + 1)])[at]
-        hashes ^= _mix(np.array([x[0] for x in group], dtype=np.int64).view(np.uint64))[owner]
+        hashes = np.concatenate([string_hashes(prefix_hashes(data[p : p + CHUNK]), LENGTH) for p in range(0, max(1, len(data) - LENGTH + 1), CHUNK - LENGTH + 1)])[at]
+        hashes ^= mix(np.array([x[0] for x in group], dtype=np.int64).view(np.uint64))[owner]
         _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         return spans_of(owner, at - first[owner], counts[inverse] > 1, np.array([x[1] for x in group]), np.array([x[2] for x in group]))
 
