@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import collision_count, hyperminhash, suffix_index
+from weftline.llm import collision_count, common, hyperminhash, suffix_index
 from weftline.llm.common import Scratch, connected_components, table
 
 SF = "/root/testdata/sf0.001"
@@ -29,14 +29,17 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [10**6, 0])
+def test_components(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(common, "TASK_EDGES", in_one_task)
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2200)] + [(7, 7)]
     df = spark.createDataFrame(links, "src long, dst long")
     got = {r["node"]: r["component"] for r in connected_components(df, Scratch(spark, "t")).collect()}
     want = components({n for e in links for n in e}, links)
     assert all(want[n] == c for n, c in got.items())
-    assert {n for n in want if sum(want[m] == want[n] for m in want) > 1} <= set(got)
+    sizes = Counter(want.values())
+    assert {n for n in want if sizes[want[n]] > 1} == set(got)
     assert connected_components(spark.createDataFrame([], "src long, dst long"), Scratch(spark, "t")).count() == 0
 
 
@@ -159,6 +162,12 @@ def test_repeats_by_blocks_of_windows(spark, monkeypatch):
     assert repeats(spark, rows) == brute_repeats([(i, t.encode()) for i, t in rows])
 
 
+def test_common_grams_need_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(suffix_index, "HOT_ENTRIES", 3)
+    rows = passages(3)
+    assert repeats(spark, rows) == brute_repeats([(i, t.encode()) for i, t in rows])
+
+
 def test_repeats_edge_cases(spark):
     same = "q" * 50 + "r" * 150 + "s"
     rows = [(1, None), (2, ""), (None, same), (3, same), (4, same), (4, same), (5, "short"), (5, "short")]

@@ -11,7 +11,9 @@ pick suffixes that agree, and a run of windows that pick one suffix is one entry
 Documents come in batches.  A batch's entries are sorted into an index of their own
 (a table bucketed and sorted by gram, so that scanning two levels is a merge join without
 exchange), which is merge-scanned against itself and against every level; entries whose gram recurs
-are put out from both sides.  Then levels of equal size merge, as digits carry in a
+are put out from both sides.  A gram with more entries than half a bucket of its batch, of which
+there can be no more than twice as many as buckets, recurs for certain: its entries are
+put out at once, in this batch and all later ones, and no bucket has to hold them.  Then levels of equal size merge, as digits carry in a
 binary counter, so each entry is rewritten a logarithmic number of times.
 
 Of the entries put out, those with equal ``whole`` repeat in all their windows.  The others
@@ -27,6 +29,7 @@ places; null doc_ids are allowed; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ GRAM = 64
 BATCHES = 4
 #: Contexts of one gram that are compared in one task.
 HOT = 4096
+#: Entries of one gram in a batch from which it can count as common.
+HOT_ENTRIES = 1000
 BLOCK_WINDOWS = 1 << 20
 
 ENTRY = "gram long, whole long, row long, start int, windows int"
@@ -130,6 +135,8 @@ class SuffixIndex:
         self.scratch, self.spark = scratch, scratch.spark
         self.levels: dict[int, str] = {}
         self.count = 0
+        self.hot: set[int] = set()
+        self.put_out: list[str] = []
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, df: DataFrame) -> str:
@@ -145,24 +152,34 @@ class SuffixIndex:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Index a batch; entries, new or old, whose gram recurs because of it."""
-        own = self._write(batch)
+        rows = self.scratch.save(batch, f"batch{self.count}")
+        limit = max(HOT_ENTRIES, rows.count() // (2 * self.buckets))
+        fresh = {r["gram"] for r in rows.groupBy("gram").count().where(F.col("count") > limit).select("gram").collect()} - self.hot
+        self.hot |= fresh
+        frame = lambda grams: F.broadcast(self.spark.createDataFrame([(g,) for g in sorted(grams)], "gram long"))
+        own = self._write(rows.join(frame(self.hot), "gram", "left_anti"))
         run = self.spark.table(own)
         grams = run.groupBy("gram").agg((F.count(F.lit(1)) > 1).alias("twice"))
+        certain = rows.join(frame(self.hot), "gram", "left_semi")
         found = []
         old = None
         for name in self.levels.values():
             level = self.spark.table(name)
             found.append(level.join(grams.select("gram"), "gram", "left_semi"))
+            if fresh:  # entries from before the gram was common
+                found.append(level.join(frame(fresh), "gram", "left_semi"))
             keys = level.select("gram").distinct()
             old = keys if old is None else old.unionByName(keys)
         recurs = grams.where("twice").select("gram")
         if old is not None:
             recurs = recurs.union(old.join(grams.select("gram"), "gram", "left_semi")).distinct()
-        found.append(run.join(recurs, "gram", "left_semi"))
+        found += [run.join(recurs, "gram", "left_semi"), certain]
         out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)
         out = self.scratch.save(out, f"found{self.count}")
+        self.put_out.append(f"found{self.count}")
+        self.scratch.drop(f"batch{self.count - 1}")
         size, merged = 0, [own]
         while size in self.levels:
             merged.append(self.levels.pop(size))
@@ -314,12 +331,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) ->
     """(row, spans): spans of UTF-8 bytes that recur; ``row`` is a hash of doc_id and text."""
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     index = SuffixIndex(scratch)
-    found = None
-    for i in range(batches):
-        batch = index.add(suffixes(docs.where(F.pmod("row", F.lit(batches)) == i)))
-        found = batch if found is None else found.unionByName(batch)
+    parts = [index.add(suffixes(docs.where(F.pmod("row", F.lit(batches)) == i))) for i in range(batches)]
     index.close()
-    found = scratch.save(found.distinct(), "found")
+    found = scratch.save(reduce(DataFrame.unionByName, parts).distinct(), "found")
+    scratch.drop(*index.put_out)
     classes = found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "windows")).alias("one"))
     classes = scratch.save(classes, "classes")
     # equal contexts: all their windows recur
