@@ -220,6 +220,13 @@ def test_rewrites_change_plans_and_not_rows(spark):
         assert trusted._jdf.queryExecution().optimizedPlan().toString().count("Join ") == joins
 
 
+def test_frames_and_identities(spark):
+    e = star_engine(spark, SF)
+    one, two = e.frames([{"op": "query", "entity": "Region"}, {"op": "query", "entity": "Nation", "aggregate": {"fn": "count"}}])
+    assert (one.count(), two.first()[0]) == (5, 25)
+    assert [r["c_custkey"] for r in e.identities("Customer", 3).collect()] == [0, 1, 2]
+
+
 def test_deep_scope(spark):
     m, catalog = star_mapping(), ParquetCatalog(spark, SF, CASTS)
     op = {"op": "query", "entity": "LineItem", "relations": [{"rel": "lineOfOrder", "entity": "Order"}], "aggregate": {"fn": "count"}}

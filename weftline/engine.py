@@ -77,6 +77,15 @@ class Engine:
             raise CompileError("only a query is a frame")
         return Compiler(self.mapping, self.source.table, self.scope(identity), self.trust()).query(operation)
 
+    def frames(self, batch: list[dict], identity=None) -> list[DataFrame]:
+        """Every query of a batch as a DataFrame."""
+        return [self.frame(raw, identity) for raw in batch]
+
+    def identities(self, entity: str, n: int = 20) -> DataFrame:
+        """The first rows of the identity entity by key, to choose from."""
+        t = self.mapping.table(entity)
+        return self.source.table(t.name).orderBy(t.primary_key).limit(n)
+
     def execute(self, batch: list[dict], identity=None) -> Result:
         """Run all operations, or none if one fails.  Failures are text, never exceptions."""
         errors = validate(batch, self.mapping, self.actions)

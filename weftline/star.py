@@ -134,7 +134,7 @@ READS: dict[str, tuple[Callable, str]] = {
     "q_scope_anchor_fk": (_read(7, entity="Order", filters={"status": "F"}), f"SELECT {_ORDERS} FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7"),
     "q_scope_none": (_read(7, entity="Part", filters={"size": 5}, fields=["part_key"]), "SELECT p_partkey FROM part WHERE p_size = 5"),
     "q_scope_agg": (_read(7, entity="Order", aggregate={"fn": "sum", "field": "total"}), f"SELECT {_sum('o_totalprice')} AS sum FROM orders WHERE o_custkey = 7"),
-    "q_identities": (lambda spark, sf_dir: ParquetCatalog(spark, sf_dir).table("customer").select("c_custkey", "c_name").orderBy("c_custkey").limit(20), "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20"),
+    "q_identities": (lambda spark, sf_dir: star_engine(spark, sf_dir).identities("Customer").select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20"),
 }
 
 
