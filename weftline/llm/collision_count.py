@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, table
+from .common import Scratch, connected_components, smallest_reachable, table
 
 COSINE = 0.9
 PROJECTIONS = 32
@@ -72,19 +72,6 @@ def least_count(m: int, cover: float = COVER, recall: float = RECALL) -> int:
     return m
 
 
-def _forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable over the edges (a, b)."""
-    root = np.arange(nodes)
-    while True:
-        low = np.minimum(root[a], root[b])
-        if (root[a] == root[b]).all():
-            return root
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while (root[root] != root).any():
-            root = root[root]
-
-
 def compare(left: np.ndarray, right: np.ndarray | None, weight_left: np.ndarray, weight_right: np.ndarray | None, cosine: float = COSINE):
     """Links between two bands of unit vectors, or within one.
 
@@ -135,7 +122,7 @@ def compare(left: np.ndarray, right: np.ndarray | None, weight_left: np.ndarray,
             np.add.at(links[0] if same else links[1], b, weight_left[a])
             # the forest so far and the new links
             seen = np.flatnonzero(root != np.arange(len(root)))
-            root = _forest(len(root), np.concatenate([seen, a]), np.concatenate([root[seen], b + shift]))
+            root = smallest_reachable(np.concatenate([seen, a]), np.concatenate([root[seen], b + shift]), len(root))
     return links, root
 
 
@@ -155,7 +142,8 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE) -
     for size, group in sample.groupby("size"):
         x = np.stack(group["embedding"].to_numpy())
         x = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-        lead[int(size)] = np.linalg.eigh(np.cov(x.T).reshape(size, size))[1][:, -1]
+        x = x - x.mean(0)
+        lead[int(size)] = np.linalg.eigh(x.T @ x)[1][:, -1]
     sent = spark.sparkContext.broadcast(lead)
 
     def unit(batches):
@@ -225,3 +213,18 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE) -
 
 def op8_collision_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark, "op8"))
+
+
+#: The same rows by plain SQL, for small tables.
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (
+  SELECT r, vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach(r, other) AS (SELECT r, r FROM v UNION SELECT reach.r, b FROM reach JOIN l ON a = other),
+c AS (SELECT reach.r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = other GROUP BY 1),
+m AS (SELECT a AS r, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v LEFT JOIN m ON m.r = v.r LEFT JOIN c ON c.r = v.r
+"""

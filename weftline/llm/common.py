@@ -8,9 +8,15 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task turns into components by itself; more go through distributed rounds.
+TASK_EDGES = 1_000_000
+
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
 
@@ -24,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     global _local_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="weftline-")
     return f"file://{_local_folder}"
@@ -58,6 +66,46 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_hashes(text: bytes, space: np.ndarray) -> np.ndarray:
+    """64-bit hashes of a text's words in order; ``space`` tells for each byte whether it parts words."""
+    data, at, out = np.frombuffer(text, np.uint8), 0, []
+    while at < len(data):
+        part = data[at : at + CHUNK]
+        if len(part) == CHUNK:
+            ends = np.flatnonzero(space[part])
+            if not len(ends):  # a word that is longer than what is hashed at once
+                end = at + CHUNK
+                while end < len(data) and not space[data[end : end + CHUNK]].any():
+                    end += CHUNK
+                end = min(len(data), end + int(np.argmax(space[data[end : end + CHUNK]])) if end < len(data) else end)
+                out.append(np.array([xxhash.xxh3_64_intdigest(text[at:end])], dtype=np.uint64))
+                at = end
+                continue
+            part = part[: int(ends[-1]) + 1]  # up to the end of a word
+        at += len(part)
+        inside = np.zeros(len(part) + 2, dtype=np.int8)
+        inside[1:-1] = ~space[part]
+        edge = np.flatnonzero(np.diff(inside))
+        a, b = edge[::2], edge[1::2]
+        sums = prefix_hashes(part)
+        out.append(mix((sums[b] - sums[a]) * hash_tables()[2][a]))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = 1 << 22):
+    """Parts of a batch whose texts in ``column`` have ``limit`` bytes together at most, or one row.
+
+    Workers then hold a few megabytes of Python objects at a time, however large the batch.
+    """
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    at = 0
+    total = np.cumsum(sizes)
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, limit + (total[at - 1] if at else 0), "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive lost executors.
 
@@ -99,11 +147,42 @@ def _forget() -> None:
 def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 
-    ``edges`` has long columns ``src`` and ``dst``.  Alternates the large-star and
+    ``edges`` has long columns ``src`` and ``dst``.  Up to TASK_EDGES edges are a few megabytes, which
+    one executor task turns into components.  Beyond that, alternates the large-star and
     small-star steps until the edge set stops changing.  Both steps are a
     map-side-combined minimum by node joined back to the edges, so a hub's
     edges are never gathered in one place; adaptive execution splits a hub's partition.
     """
+    now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    now = scratch.save(now, f"{label}-0")
+    if now.count() <= TASK_EDGES:
+        return scratch.save(now.coalesce(1).mapInArrow(_components_of, "node long, component long"), label)
+    return _rounds(now, scratch, label)
+
+
+def smallest_reachable(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """For each of the nodes 0 .. nodes - 1 the smallest one reachable over the edges (a, b)."""
+    root = np.arange(nodes)
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _components_of(batches):
+    pairs = [(x.column("u").to_numpy(), x.column("v").to_numpy()) for x in batches]
+    if pairs:
+        u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = smallest_reachable(at[: len(u)], at[len(u) :], len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "component"])
+
+
+def _rounds(now: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """Components of the edges (u, v), u > v, by large-star and small-star steps."""
 
     def smallest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
@@ -112,8 +191,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
         row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         return row["n"], row["h"]
 
-    now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    now, before, turn = scratch.save(now, f"{label}-0"), None, 0
+    before, turn = None, 0
     seen = state(now)
     while seen != before and seen[0]:
         turn += 1

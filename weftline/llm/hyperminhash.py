@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, table
+from .common import Scratch, connected_components, slices, table, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -47,7 +47,10 @@ SLACK = 4.0
 #: Members of one block of a bucket.
 BLOCK = 512
 #: Shingles of one side of a block of texts.
-BLOCK_SHINGLES = 1 << 18
+BLOCK_SHINGLES = 1 << 16
+
+#: ASCII white space parts words.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 SKETCH = "doc_id long, n_shingles long, key binary, bands array<long>"
 
@@ -102,23 +105,18 @@ def floor_estimate(percent: int = PERCENT, registers: int = REGISTERS) -> float:
     return s - SLACK * (s * (1 - s) / registers) ** 0.5
 
 
-def hash_shingles(words: list[bytes], known: dict, k: int = WORDS) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's shingles."""
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if len(known) > 1_000_000:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    h = np.array(out, dtype=np.uint64)
-    n = max(1, len(h) - k + 1)
-    s = np.full(n, np.uint64(len(words) if len(words) < k else k))
-    for i in range(min(k, len(h))):
-        s = s * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+def word_hashes_of(text: str | None) -> np.ndarray:
+    return word_hashes((text or "").encode("utf-8", "surrogatepass").lower(), _SPACE)
+
+
+def hash_shingles(words: np.ndarray, k: int = WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of a text, given its words' hashes."""
+    if not len(words):
+        return words
+    n = max(1, len(words) - k + 1)
+    s = np.full(n, np.uint64(min(len(words), k)))
+    for i in range(min(k, len(words))):
+        s = s * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
         s ^= s >> np.uint64(29)
     s *= np.uint64(0xBF58476D1CE4E5B9)
     s ^= s >> np.uint64(32)
@@ -130,24 +128,21 @@ def sketches(docs: DataFrame, k: int = WORDS) -> DataFrame:
     mult = multipliers()
 
     def run(batches):
-        known: dict = {}
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                counts, keys, bands = [], [], []
-                for text in texts[at : at + 256]:
-                    words = words_of(text)
-                    s = hash_shingles(words, known, k)
-                    counts.append(len(s))
-                    keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    if not len(s):
-                        bands.append(None)
-                        continue
-                    low = np.full(len(mult), np.uint64(2**64 - 1))
-                    for b in range(0, len(s), 512):
-                        np.minimum(low, (s[b : b + 512, None] * mult).min(0), out=low)
-                    bands.append(compress(low).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands"])
+        for batch in (part for batch in batches for part in slices(batch, 1)):
+            counts, keys, bands = [], [], []
+            for text in batch.column(1).to_pylist():
+                words = word_hashes_of(text)
+                s = hash_shingles(words, k)
+                counts.append(len(s))
+                keys.append(xxhash.xxh3_128_digest(words))
+                if not len(s):
+                    bands.append(None)
+                    continue
+                low = np.full(len(mult), np.uint64(2**64 - 1))
+                for b in range(0, len(s), 512):
+                    np.minimum(low, (s[b : b + 512, None] * mult).min(0), out=low)
+                bands.append(compress(low).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
@@ -289,7 +284,6 @@ def _settled(asked: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scra
     least = floor_estimate(percent)
 
     def run(batches):
-        known: dict = {}
         for group in _groups(batches, keys):
             odd = group.column("odd").to_numpy() == 1
             if not odd.any() or odd.all():
@@ -300,7 +294,7 @@ def _settled(asked: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scra
 
             def of(i, hashes=hashes, text=text):
                 if i not in hashes:
-                    hashes[i] = hash_shingles(words_of(text[i]), known, k)
+                    hashes[i] = hash_shingles(word_hashes_of(text[i]), k)
                 return hashes[i]
 
             for x in np.flatnonzero(odd):
@@ -355,3 +349,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, k
 
 def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
+#: The same rows by plain SQL, for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, doc_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS inter FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b
+  WHERE 100 * inter >= 75 * (x.n + y.n - inter) AND x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL),
+both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(doc_id, other) AS (SELECT DISTINCT doc_id, doc_id FROM d UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON a = other),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN c ON c.doc_id = d.doc_id
+"""
