@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate as leaks
 from weftline.llm import hyperminhash, language_mix, packing, suffix_index
-from weftline.llm.common import Scratch, table
+from weftline.llm.common import Scratch, slices, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -62,7 +62,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row")).join(spans, "row", "left")
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, "text")):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             out = []
             for text, found in zip(texts, batch.column("spans").to_pylist(), strict=True):

@@ -43,6 +43,20 @@ def test_components(spark, monkeypatch, in_one_task):
     assert connected_components(spark.createDataFrame([], "src long, dst long"), Scratch(spark, "t")).count() == 0
 
 
+def test_word_hashes(monkeypatch):
+    monkeypatch.setattr(common, "CHUNK", 64)
+    rng = random.Random(9)
+    known = {}
+    for _ in range(300):
+        text = b"".join(rng.choice([b" ", b"\n", b"ab", b"c", b"x" * rng.choice([5, 63, 64, 65, 200])]) for _ in range(rng.randrange(40)))
+        got = common.word_hashes(text, hyperminhash._SPACE).tolist()
+        words = text.split()
+        assert len(got) == len(words)
+        for w, h in zip(words, got, strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
 def near(spark, rows):
     df = spark.createDataFrame(rows, DOCS).withColumn("rep", F.lit(1)).withColumn("bands", F.lit("clash"))
     return [r.asDict() for r in hyperminhash.near_duplicates(df, Scratch(spark, "t")).collect()]

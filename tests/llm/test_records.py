@@ -20,10 +20,10 @@ def run(df):
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-@pytest.mark.parametrize("name", ["op1_warc_transactions", "op2_chat_format", "op5_license_lookup"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations", "documents"):
+    for t in ("pages", "conversations", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     cursor = con.execute(registry.oracle_sql()[name])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK, hash_tables, mix, prefix_hashes, table
+from .common import slices, table, word_hashes
 
 SLOTS = 1 << 16  # 2 to the power of SLOT_BITS
 RANK = 256
@@ -49,6 +49,7 @@ KNOWN_BITS, SLOT_BITS = 22, 16
 
 #: ASCII letters and digits stay, other ASCII becomes a space, bytes of other letters stay.
 _KEEP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_SPACE = np.arange(256) == 32
 
 MATCH = "doc_id long, item_id long, cosine double, lcs double, answer double"
 
@@ -62,20 +63,9 @@ def words_of(text: str | None) -> list[bytes]:
     return plain(text).split()
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of a plain text's words in order."""
-    out = []
-    while text:
-        part = text if len(text) <= CHUNK else text[: text.rfind(b" ", 0, CHUNK) + 1] or text[:CHUNK]
-        text = text[len(part) :]
-        data = np.frombuffer(part, np.uint8)
-        inside = np.zeros(len(data) + 2, dtype=np.int8)
-        inside[1:-1] = (data > 32) & (data != 127)
-        edge = np.flatnonzero(np.diff(inside))
-        a, b = edge[::2], edge[1::2]
-        sums = prefix_hashes(data)
-        out.append(mix((sums[b] - sums[a]) * hash_tables()[2][a]))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+def hashes_of(text: bytes) -> np.ndarray:
+    """Hashes of a plain text's words in order."""
+    return word_hashes(text, _SPACE)
 
 
 def slots_of(hashes: np.ndarray) -> np.ndarray:
@@ -87,12 +77,11 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches):
         n, total = np.zeros(SLOTS + 1, dtype=np.int64), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                slots = np.sort(slots_of(word_hashes(plain(text))), kind="stable")  # by digits, as they are 16 bits
-                if len(slots):
-                    n[slots[np.concatenate([[True], slots[1:] != slots[:-1]])]] += 1
-                total += 1
+        for text in (t for batch in batches for part in slices(batch, 0) for t in part.column(0).to_pylist()):
+            slots = np.sort(slots_of(hashes_of(plain(text))), kind="stable")  # by digits, as they are 16 bits
+            if len(slots):
+                n[slots[np.concatenate([[True], slots[1:] != slots[:-1]])]] += 1
+            total += 1
         n[SLOTS] = total
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
@@ -112,7 +101,7 @@ def passages_of(words) -> list[tuple[int, int]]:
 
 def _vectors(text: str | None, idf: np.ndarray):
     """TF-IDF of an item's passages as (slots, weights), of length 1."""
-    slots = slots_of(word_hashes(plain(text)))
+    slots = slots_of(hashes_of(plain(text)))
     if len(slots) < LEAST_WORDS:
         return
     for a, b in passages_of(slots):
@@ -128,7 +117,7 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int = RANK, rounds:
     """
     spark = items.sparkSession
     texts = items.select("text").rdd.map(lambda r: r[0])
-    used = np.array(sorted(texts.flatMap(lambda t: np.unique(slots_of(word_hashes(plain(t)))).tolist()).distinct().collect()), dtype=np.int64)
+    used = np.array(sorted(texts.flatMap(lambda t: np.unique(slots_of(hashes_of(plain(t)))).tolist()).distinct().collect()), dtype=np.int64)
     row = np.full(SLOTS, -1, dtype=np.int64)
     row[used] = np.arange(len(used))
     width = min(rank + OVERSAMPLE, max(1, len(used)))
@@ -188,14 +177,14 @@ class _Index:
             self.items.append((item_id, words, words_of(answer) or words[-ANSWER_WORDS:]))
         self.known = np.zeros(1 << KNOWN_BITS, dtype=bool)
         for _, text, _ in rows:
-            self.known[word_hashes(plain(text)) >> np.uint64(64 - KNOWN_BITS)] = True
+            self.known[hashes_of(plain(text)) >> np.uint64(64 - KNOWN_BITS)] = True
         self.latent = np.array(latent, dtype=np.float32).reshape(len(latent), v.shape[1])
         self.owner = np.array(owner, dtype=np.int64)
 
     def search(self, text: str | None):
         """(item_id, cosine, lcs, answer) of the items that the text holds."""
         text = plain(text)
-        hashes = word_hashes(text)
+        hashes = hashes_of(text)
         n = len(hashes)
         if n < LEAST_WORDS or not len(self.owner):
             return
@@ -263,7 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
         sent = spark.sparkContext.broadcast(_Index(rows, idf, row, v))
 
         def run(batches, sent=sent):
-            for batch in batches:
+            for batch in (part for batch in batches for part in slices(batch, 1)):
                 got = [(doc_id, *m) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in sent.value.search(text)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "cosine", "lcs", "answer"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 SLOTS = 1 << 16
 PER_LANGUAGE = 1000
@@ -57,14 +57,18 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
     Sent to the driver: SLOTS counts for each language at most.
     """
     rows = docs.where(F.col("lang").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang", F.row_number().over(order).alias("at")).where(F.col("at") <= per_language).select("doc_id", "lang").distinct()
+    # first to about twice as many as are wanted, by the same hash, so that a common language isn't dealt to one task; a row for each language is broadcast, as many as the model has
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = rows.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(part * F.col("rows") <= 2 * per_language + 100)
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    chosen = few.select("doc_id", "lang", F.row_number().over(order).alias("at")).where(F.col("at") <= per_language).select("doc_id", "lang").distinct()
     sample = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in ((x, y) for part in slices(batch, 1) for x, y in zip(*(c.to_pylist() for c in part.columns), strict=True)):
                 if has_letter(text):
                     total[lang] = total.get(lang, 0) + np.bincount(grams(text), minlength=SLOTS)
         for lang, n in total.items():
@@ -113,13 +117,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
-    passed = docs.select(*[F.col(c).cast("long") if c == "doc_id" else F.col(c) for c in keep], F.col("text").cast("string").alias("_text"))
+    kinds = {"doc_id": "long", "text": "string"}
+    passed = docs.select(*[F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in dict.fromkeys([*keep, "text"])])
 
     def run(batches):
         langs, log_prob = sent.value
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, "text")):
             out = [[] for _ in range(4)]
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column("text").to_pylist():
                 if not langs or not has_letter(text):
                     row = ("und", 0.0, [], [])
                 else:
@@ -131,7 +136,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
             told = [pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *told], [*keep, "lang_pred", "score", "languages", "shares"])
 
-    return passed.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed.schema if f.name != "_text") + RESULT)
+    return passed.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed.schema if f.name in keep) + RESULT)
 
 
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

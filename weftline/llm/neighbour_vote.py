@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 FEATURES = 1 << 12
 TRAIN = 6000
@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
     def run(batches):
         model = sent.value
         idf, v = model[0], model[1]
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 1)):
             texts = batch.column(1).to_pylist()
             for a in range(0, len(texts), BLOCK):
                 part = texts[a : a + BLOCK]

@@ -24,5 +24,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_transactions": warc.OP1_SQL,
         "op2_chat_format": chat.OP2_SQL,
+        "op3_hyperminhash": hyperminhash.OP3_SQL,
         "op5_license_lookup": license_lookup.OP5_SQL,
+        "op7_suffix_index": suffix_index.OP7_SQL,
+        "op8_collision_count": collision_count.OP8_SQL,
     }

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK, Scratch, hash_tables, mix, prefix_hashes, table
+from .common import CHUNK, Scratch, hash_tables, mix, prefix_hashes, slices, table
 
 LENGTH = 200
 GRAM = 64
@@ -109,7 +109,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(whole, pa.int64()), pa.array(row, pa.int64()), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], ["gram", "whole", "row", "start", "windows"])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 1)):
             rows, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
             texts = [t or b"" for t in texts]
             for a, b in _chunks([len(t) for t in texts]):
@@ -243,7 +243,7 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, "text")):
             out: list[tuple] = []
             for row, asks, text in zip(batch.column("row").to_pylist(), batch.column("asked").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 for ask in asks:
@@ -302,7 +302,7 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
         small: list = []
         block: list = []
         block_key = None
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, "body")):
             columns = [batch.column(c).to_pylist() for c in names]
             for hot, key, row, start, windows, body, rows, starts in zip(*columns, strict=True):
                 if hot:
@@ -375,7 +375,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, wi
     joined = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(spans, "row", "left").select("doc_id", "text", "spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, "text")):
             out = [[] for _ in range(6)]
             for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 text, at, parts = text or b"", 0, []
@@ -395,3 +395,19 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, wi
 
 def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op7"), with_text=False).drop("kept")
+
+
+#: The same rows by plain SQL, for small tables.
+OP7_SQL = """
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM b WHERE length(h) >= 400)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+c AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN twice USING (k)),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span FROM c),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY r, span),
+q AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+k AS (SELECT r, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM q JOIN b USING (r) GROUP BY r)
+SELECT b.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN k ON k.r = b.r
+"""
