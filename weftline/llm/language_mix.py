@@ -63,7 +63,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
     few = rows.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(part * F.col("rows") <= 2 * per_language + 100)
     order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
     chosen = few.select("doc_id", "lang", F.row_number().over(order).alias("at")).where(F.col("at") <= per_language).select("doc_id", "lang").distinct()
-    sample = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # per_language keys of each language at most are broadcast, and texts stay where they are read
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
