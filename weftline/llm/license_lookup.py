@@ -140,11 +140,10 @@ def lookup(docs: DataFrame, scratch: Scratch, known: DataFrame | None = None) ->
     known = scratch.save(digests_of(known), "known")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), canonical_lines(F.col("text")).alias("c"))
-    # lengths of known texts: as many as there are known texts at most
-    lengths = known.agg(F.collect_set("length").alias("lengths"))
-    lines = lines.crossJoin(F.broadcast(lengths))  # one row
+    # sent to the driver and back: as many lengths as there are known texts at most
+    lengths = F.array(*[F.lit(r["length"]) for r in known.select("length").distinct().collect()]).cast("array<int>")
     single = F.transform(F.split("c", "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
-    notices = F.array_distinct(F.transform(F.filter(single, lambda x: F.array_contains(F.col("lengths"), F.length(x))), lambda x: F.sha2(x, 256)))
+    notices = F.array_distinct(F.transform(F.filter(single, lambda x: F.array_contains(lengths, F.length(x))), lambda x: F.sha2(x, 256)))
     rows = scratch.save(lines.select("doc_id", "row", F.sha2(whole(F.col("c")), 256).alias("text_digest"), notices.alias("notices")), "rows")
     digests = known.select("digest", "license")
     found = rows.where(F.size("notices") > 0).select("row", F.explode("notices").alias("digest")).join(digests, "digest")
