@@ -284,6 +284,50 @@ def test_schedule_serves_everything():
         assert all(sizes[w] == packing.WINDOW for w in range(plan.windows - 1))
 
 
+@pytest.mark.parametrize("given", [False, True])
+def test_packing_of_more_than_512_sources(spark, given):
+    """Every source has its share of all windows, one large one and 600 small ones."""
+    texts = {i: f"w{i} " * (2 + i % 3) for i in range(600)} | {600 + i: "big one " * 500 for i in range(12)}
+    source = {i: f"s{i:03}" if i < 600 else "big" for i in texts}
+    weights = {q: 3.0 if q == "big" else 0.001 * (1 + i % 2) for i, q in source.items()} if given else None
+    windows = check_pieces(packed(spark, [(i, t, "en", source[i]) for i, t in texts.items()], weights), texts)
+    total, done = Counter(), Counter()
+    for ps in windows.values():
+        for p in ps:
+            assert p["queue"] == source[p["doc_id"]]
+            total[p["queue"]] += p["length"]
+    assert len(total) == 601
+    whole = sum((weights or total).values())
+    for k in range(len(windows) - 1):
+        for p in windows[k]:
+            done[p["queue"]] += p["length"]
+        if any(done[q] == total[q] for q in total) and given:
+            break
+        for q, n in (weights or total).items():
+            assert abs(done[q] - n / whole * packing.WINDOW * (k + 1)) < (8 if q == "big" else 2)
+    assert k > 2
+
+
+def test_schedule_of_many_queues_has_their_weights(monkeypatch):
+    """Against an order of all tokens by due time, in several slices."""
+    rng = np.random.default_rng(6)
+    totals = {f"q{i}": int(rng.integers(0, 60)) for i in range(2000)} | {"big": 30_000}
+    weights = {q: float(rng.integers(0, 4)) for q in totals} | {"big": 900.0}
+    monkeypatch.setattr(packing, "SLICE", 5000)
+    plan = packing.Schedule(totals, weights)
+    assert plan.slices > 10 and plan.names == sorted(totals)
+    tokens = sorted((plan.due(i, j), i, j) for i in range(len(plan.names)) for j in range(plan.total[i]))
+    want = {(i, j): r // packing.WINDOW for r, (_, i, j) in enumerate(tokens)}
+    for i in range(len(plan.names)):
+        if plan.total[i]:
+            start, length, window, at = plan.cut(i, 0, int(plan.total[i]))
+            assert (start == at).all() and length.sum() == plan.total[i]
+            assert np.repeat(window, length).tolist() == [want[i, j] for j in range(plan.total[i])]
+    first = [want[i, 0] for i, q in enumerate(plan.names) if plan.total[i] and not weights[q]]
+    last = [want[i, int(plan.total[i]) - 1] for i, q in enumerate(plan.names) if plan.total[i] and weights[q]]
+    assert min(first) >= max(last)  # no weight: after all others
+
+
 def test_pipeline_stages_against_brute_force(spark):
     """Each stage on its predecessor's rows, at the smallest size."""
     sf, docs = "/root/testdata/sf0.001", None

@@ -6,6 +6,8 @@ queue's stream.  A schedule, computed from queue totals alone, says how many tok
 each window takes from each queue: a queue earns its share of every window, whole
 tokens are served, and what is left of the share is carried to the next window and
 across partitions.  A document is then cut where windows end, without moving its ids again.
+Each source has a queue of its own, however many there are; of a source whose share is less than
+a token a window, every token is a piece.
 
 Defined results: null text counts as empty; an empty text is the end id alone; null sources
 share one queue; rows with equal or null ids are packed each on their own;
@@ -29,10 +31,8 @@ from .common import Scratch, slices, table
 
 WINDOW = 1024
 END_ID = 0
-#: Windows in one turn of the schedule; shares are whole tokens of WINDOW * TURN.
-TURN = 1024
-#: With more sources than this, a queue holds the sources of one hash value.
-MAX_QUEUES = 512
+#: Tokens whose order one step of the schedule finds, about.
+SLICE = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
 TOKENS = "doc_id long, queue string, task int, before long, n long, ids binary"
@@ -75,7 +75,7 @@ def encoder(path: str):
     return encode
 
 
-def tokenize(docs: DataFrame, tokenizer: str | None = None, by_hash: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, queue, task, tokens of the queue earlier in this task, n, ids (unsigned 16 or 32 bit)."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
@@ -85,7 +85,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, by_hash: bool = Fals
             out = [[] for _ in range(6)]
             for doc_id, text, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(END_ID))
-                queue = f"#{zlib.crc32((source or '').encode()) % MAX_QUEUES}" if by_hash else source or ""
+                queue = source or ""
                 at = before.get(queue, 0)
                 before[queue] = at + len(ids)
                 for column, value in zip(out, (doc_id, queue, task, at, len(ids), ids.astype("<u4" if ids.max() > 65535 else "<u2").tobytes()), strict=True):
@@ -101,98 +101,103 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, by_hash: bool = Fals
 
 
 class Schedule:
-    """How many tokens each window takes from each queue.
-
-    Made of segments.  In a repeated one, a turn of TURN windows recurs; in a plain one
-    every window is listed.  A segment ends when a queue runs dry, after which the
-    others share its part by their weights.
+    """Which window takes which tokens of each queue, for any number of queues.
+
+    Token j of a queue falls due at base + (j + phase) * step, where step is one over the queue's
+    weight: served in that order, every queue has had its share, to a token, of all that was served,
+    and what a dry queue leaves goes to the others by their weights.  Queues without a weight
+    come after all others, in proportion to their tokens.  Phases of queues of like weight are spread evenly,
+    so many small queues don't fall due at once.  Window k starts with the token of rank k * window,
+    whose due time and queue are all that is kept of it; of tokens due at once the first queue's is the first.
     """
 
-    def __init__(self, totals: dict[str, int], weights: dict[str, float] | None = None, window: int = WINDOW):
+    def __init__(self, totals: dict[str, int], weights: dict[str, float] | None = None, window: int = WINDOW, find: bool = True):
         self.window, self.names = window, sorted(totals)
-        left = np.array([totals[q] for q in self.names], dtype=np.int64)
+        self.total = np.array([totals[q] for q in self.names], dtype=np.int64)
+        tokens = int(self.total.sum())
+        self.windows, self.slices = -(-tokens // window), -(-tokens // SLICE)
         want = np.array([max(0.0, (weights or totals).get(q, 0.0)) for q in self.names], dtype=np.float64)
-        self.segments, at, first = [], np.zeros(len(left), dtype=np.int64), 0
-        while left.sum() > 0:
-            live = left > 0
-            share = np.where(live, want, 0.0)
-            if share.sum() == 0:  # only queues without a weight are left
-                share = np.where(live, left, 0).astype(float)
-            turn = self._turn(self._credit(share))
-            used = turn.sum(0)
-            turns = int((left[used > 0] // used[used > 0]).min())
-            if turns:
-                self._add(first, at, turn, turns)
-                first, at, left = first + turns * len(turn), at + used * turns, left - used * turns
-            rows, live = [], left > 0
-            for take in turn:  # until a queue is dry
-                if left.sum() == 0 or not (left >= take).all():
-                    break
-                rows.append(take)
-                left = left - take
-            if left.sum() > 0 and (len(rows) < len(turn) or not turns):
-                take = np.minimum(turn[len(rows) % len(turn)], left)
-                lack = min(window, int(left.sum())) - int(take.sum())
-                for i in np.argsort(-(left - take), kind="stable"):  # the fullest queues fill the gap
-                    more = min(lack, int(left[i] - take[i]))
-                    take[i] += more
-                    lack -= more
-                rows.append(take)
-                left = left - take
-            if rows:
-                rows = np.array(rows)
-                self._add(first, at, rows, 1)
-                first, at = first + len(rows), at + rows.sum(0)
-        self.windows = first
-
-    def _credit(self, share: np.ndarray) -> np.ndarray:
-        """Whole tokens of a turn for each queue, by largest remainder."""
-        exact = share / share.sum() * (self.window * TURN)
-        whole = np.floor(exact).astype(np.int64)
-        whole[np.argsort(whole - exact, kind="stable")[: self.window * TURN - int(whole.sum())]] += 1
-        return whole
-
-    def _turn(self, credit: np.ndarray) -> np.ndarray:
-        """Deficit round-robin over one turn: (TURN, queues) tokens taken."""
-        deficit, out = np.zeros(len(credit), dtype=np.int64), np.zeros((TURN, len(credit)), dtype=np.int64)
-        for w in range(TURN):
-            deficit += credit
-            take = np.maximum(deficit, 0) // TURN
-            lack = self.window - int(take.sum())
-            order = np.argsort(take * TURN - deficit, kind="stable") if lack >= 0 else np.argsort(deficit - take * TURN, kind="stable")
-            for i in order[: abs(lack)] if lack >= 0 else [j for j in order if take[j] > 0][: -lack]:
-                take[i] += 1 if lack > 0 else -1
-            deficit -= take * TURN
-            out[w] = take
-        return out
-
-    def _add(self, first: int, at: np.ndarray, takes: np.ndarray, turns: int) -> None:
-        cum = np.vstack([np.zeros_like(at), takes.cumsum(0)])
-        off = np.hstack([np.zeros((len(takes), 1), dtype=np.int64), takes.cumsum(1)[:, :-1]])
-        self.segments.append((first, at.copy(), at + cum[-1] * turns, len(takes), cum, off))
+        want[self.total == 0] = 0
+        if not want.any():
+            want = self.total.astype(np.float64)
+        late, share = want == 0, want / max(want.sum(), 1e-300)
+        self.step = 1 / np.where(late, 1.0, share)
+        ends = np.sort((self.total * self.step)[~late])
+        last = float(ends[-1]) if len(ends) else 1.0
+        self.base = np.where(late, last, 0.0)
+        self.step[late] = last / np.maximum(self.total[late], 1)
+        self.phase = np.empty(len(want))
+        self.phase[np.argsort(self.step, kind="stable")] = ((np.arange(len(want)) + 0.5) * 0.6180339887498949) % 1
+        # due times between which about SLICE tokens lie: with tokens as a fluid, what is served is piecewise linear
+        order = np.argsort((self.total * self.step)[~late], kind="stable")
+        rate, size = share[~late][order], self.total[~late][order]
+        served = np.cumsum(size) + ends * (rate.sum() - np.cumsum(rate))
+        at = np.interp(np.arange(1, self.slices) * float(SLICE), [0.0, *served, max(tokens, 1)], [0.0, *ends, 2 * last])
+        self.cuts = np.concatenate([[0.0], np.maximum.accumulate(at), [np.inf]])
+        self.first: tuple = ()  # due times and queues of the windows' first tokens
+        if find and tokens:
+            self.first = tuple(np.concatenate(x) for x in list(zip(*map(self.bounds, range(self.slices)), strict=True))[1:])
+
+    def due(self, queue, j):
+        return self.base[queue] + (j + self.phase[queue]) * self.step[queue]
+
+    def before(self, queue, time):
+        """Tokens of a queue that fall due before a time; either may be an array."""
+        total = self.total[queue]
+        j = np.clip(np.ceil((time - self.base[queue]) / self.step[queue] - self.phase[queue]), 0, total).astype(np.int64)
+        j = j - ((j > 0) & (self.due(queue, j - 1) >= time))  # what rounding did
+        return j + ((j < total) & (self.due(queue, j) < time))
+
+    def bounds(self, i: int) -> tuple[np.ndarray, ...]:
+        """Numbers, due times and queues of the windows' first tokens that lie in a slice."""
+        every = np.arange(len(self.names))
+        low, high = (self.before(every, self.cuts[x]) for x in (i, i + 1))
+        rank, n = int(low.sum()), high - low
+        queue = np.repeat(every, n)
+        time = self.due(queue, np.arange(len(queue)) - np.repeat(np.cumsum(n) - n - low, n))
+        at = np.arange(-rank % self.window, len(queue), self.window)
+        order = np.argsort(time, kind="stable")[at]
+        return (rank + at) // self.window, time[order], queue[order]
+
+    def windows_of(self, queue: int, j: np.ndarray) -> np.ndarray:
+        times, queues = self.first
+        due = self.due(queue, j)
+        k = np.searchsorted(times, due, "right") - 1
+        while (late := (times[k] == due) & (queues[k] > queue)).any():
+            k = k - late
+        return k
 
     def cut(self, queue: int, start: int, n: int) -> tuple[np.ndarray, ...]:
-        """First ids, lengths, windows and offsets there of the pieces of n tokens from ``start`` of a queue."""
-        done, parts = 0, []
-        for first, begin, end, size, cum, off in self.segments:
-            lo, hi = max(start, int(begin[queue])), min(start + n, int(end[queue]))
-            if lo >= hi:
-                continue
-            col, used = cum[:, queue], int(cum[-1, queue])
-            while lo < hi:
-                turn, rest = divmod(lo - int(begin[queue]), used)
-                stop = min(hi - lo + rest, used)
-                a, b = int(np.searchsorted(col, rest, "right")) - 1, int(np.searchsorted(col, stop, "left"))
-                edges = np.clip(col[a : b + 1], rest, stop)
-                length = np.diff(edges)
-                w = np.flatnonzero(length)
-                at = edges[w]
-                parts.append((at + (done - rest), length[w], w + (first + turn * size + a), off[a + w, queue] + at - col[a + w]))
-                done += stop - rest
-                lo += stop - rest
-            if done == n:
-                break
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+        """First ids, lengths, windows and places in the queue of the pieces of n tokens from ``start`` of a queue."""
+        low, high = self.windows_of(queue, np.array([start, start + n - 1])).tolist()
+        if high - low < n:
+            k = np.arange(low, high + 1)
+            times, queues = (x[low + 1 : high + 1] for x in self.first)
+            edge = self.before(queue, times)
+            edge = edge + ((edge < self.total[queue]) & (self.due(queue, edge) == times) & (queue < queues))
+            edge = np.concatenate([[start], edge, [start + n]])
+        else:  # fewer tokens than windows
+            each = self.windows_of(queue, np.arange(start, start + n))
+            new = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+            k, edge = each[new], np.append(new, n) + start
+        length = np.diff(edge)
+        some = np.flatnonzero(length)
+        return edge[some] - start, length[some], k[some], edge[some]
+
+
+def schedule_of(spark: SparkSession, totals: dict[str, int], weights: dict[str, float] | None = None) -> Schedule:
+    """The schedule, its windows' first tokens being found slice by slice on the executors."""
+    plan = Schedule(totals, weights, find=False)
+    sent = spark.sparkContext.broadcast(plan)
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in sent.value.bounds(i)], ["k", "time", "queue"])
+
+    got = spark.range(0, plan.slices, 1, min(plan.slices, 1000)).mapInArrow(run, "k long, time double, queue long").toArrow().sort_by("k")
+    plan.first = got.column("time").to_numpy(), got.column("queue").to_numpy()
+    return plan
 
 
 def pack(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | None = None, tokenizer: str | None = None) -> DataFrame:
@@ -200,36 +205,41 @@ def pack(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | None = N
 
     ``weights``: the target share of each source in every window; by default
     the share it has of all tokens.  Only the last window can lack tokens.
-    Sent to the driver: totals by queue (MAX_QUEUES at most).
+    Sent to the driver and broadcast: a total for each queue, 16 bytes for each window.
     """
     spark = docs.sparkSession
-    by_hash = docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    tokens = scratch.save(tokenize(docs, tokenizer, by_hash), "tokens", "zstd")
+    tokens = scratch.save(tokenize(docs, tokenizer), "tokens", "zstd")
     parts = tokens.groupBy("queue", "task").agg(F.sum("n").alias("tokens"))
     parts = scratch.save(parts.select("queue", "task", (F.sum("tokens").over(Window.partitionBy("queue").orderBy("task")) - F.col("tokens")).alias("base"), "tokens"), "parts")
-    totals = {r["queue"]: r["tokens"] for r in parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
+    got = parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).toArrow()
+    totals = dict(zip(got.column("queue").to_pylist(), got.column("tokens").to_pylist(), strict=True))
     if not totals:
         return spark.createDataFrame([], PIECES)
-    schedule = spark.sparkContext.broadcast(Schedule(totals, weights))
+    plan = schedule_of(spark, totals, weights)
+    numbers = spark.createDataFrame(pa.table({"queue": pa.array(plan.names, pa.string()), "number": pa.array(range(len(plan.names)), pa.int64())}))
+    parts = scratch.save(parts.join(numbers, "queue").select("queue", "task", "base", "number"), "numbered")
+    schedule = spark.sparkContext.broadcast(plan)
 
     def run(batches):
         plan = schedule.value
-        number = {q: i for i, q in enumerate(plan.names)}
         for batch in (part for batch in batches for part in slices(batch, "ids")):
             rows, crcs, counts = [], [], []
-            for queue, before, base, n, ids in zip(*(batch.column(c).to_pylist() for c in ("queue", "before", "base", "n", "ids")), strict=True):
+            for number, before, base, n, ids in zip(*(batch.column(c).to_pylist() for c in ("number", "before", "base", "n", "ids")), strict=True):
                 raw = memoryview(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes())
-                start, length, window, offset = plan.cut(number[queue], base + before, n)
+                start, length, window, at = plan.cut(number, base + before, n)
                 crcs += [zlib.crc32(raw[a:b]) for a, b in zip((4 * start).tolist(), (4 * (start + length)).tolist(), strict=True)]
-                rows.append((start, length, window, offset))
+                rows.append((start, length, window, at))
                 counts.append(len(start))
             of = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            start, length, window, offset = (pa.array(np.concatenate(x)) for x in zip(*rows, strict=True))
-            columns = [batch.column("doc_id").take(of), start, length, pa.array(crcs, pa.int64()), batch.column("n").take(of), window, offset, batch.column("queue").take(of)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"])
-
-    placed = tokens.join(parts.select("queue", "task", "base"), ["queue", "task"])
-    return placed.select("doc_id", "queue", "before", "base", "n", "ids").mapInArrow(run, PIECES)
+            start, length, window, at = (pa.array(np.concatenate(x)) for x in zip(*rows, strict=True))
+            columns = [batch.column("doc_id").take(of), start, length, pa.array(crcs, pa.int64()), batch.column("n").take(of), window, at, batch.column("queue").take(of)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "at", "queue"])
+
+    placed = tokens.join(parts, ["queue", "task"])
+    pieces = placed.select("doc_id", "queue", "number", "before", "base", "n", "ids").mapInArrow(run, PIECES.replace("offset", "at"))
+    # a window's queues in order; of its rows there are no more than its tokens
+    offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("queue", "at")) - F.col("length")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"), "queue")
 
 
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
