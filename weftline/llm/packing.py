@@ -1,11 +1,10 @@
-"""Mixture-controlled packing: deficit round-robin over source queues.
+"""Mixture-controlled packing: source queues served by due time.
 
 Documents are tokenised once.  Each task numbers the tokens of its rows within
 their queue, and the totals per task and queue give every document its place in its
-queue's stream.  A schedule, computed from queue totals alone, says how many tokens
-each window takes from each queue: a queue earns its share of every window, whole
-tokens are served, and what is left of the share is carried to the next window and
-across partitions.  A document is then cut where windows end, without moving its ids again.
+queue's stream.  A schedule, computed from queue totals alone, gives every token of a
+queue a due time by the queue's weight, and windows are filled in that order, so each has
+its queues' shares to a token or so, across partitions.  A document is then cut where windows end, without moving its ids again.
 Each source has a queue of its own, however many there are; of a source whose share is less than
 a token a window, every token is a piece.
 
