@@ -87,6 +87,16 @@ def test_quality_edge_cases(spark):
     assert neighbour_vote.score(odd.limit(0), model).count() == 0
 
 
+def test_quality_frequencies_cover_all_documents(spark):
+    """Labelled rows, held-out ones, unlabelled ones and empty ones count alike."""
+    texts = [(i, f"plain words {i}") for i in range(12)] + [(i, f"zebra quartz {i}") for i in range(12, 60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, label int")
+    idf = neighbour_vote.fit(docs, labels)[0]
+    n = sum((neighbour_vote.counts_of(t) > 0).astype(int) for _, t in texts)
+    assert idf == pytest.approx(np.log((1 + len(texts)) / (1 + n)) + 0.1)
+
+
 def test_votes_are_exact():
     rng = np.random.default_rng(0)
     known = rng.standard_normal((200, 8))

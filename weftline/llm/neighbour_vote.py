@@ -7,7 +7,7 @@ broadcast; every document gets its exact cosine with all of them, in blocks, and
 NEIGHBOURS nearest are averaged with weights that grow with the cosine.
 
 Bounds: TRAIN labelled documents, those with the smallest hash of doc_id among the rows that may be
-learned from, FEATURES trigram slots and RANK dimensions, so the model takes
+learned from, FEATURES trigram slots whose document frequencies are counted over all documents, and RANK dimensions, so the model takes
 4 * RANK * (TRAIN + FEATURES) bytes at most.  Every document is scored over its whole text.
 
 Defined results: null and empty texts, or ones that share no trigram with the labelled ones, get the
@@ -69,8 +69,25 @@ def weigh(counts: np.ndarray, shares: np.ndarray, idf: np.ndarray) -> np.ndarray
     return _unit(np.hstack([_unit((np.log1p(counts) * idf).astype(np.float32)), shares.astype(np.float32)]))
 
 
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents that hold each slot's trigrams, and all documents."""
+
+    def count(batches):
+        n = np.zeros(FEATURES + 1, dtype=np.int64)
+        for text in (t for batch in batches for part in slices(batch, 0) for t in part.column(0).to_pylist()):
+            n[:FEATURES] += counts_of(text) > 0
+            n[FEATURES] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
+
+    got = docs.select(F.col("text").cast("string")).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(FEATURES + 1, dtype=np.int64)
+    n[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return n[:FEATURES], int(n[FEATURES])
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple:
-    """idf, right singular vectors, latent vectors of the labelled documents, their labels.
+    """idf over all documents, right singular vectors, latent vectors of the labelled documents, their labels.
 
     ``labels``: doc_id, label.  Sent to the driver: counts of ``train`` documents.
     """
@@ -92,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple:
     raw = got.column("counts").to_pylist()
     counts = np.stack([np.frombuffer(x, "<u2", FEATURES) for x in raw])
     shares = np.stack([np.frombuffer(x, "<f4", SHARES, 2 * FEATURES) for x in raw])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.1
+    n, total = frequencies(docs)
+    idf = np.log((1 + total) / (1 + n)) + 0.1
     x = weigh(counts, shares, idf)
     del counts
     # randomised range finder with two power steps
