@@ -44,6 +44,21 @@ def test_create_reads_its_own_writes(engine):
     assert r.log[0]["is_write"]
 
 
+def test_a_cut_result_says_so(engine):
+    ask = {"op": "query", "entity": "Book", "fields": ["title"]}
+    n = engine.execute([ask]).log[0]["total"]
+    assert n > 2
+    for most in (n, n - 1):
+        engine.max_rows = most
+        r = engine.execute([ask])
+        assert len(r.log[0]["result"]) == most
+        assert r.log[0]["total"] == r.log[0]["frame"].count() == n
+        assert (f"the first {most} of {n} rows" in r.text) == (most < n)
+    r = engine.execute([{"op": "update", "entity": "Book", "data": {"pages": 7}}])
+    assert r.log[0]["result"]["rows_affected"] == n
+    assert f"the first {n - 1} of {n} rows" in r.text
+
+
 def test_failure_rolls_everything_back(engine):
     before, version = rows(engine, "lib_books"), engine.source.version()
     r = engine.execute([book(), book(genre="opera")])

@@ -46,7 +46,8 @@ class Engine:
     """``source`` is a Store, or a catalog with ``table(name)`` that is only read.
 
     With ``owned`` (table -> column, see mapping.ownership) and an identity, operations see and
-    write only that identity's rows of the tables named.
+    write only that identity's rows of the tables named.  Text and results hold the first ``max_rows``
+    rows of an operation and say how many there are; its frame holds all.
     """
 
     def __init__(self, spark: SparkSession, mapping: Mapping, source, actions: Actions | None = None, owned: dict[str, str] | None = None, deep_scope: bool = False, rewrite: bool = True, max_rows: int = 1000):
@@ -125,14 +126,17 @@ class _Run:
     def table(self, name: str) -> DataFrame:
         return self.tx.table(name) if self.tx else self.engine.source.table(name)
 
-    def rows(self, df: DataFrame) -> list[dict]:
-        return [r.asDict() for r in df.limit(self.engine.max_rows).collect()]
+    def rows(self, df: DataFrame) -> tuple[list[dict], int]:
+        """The first max_rows rows, and how many there are."""
+        most = self.engine.max_rows
+        rows = [r.asDict() for r in df.limit(most + 1).collect()]
+        return rows[:most], len(rows) if len(rows) <= most else df.count()
 
     def operation(self, op) -> tuple[str, dict]:
         if isinstance(op, Query):
             df = Compiler(self.mapping, self.table, self.scope, self.trust).query(op)
-            rows = self.rows(df)
-            return say.query_text(op.entity, rows), {"frame": df, "result": rows}
+            rows, total = self.rows(df)
+            return say.query_text(op.entity, rows, total), {"frame": df, "result": rows, "total": total}
         if isinstance(op, Call):
             return self.call(op)
         if self.tx is None:
@@ -175,7 +179,7 @@ class _Run:
         df = self.engine.spark.createDataFrame([tuple(values[f.name] for f in schema.fields)], T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]))
         new = self.tx.append(t.name, df)
         check_rows(self.tx, t.name, new)
-        rows = self.rows(new)
+        rows, _ = self.rows(new)
         return say.write_text("create", op.entity, 1, rows), {"frame": new, "result": {"success": True, "rows_affected": 1, "returned_data": rows}}
 
     def lookup(self, end: End, column: str):
@@ -207,7 +211,7 @@ class _Run:
         else:
             check_rows(self.tx, t.name, result, set(values))
         affected = result.count()
-        rows = self.rows(result)
+        rows, _ = self.rows(result)
         return say.write_text(op.op, op.entity, affected, rows), {"frame": result, "result": {"success": True, "rows_affected": affected, "returned_data": rows}}
 
     def end(self, end: End, column: str):

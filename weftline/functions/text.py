@@ -11,16 +11,20 @@ def as_json(rows: list[dict]) -> str:
     return json.dumps(rows, indent=2, default=str)
 
 
-def query_text(entity: str, rows: list[dict]) -> str:
-    if not rows:
+def _cut(rows: list[dict], total: int) -> str:
+    return f"\nNOT COMPLETE: the first {len(rows)} of {total} rows." if len(rows) < total else ""
+
+
+def query_text(entity: str, rows: list[dict], total: int) -> str:
+    if not total:
         return f"No {entity} records found."
-    if len(rows) == 1 and len(rows[0]) == 1:
+    if total == 1 and len(rows) == 1 and len(rows[0]) == 1:
         return str(next(iter(rows[0].values())))
-    return as_json(rows)
+    return as_json(rows) + _cut(rows, total)
 
 
 def write_text(op: str, entity: str, affected: int, rows: list[dict]) -> str:
-    return as_json(rows) if rows else f"{_DONE[op]} {affected} {entity} record(s)."
+    return as_json(rows) + _cut(rows, affected) if rows else f"{_DONE[op]} {affected} {entity} record(s)."
 
 
 def invalid_text(errors: list[str]) -> str:
