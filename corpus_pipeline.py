@@ -83,10 +83,12 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are told apart by doc_id and text, so null and repeated doc_ids are no exception."""
     scratch = Scratch(spark, "leaks")
-    found = leaks.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    found = scratch.save(found.select("doc_id").distinct(), "found")
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    row = F.xxhash64("doc_id", "text")
+    found = leaks.contaminated(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = scratch.save(found.select(F.col("doc_id").alias("row")).distinct(), "found")
+    return docs.withColumn("row", row).join(found, "row", "left_anti").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -338,6 +338,16 @@ def test_schedule_of_many_queues_has_their_weights(monkeypatch):
     assert min(first) >= max(last)  # no weight: after all others
 
 
+def test_pipeline_removes_leaks_of_any_doc_id(spark):
+    sf = "/root/testdata/sf0.001"
+    item = next(r["text"] for r in table(spark, sf, "benchmark").collect() if len(decontaminate.words_of(r["text"])) > 20)
+    clean = "nothing of the kind is told in these few words about a garden"
+    rows = [(None, item), (None, clean), (7, item), (7, clean), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, docs, sf).collect())
+    assert got == Counter([(None, clean), (7, clean), (8, None), (None, None)])
+
+
 def test_pipeline_stages_against_brute_force(spark):
     """Each stage on its predecessor's rows, at the smallest size."""
     sf, docs = "/root/testdata/sf0.001", None
