@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 returns a DataFrame, which is written and read again as the next one's ``docs``:
 
 1. language: documents whose language can't be told (``und``) go; ``lang`` becomes the predicted one;
-2. near_duplicates: of each group of near copies the document with the smallest doc_id stays;
+2. near_duplicates: of each group of near copies the row with the smallest doc_id stays;
 3. repeated_spans: bytes in 200-byte strings that occur elsewhere are cut from the text, by whole
    characters; documents of which nothing is left go;
 4. decontaminate: documents that hold a benchmark item go;
@@ -47,12 +47,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; of rows that repeat its doc_id, one."""
+    """One row of each group stays, of the smallest doc_id; rows are told apart by doc_id and text.
+
+    Other texts under its doc_id are judged on their own; of rows that repeat both, one stays.
+    """
     scratch = Scratch(spark, "dedup")
-    kept = hyperminhash.near_duplicates(docs, scratch).where("kept").select("doc_id").distinct()
+    keyed = docs.where("doc_id is not null").withColumn("row", F.xxhash64("doc_id", "text"))
+    told = hyperminhash.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text"), scratch)
+    told = told.select(F.col("doc_id").alias("row"), "component_id", F.lit(None).cast("long").alias("doc_id"))
+    ids = keyed.select("row", F.lit(None).cast("long").alias("component_id"), "doc_id")
+    rows = told.unionByName(ids).groupBy("row").agg(F.max("component_id").alias("component_id"), F.min("doc_id").alias("doc_id"))
+    kept = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
     kept = scratch.save(kept, "kept")
-    by_id = docs.where("doc_id is not null").join(kept, "doc_id").select(COLUMNS)
-    one = by_id.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("one")).select("doc_id", "one.*")
+    by_row = keyed.join(kept, "row").select("row", *COLUMNS)
+    one = by_row.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("one")).select("one.*")
     return one.unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 

@@ -348,6 +348,15 @@ def test_pipeline_removes_leaks_of_any_doc_id(spark):
     assert got == Counter([(None, clean), (7, clean), (8, None), (None, None)])
 
 
+def test_pipeline_keeps_unlike_texts_of_one_doc_id(spark):
+    rng = np.random.default_rng(9)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(9, a), (5, a + " end"), (5, b), (5, b), (7, b + " end"), (5, c), (6, None), (None, a), (None, a), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == Counter([(5, a + " end"), (5, b), (5, c), (6, None), (None, a), (None, a), (8, "")])
+
+
 def test_pipeline_stages_against_brute_force(spark):
     """Each stage on its predecessor's rows, at the smallest size."""
     sf, docs = "/root/testdata/sf0.001", None
