@@ -1,5 +1,6 @@
 """Language, quality, decontamination, packing and the pipeline."""
 
+import pickle
 import zlib
 from collections import Counter, defaultdict
 
@@ -338,6 +339,55 @@ def test_schedule_of_many_queues_has_their_weights(monkeypatch):
     assert min(first) >= max(last)  # no weight: after all others
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 2.0, "c": 2.0, "d": 0.5, "e": 0.004}])
+def test_schedule_against_a_loop_of_deficits(weights):
+    """A plain deficit round-robin, window after window, until a queue runs dry."""
+    totals = {"a": 90_000, "b": 60_000, "c": 31_000, "d": 9_000, "e": 400}
+    plan = packing.Schedule(totals, weights)
+    want = weights or totals
+    share = {q: want[q] / sum(want.values()) for q in totals}
+    got = defaultdict(Counter)
+    for i, q in enumerate(plan.names):
+        _, length, window, _ = plan.cut(i, 0, totals[q])
+        for w, n in zip(window.tolist(), length.tolist(), strict=True):
+            got[w][q] += n
+    deficit, left, done = dict.fromkeys(totals, 0.0), dict(totals), Counter()
+    for k in range(plan.windows):
+        deficit = {q: d + share[q] * packing.WINDOW for q, d in deficit.items()}
+        take = {q: int(d) for q, d in deficit.items()}
+        for q in sorted(totals, key=lambda q: take[q] - deficit[q])[: packing.WINDOW - sum(take.values())]:
+            take[q] += 1
+        if any(take[q] > left[q] for q in totals):
+            break
+        for q, n in take.items():
+            deficit[q] -= n
+            left[q] -= n
+            done[q] += got[k][q] - n
+            assert abs(got[k][q] - n) <= 3 and abs(done[q]) <= 2
+    assert k > 80
+
+
+def test_schedule_is_as_large_as_its_queues():
+    small, large = (packing.Schedule({f"q{i}": n for i in range(20)}) for n in (10**3, 10**12))
+    assert len(pickle.dumps(large)) < len(pickle.dumps(small)) + 100
+    start, length, window, at = large.cut(3, 10**11, 2000)
+    assert length.sum() == 2000 and (at - start == 10**11).all()
+    assert window[0] == large.ranks(3, np.array([10**11]))[0] // packing.WINDOW
+    assert abs(int(window[0]) * packing.WINDOW - 20 * 10**11) < 30_000
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "word" + " \n\u3000" * 700_000 + "x " * 1000])
+def test_tokens_of_very_long_runs(text):
+    path = public_tokenizers.path(packing.TOKENIZER)
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(path)(text).tolist() == want
+
+
+def test_packing_of_a_very_long_run(spark):
+    rows = [(1, "\n" * 1_200_000, "en", "a"), (2, "some words " * 300, "en", "b"), (3, " " * 60_000 + "end", "en", "b")]
+    check_pieces(packed(spark, rows), {i: t for i, t, _, _ in rows})
+
+
 def test_pipeline_removes_leaks_of_any_doc_id(spark):
     sf = "/root/testdata/sf0.001"
     item = next(r["text"] for r in table(spark, sf, "benchmark").collect() if len(decontaminate.words_of(r["text"])) > 20)
