@@ -189,6 +189,49 @@ def test_repeats_edge_cases(spark):
     assert repeats(spark, []) == []
 
 
+def test_repeats_in_text_with_short_periods(spark):
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    rows = []
+    for i in range(120):
+        period = noise(rng.choice([1, 2, 3, 7, 30, 64, 100, 136, 137, 150]))
+        rows.append((i, noise(rng.randrange(90)) + (period * 800)[: rng.randrange(190, 800)] + noise(rng.randrange(90))))
+    want = brute_repeats([(i, t.encode()) for i, t in rows])
+    assert 5 < sum(w[2] == 0 for w in want) < 100
+    assert repeats(spark, rows) == want
+
+
+def test_repetitive_texts_have_few_entries():
+    for period in (b"a", b" ", b"line\n", b"a longer line of some text that is repeated again and again\n"):
+        data = np.frombuffer((period * (1 << 20))[: suffix_index.CHUNK], np.uint8)
+        start, windows, *_ = suffix_index.entries(data, np.array([len(data)]))
+        assert len(start) < len(data) / 60
+        assert windows[windows > 0].sum() == len(data) - suffix_index.LENGTH + 1
+
+
+@pytest.mark.parametrize("unit", [" ", "e", "a line that is there again and again, whatever comes of it\n"])
+def test_repeats_in_a_long_repetitive_text(spark, unit):
+    n = 8 << 20
+    text = (unit * (n // len(unit) + 1))[:n]
+    got = repeats(spark, [(1, "once " + text + " and out"), (2, "other text")])
+    assert [g[2] > n - 2 and g[3] == 1 if g[0] == 1 else g[2] == 0 for g in got] == [True, True]
+
+
+def test_rows_whose_hashes_agree_are_told_apart(spark):
+    texts = [(i, f"text {i} " * 40) for i in range(6)] + [(2, "text 2 " * 40)]
+    docs = spark.createDataFrame(texts, DOCS)
+    got = suffix_index.with_rows(docs, F.pmod("doc_id", F.lit(3))).collect()
+    assert len({r["row"] for r in got}) == 6
+    assert len({r["row"] for r in got if r["doc_id"] == 2}) == 1
+
+
+def test_spans_are_merged_before_they_are_gathered(spark):
+    spans = [(1, i, i + 200) for i in range(0, 150_000, 7)] + [(2, 5, 300), (2, 5, 205), (2, 301, 501), (2, 300, 501)]
+    got = {(r["row"], r["start"], r["stop"]) for r in suffix_index.merged_by_tile(spark.createDataFrame(spans, suffix_index.SPAN)).collect()}
+    assert len(got) == 4
+    assert (2, 5, 501) in got
+
+
 def test_repeats_in_very_long_texts(spark):
     rng = np.random.default_rng(3)
     long = bytes(rng.integers(97, 123, suffix_index.CHUNK * 2 + 12345, dtype=np.uint8)).decode()

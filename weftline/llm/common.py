@@ -42,10 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_local_folder}"
 
 
-@lru_cache(maxsize=1)
-def hash_tables(n: int = CHUNK + 1024):
+@lru_cache(maxsize=2)
+def hash_tables(family: int = 0, n: int = CHUNK + 1024):
     """A random value for each byte, and powers of an odd base and of its inverse."""
-    rng = np.random.Generator(np.random.PCG64(20240229))
+    rng = np.random.Generator(np.random.PCG64(20240229 + family))
     values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     base = int(rng.integers(1, 2**62)) * 2 + 1
     inverse = pow(base, -1, 2**64)
@@ -58,9 +58,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, family: int = 0) -> np.ndarray:
     """Running sums p of bytes, CHUNK and a little more at most, such that (p[b] - p[a]) * inverse[a] tells data[a:b] apart."""
-    values, power, _ = hash_tables()
+    values, power, _ = hash_tables(family)
     out = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(values[data] * power[: len(data)], out=out[1:])
     return out

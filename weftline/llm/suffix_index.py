@@ -1,25 +1,29 @@
 """Removal of repeated 200-byte strings with a logarithmic family of suffix indexes.
 
-An index holds sampled suffixes.  Every window of LENGTH bytes picks the suffix that starts
-at the smallest hash among its GRAM-byte strings (the leftmost of equals), so equal windows
-pick suffixes that agree, and a run of windows that pick one suffix is one entry:
+An index holds sampled suffixes.  Every window of LENGTH bytes picks the smallest hash among its GRAM-byte
+strings, so equal windows pick suffixes that agree in GRAM bytes, and a run of windows that pick one gram is one entry:
 
-    gram    hash of the suffix's first GRAM bytes, by which the index is sorted
+    lead    the first 8 bytes of the suffix, as a number in the order of bytes
+    gram    hash of the suffix's first GRAM bytes
     whole   hash of all bytes that the run's windows cover
-    row, start, windows    where the run begins and how many windows it has
-
-Documents come in batches.  A batch's entries are sorted into an index of their own
-(a table bucketed and sorted by gram, so that scanning two levels is a merge join without
-exchange), which is merge-scanned against itself and against every level; entries whose gram recurs
-are put out from both sides.  A gram with more entries than half a bucket of its batch, of which
-there can be no more than twice as many as buckets, recurs for certain: its entries are
-put out at once, in this batch and all later ones, and no bucket has to hold them.  Then levels of equal size merge, as digits carry in a
-binary counter, so each entry is rewritten a logarithmic number of times.
-
-Of the entries put out, those with equal ``whole`` repeat in all their windows.  The others
-share a suffix start but not all of the context: their bytes are fetched and the windows compared, by gram.
+    row, start, windows    where the run begins and how many windows it has, STRETCH at most
+
+Documents come in batches.  A batch's entries are sorted by suffix (its lead, then its gram) into an index of their own
+(a table bucketed by both, so that scanning two levels is a merge join without exchange), which is
+merge-scanned against itself and against every level for suffixes that recur.  A gram with more entries
+than half a bucket of its batch, of which there can be no more than twice as many as buckets, recurs for certain: its entries
+are kept apart, in this batch and all later ones, and no bucket has to hold them.  Then levels of equal size
+merge, as digits carry in a binary counter, so each entry is rewritten a logarithmic number of times; after the
+last batch nothing is merged, since nothing will scan it.  What recurs is then taken out of all levels, each entry once.
+
+Of those entries, ones with equal ``whole`` repeat in all their windows.  The others
+share a suffix start but not all of the context: their bytes are fetched and the windows compared, by gram, on hashes of 128 bits.
 Windows of grams with more than HOT contexts are dealt out by window hash in packed
-blocks instead, so no task gets a whole gram.
+blocks instead, so no task gets a whole gram.  Windows that repeat within one run, as in text with a short
+period, are told apart where the run is made.  Overlapping spans are merged by tiles of a document before
+any document's are gathered.
+
+Rows are told apart by a hash of doc_id and text; rows in whose hash unlike documents agree get another one.
 
 Strings are judged on the input and bytes counted in UTF-8.  Defined results: a null text counts as
 empty; texts under LENGTH bytes keep everything; rows equal in doc_id and text count as two
@@ -34,13 +38,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK, Scratch, hash_tables, mix, prefix_hashes, slices, table
 
 LENGTH = 200
 GRAM = 64
+#: Windows of one entry at most: as many as can hold one gram.
+STRETCH = LENGTH - GRAM + 1
+#: Bytes of a document within which spans are merged before they are gathered.
+TILE = 1 << 16
 #: Batches that a corpus is dealt into.
 BATCHES = 4
 #: Contexts of one gram that are compared in one task.
@@ -49,16 +57,32 @@ HOT = 4096
 HOT_ENTRIES = 1000
 BLOCK_WINDOWS = 1 << 20
 
-ENTRY = "gram long, whole long, row long, start int, windows int"
+ENTRY = "lead long, gram long, whole long, row long, start int, windows int"
+KEY = ["lead", "gram"]
 
 
-def string_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
+def string_hashes(prefix: np.ndarray, size: int, family: int = 0) -> np.ndarray:
     """Hash of every string of ``size`` bytes."""
-    inverse = hash_tables()[2]
+    inverse = hash_tables(family)[2]
     n = len(prefix) - size
     return mix((prefix[size:] - prefix[:n]) * inverse[:n])
 
 
+def again(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether a pair of hashes occurs more than once."""
+    order = np.argsort(one, kind="stable")
+    a, b = one[order], two[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # the first hashes collide
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    out = np.zeros(len(one), dtype=bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     have = 1
     while have * 2 <= width:
@@ -68,26 +92,59 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def entries(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Entries of joined texts that end at ``ends``: (start, windows, gram hash, whole hash)."""
+    """Entries of joined texts that end at ``ends``: (start, windows, lead, gram hash, whole hash).
+
+    An entry with -n windows tells of n windows that repeat within one run.
+    """
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return none, none, none, none
-    grams = string_hashes(prefix_hashes(data), gram)
+        return none, none, none, none, none
+    prefix = prefix_hashes(data)
+    grams = string_hashes(prefix, gram)
     order = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     pick = (_sliding_min(order, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = np.arange(len(pick))
     valid = at + length <= np.repeat(ends, np.diff(np.concatenate([[0], ends])))[: len(pick)]
+    picked = grams[pick]
     fresh = valid.copy()
-    fresh[1:] &= (pick[1:] != pick[:-1]) | ~valid[:-1]
+    fresh[1:] &= (picked[1:] != picked[:-1]) | ~valid[:-1]
     start = np.flatnonzero(fresh)
     if not len(start):
-        return none, none, none, none
+        return none, none, none, none, none
     # a run goes to the next fresh window or to the last valid one
     counted = np.concatenate([[0], np.cumsum(valid)])
     windows = np.diff(np.concatenate([counted[start], [counted[-1]]]))
+    stretch = length - gram + 1
+    if windows.max() > stretch:  # text with a short period
+        parts = -(-windows // stretch)
+        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, windows = np.repeat(start, parts) + step * stretch, np.minimum(stretch, np.repeat(windows, parts) - step * stretch)
+        fresh[start] = True
     view = memoryview(data)
-    whole = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), (start + windows - 1 + length).tolist(), strict=True)], dtype=np.uint64)
-    return start, windows, grams[pick[start]].view(np.int64), whole.view(np.int64)
+    stop = start + windows - 1 + length
+    whole = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], dtype=np.uint64)
+    first = pick[start]
+    lead = np.zeros(len(start), dtype=np.uint64)
+    for i in range(8):
+        lead = (lead << np.uint64(8)) | data[first + i]
+    lead ^= np.uint64(1 << 63)  # signed numbers in the order of bytes
+    out = [start, windows, lead.view(np.int64), picked[start].view(np.int64), whole.view(np.int64)]
+    # equal windows of one run pick different places of one gram
+    moved = np.flatnonzero((pick[1:] != pick[:-1]) & valid[1:] & ~fresh[1:]) + 1
+    if len(moved):
+        run = np.unique(np.searchsorted(start, moved, "right") - 1)
+        owner = np.repeat(run, windows[run])
+        window = np.arange(len(owner)) - np.repeat(np.cumsum(windows[run]) - windows[run] - start[run], windows[run])
+        salt = mix(owner.astype(np.uint64))
+        one, two = (string_hashes(p, length, f)[window] for f, p in enumerate((prefix, prefix_hashes(data, 1))))
+        twice = np.flatnonzero(again(one ^ salt, two ^ salt))
+        split = np.concatenate([[True], (window[twice][1:] != window[twice][:-1] + 1) | (owner[twice][1:] != owner[twice][:-1])]) if len(twice) else none
+        a = np.flatnonzero(split)
+        n = np.diff(np.concatenate([a, [len(twice)]])) if len(a) else none
+        run = owner[twice[a]]
+        more = [window[twice[a]], -n, *(x[run] for x in out[2:])]
+        out = [np.concatenate([x, y.astype(x.dtype)]) for x, y in zip(out, more, strict=True)]
+    return tuple(out)
 
 
 def _chunks(sizes: list[int], limit: int = CHUNK):
@@ -105,8 +162,8 @@ def _chunks(sizes: list[int], limit: int = CHUNK):
 def suffixes(docs: DataFrame) -> DataFrame:
     """Entries of all texts of ``docs`` (row, text)."""
 
-    def batch_of(row, start, windows, gram, whole):
-        return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(whole, pa.int64()), pa.array(row, pa.int64()), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], ["gram", "whole", "row", "start", "windows"])
+    def batch_of(row, start, windows, lead, gram, whole):
+        return pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(gram, pa.int64()), pa.array(whole, pa.int64()), pa.array(row, pa.int64()), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], ["lead", "gram", "whole", "row", "start", "windows"])
 
     def run(batches):
         for batch in (part for batch in batches for part in slices(batch, 1)):
@@ -135,55 +192,53 @@ class SuffixIndex:
         self.scratch, self.spark = scratch, scratch.spark
         self.levels: dict[int, str] = {}
         self.count = 0
-        self.hot: set[int] = set()
-        self.put_out: list[str] = []
+        self.hot: set[tuple[int, int]] = set()
+        self.recurring: list[DataFrame] = []
+        self.apart: list[DataFrame] = []
+        self.tables: set[str] = set()
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, df: DataFrame) -> str:
         name = f"w{self.scratch.root.rpartition('-')[2]}_{self.count}"
         self.count += 1
-        df = df.repartition(self.buckets, "gram").sortWithinPartitions("gram")
-        df.write.format("parquet").option("path", self.scratch.path(name)).option("compression", "snappy").bucketBy(self.buckets, "gram").sortBy("gram").saveAsTable(name)
+        self.tables.add(name)
+        df = df.repartition(self.buckets, *KEY).sortWithinPartitions(*KEY)
+        df.write.format("parquet").option("path", self.scratch.path(name)).option("compression", "zstd").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
+        self.tables.discard(name)
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.scratch.drop(name)
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Index a batch; entries, new or old, whose gram recurs because of it."""
-        rows = self.scratch.save(batch, f"batch{self.count}")
+    def _grams(self, keys) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame(sorted(keys), "lead long, gram long"))
+
+    def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
+        """Index a batch; the suffixes (lead, gram), new or old, that recur because of it."""
+        number = self.count
+        rows = self.scratch.save(batch, f"batch{number}")
+        entry, within = rows.where("windows > 0"), rows.where("windows < 0")
         limit = max(HOT_ENTRIES, rows.count() // (2 * self.buckets))
-        fresh = {r["gram"] for r in rows.groupBy("gram").count().where(F.col("count") > limit).select("gram").collect()} - self.hot
+        fresh = {(r["lead"], r["gram"]) for r in entry.groupBy(*KEY).count().where(F.col("count") > limit).select(*KEY).collect()} - self.hot
         self.hot |= fresh
-        frame = lambda grams: F.broadcast(self.spark.createDataFrame([(g,) for g in sorted(grams)], "gram long"))
-        own = self._write(rows.join(frame(self.hot), "gram", "left_anti"))
-        run = self.spark.table(own)
-        grams = run.groupBy("gram").agg((F.count(F.lit(1)) > 1).alias("twice"))
-        certain = rows.join(frame(self.hot), "gram", "left_semi")
-        found = []
-        old = None
+        hot = self._grams(self.hot)
+        own = self._write(entry.join(hot, KEY, "left_anti"))
+        grams = self.spark.table(own).groupBy(*KEY).agg((F.count(F.lit(1)) > 1).alias("twice"))
+        recurs = grams.where("twice").select(*KEY)
         for name in self.levels.values():
-            level = self.spark.table(name)
-            found.append(level.join(grams.select("gram"), "gram", "left_semi"))
-            if fresh:  # entries from before the gram was common
-                found.append(level.join(frame(fresh), "gram", "left_semi"))
-            keys = level.select("gram").distinct()
-            old = keys if old is None else old.unionByName(keys)
-        recurs = grams.where("twice").select("gram")
-        if old is not None:
-            recurs = recurs.union(old.join(grams.select("gram"), "gram", "left_semi")).distinct()
-        found += [run.join(recurs, "gram", "left_semi"), certain]
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more)
-        out = self.scratch.save(out, f"found{self.count}")
-        self.put_out.append(f"found{self.count}")
-        self.scratch.drop(f"batch{self.count - 1}")
+            recurs = recurs.unionByName(self.spark.table(name).select(*KEY).distinct().join(grams.select(*KEY), KEY, "left_semi"))
+        # entries of a gram from before it was common are in levels
+        recurs = self.scratch.save(recurs.unionByName(self.spark.createDataFrame(sorted(fresh), "lead long, gram long")), f"recurs{number}")
+        self.recurring.append(recurs)
+        self.apart.append(self.scratch.save(entry.join(hot, KEY, "left_semi").unionByName(within), f"apart{number}"))
+        self.scratch.drop(f"batch{number}")
         size, merged = 0, [own]
-        while size in self.levels:
+        while size in self.levels and not last:
             merged.append(self.levels.pop(size))
             size += 1
+        if last:
+            size = -1
         if len(merged) > 1:
             union = self.spark.table(merged[0])
             for name in merged[1:]:
@@ -192,21 +247,22 @@ class SuffixIndex:
             for name in merged:
                 self._drop(name)
         else:
-            self.levels[0] = own
-        return out
+            self.levels[size] = own
+        return recurs
+
+    def found(self) -> DataFrame:
+        """Every entry whose suffix recurs, once, and those that tell of repeats within a run."""
+        recurs = reduce(DataFrame.unionByName, self.recurring).distinct()
+        recurs = self.scratch.save(recurs, "recurs")
+        levels = [self.spark.table(name).join(recurs, KEY, "left_semi") for name in self.levels.values()]
+        return reduce(DataFrame.unionByName, [*levels, *self.apart])
 
     def close(self) -> None:
-        for name in self.levels.values():
+        for name in list(self.tables):
             self._drop(name)
         self.levels.clear()
 
 
-def _runs(flags: np.ndarray):
-    """(first, end) of runs of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return edge[::2], edge[1::2]
-
-
 SPAN = "row long, start int, stop int"
 
 
@@ -221,10 +277,9 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
     gram; windows of hot grams as packed blocks by hash.
     """
     by_row = asked.groupBy("row").agg(F.collect_list(F.struct("gram", "start", "windows", "hot")).alias("asked"))
-    texts = docs.groupBy("row").agg(F.first("text").alias("text"))  # repeated rows once
-    joined = by_row.join(texts, "row").select("row", "asked", "text")
-    names = ["hot", "key", "row", "start", "windows", "body", "rows", "starts"]
-    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    joined = docs.join(by_row, "row").groupBy("row").agg(F.first("asked").alias("asked"), F.first("text").alias("text"))  # repeated rows once
+    names = ["hot", "key", "row", "start", "windows", "body", "more", "rows", "starts"]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def cut(batches):
         held: list[tuple] = []
@@ -233,13 +288,13 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
         def flush():
             if not held:
                 return
-            w, r, s = (np.concatenate([x[i] for x in held]) for i in range(3))
+            w, x, r, s = (np.concatenate([h[i] for h in held]) for i in range(4))
             part = (w.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            w, r, s, part = w[order], r[order], s[order], part[order]
+            w, x, r, s, part = w[order], x[order], r[order], s[order], part[order]
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             ends = [*first[1:].tolist(), len(part)]
-            rows = [(True, int(part[a]), 0, 0, 0, w[a:b].tobytes(), r[a:b].tobytes(), s[a:b].tobytes()) for a, b in zip(first.tolist(), ends, strict=True)]
+            rows = [(True, int(part[a]), 0, 0, 0, *(y[a:b].tobytes() for y in (w, x, r, s))) for a, b in zip(first.tolist(), ends, strict=True)]
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -250,10 +305,10 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
                     a, n = ask["start"], ask["windows"]
                     body = text[a : a + n - 1 + LENGTH]
                     if not ask["hot"]:
-                        out.append((False, ask["gram"], row, a, n, body, None, None))
+                        out.append((False, ask["gram"], row, a, n, body, None, None, None))
                         continue
-                    w = string_hashes(prefix_hashes(np.frombuffer(body, np.uint8)), LENGTH).view(np.int64)
-                    held.append((w, np.full(n, row), np.arange(a, a + n)))
+                    w, x = (string_hashes(prefix_hashes(np.frombuffer(body, np.uint8), f), LENGTH, f).view(np.int64) for f in (0, 1))
+                    held.append((w, x, np.full(n, row), np.arange(a, a + n)))
                     size += n
                     if size >= BLOCK_WINDOWS:
                         yield from flush()
@@ -265,7 +320,7 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
         yield from flush()
 
-    sent = joined.mapInArrow(cut, "hot boolean, key long, row long, start int, windows int, body binary, rows binary, starts binary")
+    sent = joined.mapInArrow(cut, "hot boolean, key long, row long, start int, windows int, body binary, more binary, rows binary, starts binary")
     sent = sent.repartition("hot", "key").sortWithinPartitions("hot", "key")
 
     def compare(group: list) -> pa.RecordBatch | None:
@@ -276,27 +331,31 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
         windows = np.array([x[3] for x in group])
         owner = np.repeat(np.arange(len(group)), windows)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + first[owner]
-        hashes = np.concatenate([string_hashes(prefix_hashes(data[p : p + CHUNK]), LENGTH) for p in range(0, max(1, len(data) - LENGTH + 1), CHUNK - LENGTH + 1)])[at]
-        hashes ^= mix(np.array([x[0] for x in group], dtype=np.int64).view(np.uint64))[owner]
-        _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        return spans_of(owner, at - first[owner], counts[inverse] > 1, np.array([x[1] for x in group]), np.array([x[2] for x in group]))
+        salt = mix(np.array([x[0] for x in group], dtype=np.int64).view(np.uint64))[owner]
+        pieces = range(0, max(1, len(data) - LENGTH + 1), CHUNK - LENGTH + 1)
+        one, two = (np.concatenate([string_hashes(prefix_hashes(data[p : p + CHUNK], f), LENGTH, f) for p in pieces])[at] ^ salt for f in (0, 1))
+        return spans_of(owner, at - first[owner], again(one, two), np.array([x[1] for x in group]), np.array([x[2] for x in group]))
 
-    def spans_of(owner, offset, again, row, start):
-        if not again.any():
+    def spans_of(owner, offset, twice, row, start):
+        if not twice.any():
             return None
-        owner, offset = owner[again], offset[again]
+        owner, offset = owner[twice], offset[twice]
         split = np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)])
         a = np.flatnonzero(split)
         b = np.concatenate([a[1:], [len(owner)]]) - 1
         return _span_batch(row[owner[a]], start[owner[a]] + offset[a], start[owner[a]] + offset[b] + LENGTH)
 
     def compare_block(group: list) -> pa.RecordBatch | None:
-        w, r, s = (np.concatenate([np.frombuffer(x[i], np.int64) for x in group]) for i in range(3))
-        _, inverse, counts = np.unique(w, return_inverse=True, return_counts=True)
-        again = counts[inverse] > 1
-        if not again.any():
+        w, x, r, s = (np.concatenate([np.frombuffer(g[i], np.int64) for g in group]) for i in range(4))
+        twice = np.flatnonzero(again(w, x))
+        if not len(twice):
             return None
-        return _span_batch(r[again], s[again], s[again] + LENGTH)
+        order = twice[np.lexsort((s[twice], r[twice]))]
+        r, s = r[order], s[order]
+        split = np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] > s[:-1] + LENGTH)])
+        a = np.flatnonzero(split)
+        b = np.concatenate([a[1:], [len(r)]]) - 1
+        return _span_batch(r[a], s[a], s[b] + LENGTH)
 
     def run(batches):
         small: list = []
@@ -304,7 +363,7 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
         block_key = None
         for batch in (part for batch in batches for part in slices(batch, "body")):
             columns = [batch.column(c).to_pylist() for c in names]
-            for hot, key, row, start, windows, body, rows, starts in zip(*columns, strict=True):
+            for hot, key, row, start, windows, body, more, rows, starts in zip(*columns, strict=True):
                 if hot:
                     if block and key != block_key:
                         found = compare_block(block)
@@ -312,7 +371,7 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
                         if found:
                             yield found
                     block_key = key
-                    block.append((body, rows, starts))
+                    block.append((body, more, rows, starts))
                 else:
                     if len(small) >= HOT and small[-1][0] != key:
                         found = compare(small)
@@ -327,31 +386,59 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
     return sent.mapInArrow(run, SPAN)
 
 
+def with_rows(docs: DataFrame, key: F.Column | None = None) -> DataFrame:
+    """``docs`` with ``row``, a hash of doc_id and text in which no two unlike documents agree.
+
+    Of 10^10 documents a few pairs are expected to agree in 64 bits: they get a hash of other seed.
+    """
+    key = F.xxhash64("doc_id", "text") if key is None else key
+    other = F.xxhash64(F.lit("row"), "text", "doc_id")
+    keyed = docs.withColumn("row", key)
+    pairs = keyed.select("row", other.alias("other")).groupBy("row").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+    both = [r["row"] for r in pairs.where("low <> high").select("row").collect()]
+    return keyed.withColumn("row", F.when(F.col("row").isin(both), other).otherwise(F.col("row"))) if both else keyed
+
+
+def merged_by_tile(spans: DataFrame) -> DataFrame:
+    """Spans (row, start, stop) without overlaps among those that begin in one tile of a row."""
+    tile = Window.partitionBy("row", "tile")
+    spans = spans.withColumn("tile", (F.col("start") / TILE).cast("int"))
+    reach = F.max("stop").over(tile.orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.when(F.col("start") <= reach, 0).otherwise(1))
+    spans = spans.withColumn("part", F.sum("fresh").over(tile.orderBy("start").rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy("row", "tile", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("row", "start", "stop")
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) -> DataFrame:
-    """(row, spans): spans of UTF-8 bytes that recur; ``row`` is a hash of doc_id and text."""
-    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    """(row, spans): spans of UTF-8 bytes that recur in ``docs`` (row, text), where ``row`` is that of ``with_rows``, or (doc_id, text)."""
+    docs = docs if "row" in docs.columns else with_rows(docs)
+    docs = docs.select("row", F.coalesce("text", F.lit("")).alias("text"))
     index = SuffixIndex(scratch)
-    parts = [index.add(suffixes(docs.where(F.pmod("row", F.lit(batches)) == i))) for i in range(batches)]
-    index.close()
-    found = scratch.save(reduce(DataFrame.unionByName, parts).distinct(), "found")
-    scratch.drop(*index.put_out)
-    classes = found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "windows")).alias("one"))
+    try:
+        for i in range(batches):
+            index.add(suffixes(docs.where(F.pmod("row", F.lit(batches)) == i)), last=i == batches - 1)
+        found = scratch.save(index.found(), "found")
+    finally:
+        index.close()
+    entry = found.where("windows > 0")
+    within = found.where("windows < 0").select("row", "start", (F.col("start") - F.col("windows") - 1 + LENGTH).alias("stop"))
+    classes = entry.groupBy("lead", "gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "windows")).alias("one"))
     classes = scratch.save(classes, "classes")
     # equal contexts: all their windows recur
-    same = found.join(classes.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
+    same = entry.join(classes.where("n > 1").select("lead", "gram", "whole"), ["lead", "gram", "whole"], "left_semi")
     same = same.select("row", "start", (F.col("start") + F.col("windows") - 1 + LENGTH).alias("stop"))
     # other contexts of one gram: compared window by window, one entry for each context
-    grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1")
+    grams = classes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1")
     grams = scratch.save(grams, "grams")
-    asked = classes.join(grams, "gram").select("gram", "one.row", "one.start", "one.windows", (F.col("contexts") > HOT).alias("hot"))
+    asked = classes.join(grams, KEY).select("gram", "one.row", "one.start", "one.windows", (F.col("contexts") > HOT).alias("hot"))
     asked = scratch.save(asked, "asked")
     hot = asked.where("hot").agg(F.sum("windows").alias("w")).first()["w"] or 0
     other = _compare_contexts(asked, docs, max(64, hot // (4 * BLOCK_WINDOWS)))
     # rows that are there twice
     twice = docs.select("row", F.octet_length("text").alias("stop")).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("stop").alias("stop")).where(f"n > 1 and stop >= {LENGTH}")
     twice = twice.select("row", F.lit(0).alias("start"), "stop")
-    spans = scratch.save(same.unionByName(other).unionByName(twice), "spans")
-    return spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = scratch.save(reduce(DataFrame.unionByName, [same, within, other, twice]), "spans")
+    return merged_by_tile(spans).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -370,9 +457,8 @@ def merge_spans(spans: list, n: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, with_text: bool = True) -> DataFrame:
     """Every row's doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (its remaining bytes; null unless asked for)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spans = repeated_spans(docs, scratch, batches)
-    joined = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(spans, "row", "left").select("doc_id", "text", "spans")
+    docs = with_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    joined = docs.join(repeated_spans(docs, scratch, batches), "row", "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in (part for batch in batches for part in slices(batch, "text")):
