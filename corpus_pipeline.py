@@ -66,8 +66,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "spans")
-    spans = suffix_index.repeated_spans(docs, scratch)
-    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row")).join(spans, "row", "left")
+    docs = suffix_index.with_rows(docs.select(COLUMNS))
+    rows = docs.join(suffix_index.repeated_spans(docs, scratch), "row", "left")
 
     def cut(batches):
         for batch in (part for batch in batches for part in slices(batch, "text")):
