@@ -11,7 +11,7 @@ from weftline.functions.actions import Actions
 from weftline.model import mapping as maps
 from weftline.plans.compile import Compiler, Trust
 from weftline.plans.operations import parse
-from weftline.sources.catalog import ParquetCatalog, SessionCatalog
+from weftline.sources.catalog import JdbcCatalog, ParquetCatalog, SessionCatalog
 from weftline.sources.store import Store
 from weftline.star import CASTS, library, star_engine, star_mapping
 from weftline.streaming.query import stream_query
@@ -254,3 +254,91 @@ def test_deep_scope(spark):
 def test_stream_refuses_totals(spark):
     with pytest.raises(Exception, match="total"):
         stream_query({"op": "query", "entity": "Event", "aggregate": {"fn": "count"}}, star_mapping(), None, None)
+
+
+def test_results_are_whole_unless_a_caller_asks_otherwise(spark):
+    n = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
+    ask = {"op": "query", "entity": "Order", "fields": ["order_key"]}
+    r = star_engine(spark, "/root/testdata/sf0.01").execute([ask])
+    assert n > 1000
+    assert len(r.log[0]["result"]) == len(json.loads(r.text)) == r.log[0]["total"] == n
+    assert "o_orderkey" in r.log[0]["plan"]
+
+
+@pytest.mark.parametrize("op", [
+    {"op": [], "entity": "Book"},
+    {"op": "query", "entity": []},
+    {"op": "query", "entity": "Book", "fields": [{}]},
+    {"op": "query", "entity": "Book", "fields": "title"},
+    {"op": "query", "entity": "Book", "filters": ["title"]},
+    {"op": "query", "entity": "Book", "relations": [{"rel": [], "entity": "Branch"}]},
+    {"op": "query", "entity": "Book", "relations": [{"rel": "heldAt", "entity": {}}]},
+    {"op": "query", "entity": "Book", "relations": [{"rel": "heldAt", "entity": "Branch", "filters": ["branch_name"]}]},
+    {"op": "create", "entity": "Book", "data": {"title": "x"}, "resolve": {"heldAt": {"entity": "Branch", "filters": ["branch_name"]}}},
+    {"op": "query", "entity": "Book", "aggregate": {"fn": [], "field": "pages"}},
+    {"op": "query", "entity": "Book", "aggregate": {"fn": "sum", "field": ["pages"]}},
+    {"op": "query", "entity": "Book", "sort": {"field": ["pages"]}},
+    {"op": "query", "entity": "Book", "sort": {"field": "pages", "dir": []}},
+    {"op": "link", "relation": [], "from": {}, "to": {}},
+    {"op": "link", "relation": "writtenBy", "from": {"entity": []}, "to": []},
+    {"op": "action", "action": []},
+    {"op": "action", "action": "x", "params": []},
+])
+def test_parts_of_the_wrong_kind_are_errors(engine, op):
+    r = engine.execute([op])
+    assert not r.ok
+    assert "not valid" in r.text
+
+
+def test_a_strange_error_leaves_nothing_staged(engine, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("the disk is gone")
+
+    monkeypatch.setattr("weftline.engine.check_rows", fail)
+    files = engine.source.files
+    before = files.names(f"{engine.source.root}/data")
+    r = engine.execute([book()])
+    assert not r.ok
+    assert "the disk is gone" in r.text
+    assert files.names(f"{engine.source.root}/data") == before
+
+
+def test_a_broken_manifest_is_passed_over(engine):
+    store = engine.source
+    before, version = rows(engine, "lib_books"), store.version()
+    store.files.create(f"{store.root}/manifest-{version + 1:010d}.json", '{"version": 9, "tab')
+    assert rows(engine, "lib_books") == before
+    assert engine.execute([book("after")]).ok
+    assert store.version() == version + 2
+    assert len(rows(engine, "lib_books")) == len(before) + 1
+    assert not [n for n in store.files.names(store.root) if n.startswith(".staged")]
+
+
+def test_manifest_names_are_taken_once(engine):
+    files, root = engine.source.files, engine.source.root
+    assert files.create(f"{root}/x.json", "1")
+    assert not files.create(f"{root}/x.json", "2")
+    assert files.read(f"{root}/x.json") == "1"
+
+
+def test_vacuum_spares_what_a_transaction_has_staged(engine):
+    tx = engine.source.transaction()
+    tx.change("lib_books", F.col("title") == "title 1", {"pages": F.lit(77)})
+    engine.source.vacuum()
+    tx.commit()
+    assert engine.source.table("lib_books").where("pages = 77").count() == 1
+    orphan = engine.source.transaction()
+    orphan.change("lib_books", None, {"pages": F.lit(1)})
+    assert engine.source.vacuum(age=-1) > 0
+    assert engine.source.table("lib_books").where("pages = 77").count() == 1
+
+
+def test_jdbc_catalog(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    nation = spark.read.parquet(f"{SF}/nation.parquet")
+    nation.write.format("jdbc").option("url", url).option("dbtable", "nation").save()
+    spark.read.parquet(f"{SF}/region.parquet").write.format("jdbc").option("url", url).option("dbtable", "region").save()
+    catalog = JdbcCatalog(spark, url, partition={"nation": ("n_nationkey", 0, 25, 3)})
+    df = Engine(spark, star_mapping(), catalog).frame({"op": "query", "entity": "Nation", "filters": {"nation_key": 3}, "relations": [{"rel": "inRegion", "entity": "Region"}]})
+    assert "PushedFilters: [*EqualTo(n_nationkey,3)" in plan_of(df).replace("*IsNotNull(n_nationkey), ", "").replace("*IsNotNull(n_regionkey), ", "")
+    assert [tuple(r) for r in df.collect()] == [tuple(r) for r in nation.where("n_nationkey = 3").collect()]

@@ -192,3 +192,9 @@ def test_renamed_columns():
     assert (t.physical("pet_name"), t.physical("weight"), t.physical("other")) == ("name", "kg", "other")
     assert t.column_iris == {"weight": "i"}
     assert m.by_table("animals") is t
+
+
+def test_self_references_and_circles_name_their_properties():
+    p = plan.design(ontology.parse(HEAD + classes("A", "B") + relation("boss", "ex:A", "ex:A") + relation("ab", "ex:A", "ex:B") + relation("ba", "ex:B", "ex:A")))
+    assert [r["table"] for r in p["self_references"]] == ["ex_as"]
+    assert "(by ab, ba)" in p["errors"][0]

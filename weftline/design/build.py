@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import defaultdict
+from dataclasses import asdict, dataclass
 from pathlib import Path
 
 from ..errors import PlanError
@@ -19,96 +21,119 @@ LOGICAL = {
     "decimal": "decimal", "float": "decimal", "double": "decimal",
     "boolean": "boolean", "date": "date", "dateTime": "datetime",
 }
+FLAGS = ("not_null", "required", "unique")
 
 
-def module_slice(module: str, names: list[str], plan: dict, ontology: Ontology) -> dict:
-    """What a module's columns depend on: its tables, their pinned keys, properties and value sets."""
-    wanted = set(names)
-    tables = [t for t in sorted(plan["tables"], key=lambda t: t["name"]) if t["name"] in wanted]
-    pinned = {n: [{"column": r["fk_column"], "references_table": r["parent_table"], "property_iri": r["iri"], "not_null": True} for r in plan["relationships"] if r["kind"] == "fk" and r["child_table"] == n] for n in wanted}
-    by_iri, sets = {t["ontology_iri"]: t["name"] for t in tables}, {v.iri: v for v in ontology.value_sets}
-    properties, used = [], set()
+@dataclass(frozen=True)
+class Column:
+    """A data column; ``codes`` are the values of a closed set."""
+
+    name: str
+    type: str
+    codes: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Part:
+    """What one table is built from: names that the schema itself gives it, and its data columns."""
+
+    table: str
+    taken: tuple[str, ...]
+    columns: tuple[Column, ...]
+
+
+@dataclass(frozen=True)
+class Module:
+    name: str
+    parts: tuple[Part, ...]
+
+    @property
+    def digest(self) -> str:
+        return hashlib.sha256(json.dumps(asdict(self), ensure_ascii=False).encode()).hexdigest()
+
+
+def _columns(ontology: Ontology) -> dict[str, list[Column]]:
+    """Data columns by the IRI of the class they describe."""
+    codes = {v.iri: tuple(v.codes) for v in ontology.value_sets}
+    out = defaultdict(list)
     for p in ontology.datatype_properties:
-        target = p.range or ""
-        kind = f"value_set:{local_name(target)}" if target in sets else local_name(target) or "string"
+        kind = "string" if p.range in codes else LOGICAL.get(local_name(p.range or ""), "string")
         for cls in p.domains:
-            if cls in by_iri:
-                used |= {target} & set(sets)
-                properties.append({"name": p.name, "snake_name": p.column, "on_table": by_iri[cls], "range": kind, "comment": p.comment})
-    return {
-        "module": module,
-        "tables": [{**t, "pinned_fk_columns": pinned[t["name"]]} for t in tables],
-        "ontology_slice": {"datatype_properties": properties, "value_sets": [{"name": v.name, "members": v.codes} for v in ontology.value_sets if v.iri in used]},
-    }
+            out[cls].append(Column(p.column, kind, codes.get(p.range, ())))
+    return out
+
 
+def module_slice(module: str, names: list[str], plan: dict, ontology: Ontology) -> Module:
+    """The part of plan and ontology that a module's columns depend on."""
+    keys, columns = defaultdict(list), _columns(ontology)
+    for r in plan["relationships"]:
+        if r["kind"] == "fk":
+            keys[r["child_table"]].append(r["fk_column"])
+    tables = {t["name"]: t for t in plan["tables"] if t["name"] in names}
+    return Module(module, tuple(Part(n, (t["primary_key"], "created_at", *keys[n]), tuple(columns[t["ontology_iri"]])) for n, t in sorted(tables.items())))
 
-def build_module(part: dict) -> dict:
+
+def build_module(module: Module) -> dict:
     """A column, not null and required, for each property of each table."""
-    columns = {t["name"]: [] for t in part["tables"]}
-    for p in part["ontology_slice"]["datatype_properties"]:
-        kind = "string" if p["range"].startswith("value_set:") else LOGICAL.get(p["range"], "string")
-        columns[p["on_table"]].append({"name": p["snake_name"], "type": kind, "not_null": True, "required": True, "unique": False})
-    return {"module": part["module"], "tables": [{"name": n, "columns": c} for n, c in columns.items()]}
+    flags = {f: f != "unique" for f in FLAGS}
+    return {"module": module.name, "tables": [{"name": p.table, "columns": [{"name": c.name, "type": c.type, **flags} for c in p.columns]} for p in module.parts]}
+
+
+def _wrong_column(column, where: str, seen: set[str], taken: tuple[str, ...]) -> list[str]:
+    name = column.get("name") if isinstance(column, dict) else None
+    if not isinstance(name, str) or not re.fullmatch(r"[a-z][a-z0-9_]*", name):
+        return [f"{where}: {name!r} is no column name"]
+    out = [f"{where}.{name} is there twice"] if name in seen else []
+    out += [f"{where}.{name} is a name that the schema itself uses"] if name in taken else []
+    out += [f"{where}.{name}: type {column.get('type')!r} is not one of {', '.join(TYPES)}"] if column.get("type") not in TYPES else []
+    seen.add(name)
+    return out + [f"{where}.{name}: {f} is true or false" for f in FLAGS if not isinstance(column.get(f, False), bool)]
 
 
-def check_build(build: dict, part: dict) -> list[str]:
+def check_build(build: dict, module: Module) -> list[str]:
     """What is wrong with a module's build."""
     if not isinstance(build, dict) or not isinstance(build.get("tables"), list):
         return ["a build is an object with a list of tables"]
-    errors = [] if build.get("module") == part["module"] else [f"the build is of module {build.get('module')!r}, not {part['module']!r}"]
-    wanted, seen = {t["name"]: t for t in part["tables"]}, set()
-    for t in build["tables"]:
-        name = t.get("name") if isinstance(t, dict) else None
-        if name not in wanted:
+    errors = [] if build.get("module") == module.name else [f"the build is of module {build.get('module')!r}, not {module.name!r}"]
+    taken, built = {p.table: p.taken for p in module.parts}, []
+    for table in build["tables"]:
+        name = table.get("name") if isinstance(table, dict) else None
+        if not isinstance(name, str) or name not in taken:
             errors.append(f"table {name!r} is not in the module")
             continue
-        if name in seen:
-            errors.append(f"table {name} is built twice")
-        seen.add(name)
-        reserved = {wanted[name]["primary_key"], "created_at", *(k["column"] for k in wanted[name]["pinned_fk_columns"])}
-        columns: set[str] = set()
-        if not isinstance(t.get("columns"), list):
+        errors += [f"table {name} is built twice"] if name in built else []
+        built.append(name)
+        if not isinstance(table.get("columns"), list):
             errors.append(f"{name}: columns are a list")
             continue
-        for c in t["columns"]:
-            label = c.get("name") if isinstance(c, dict) else None
-            if not isinstance(label, str) or not re.fullmatch(r"[a-z][a-z0-9_]*", label):
-                errors.append(f"{name}: {label!r} is no column name")
-                continue
-            if label in columns:
-                errors.append(f"{name}.{label} is there twice")
-            if label in reserved:
-                errors.append(f"{name}.{label} is a name that the schema itself uses")
-            columns.add(label)
-            if c.get("type") not in TYPES:
-                errors.append(f"{name}.{label}: type {c.get('type')!r} is not one of {', '.join(TYPES)}")
-            errors += [f"{name}.{label}: {flag} is true or false" for flag in ("not_null", "required", "unique") if flag in c and not isinstance(c[flag], bool)]
-    return errors + [f"table {n} is missing" for n in wanted if n not in seen]
+        seen: set[str] = set()
+        for column in table["columns"]:
+            errors += _wrong_column(column, name, seen, taken[name])
+    return errors + [f"table {n} is missing" for n in taken if n not in built]
 
 
 def build(plan: dict, ontology: Ontology, cache: str | Path | None = None) -> dict[str, dict]:
     """Builds by module.  A cached one is used only while its part of the ontology is the same."""
     out = {}
     for m in plan["modules"]:
-        part = module_slice(m["name"], m["tables"], plan, ontology)
-        key = hashlib.sha256(json.dumps(part, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
-        file = Path(cache) / f"{m['name']}.json" if cache else None
-        kept = _cached(file, key)
-        if kept is None or check_build(kept, part):
-            kept = build_module(part)
-            wrong = check_build(kept, part)
+        module = module_slice(m["name"], m["tables"], plan, ontology)
+        file = Path(cache) / f"{module.name}.json" if cache else None
+        kept = _cached(file, module.digest)
+        if kept is None or check_build(kept, module):
+            kept = build_module(module)
+            wrong = check_build(kept, module)
             if wrong:
                 raise PlanError("; ".join(wrong))
             if file:
                 file.parent.mkdir(parents=True, exist_ok=True)
-                file.write_text(json.dumps({"slice_hash": key, "build": kept}, indent=2, ensure_ascii=False), encoding="utf-8")
-        out[m["name"]] = kept
+                file.write_text(json.dumps({"slice_hash": module.digest, "build": kept}, indent=2, ensure_ascii=False), encoding="utf-8")
+        out[module.name] = kept
     return out
 
 
-def _cached(file: Path | None, key: str) -> dict | None:
+def _cached(file: Path | None, digest: str) -> dict | None:
     try:
         data = json.loads(file.read_text(encoding="utf-8")) if file else {}
-        return data["build"] if data.get("slice_hash") == key else None
+        return data["build"] if data.get("slice_hash") == digest else None
     except (OSError, ValueError, AttributeError, KeyError):
         return None

@@ -13,6 +13,7 @@ from ..model.naming import key_name, local_name, plural, prefixed, snake, table_
 from ..model.ontology import Ontology, Property, Term
 
 VERSION = 1
+# The keys of an overrides file; those of plan and schema files are fixed too.
 OVERRIDES = ("fk_parent", "ignore_classes", "junction_properties", "junction_relations", "modules")
 # Words in a comment that ask for a junction table.
 JUNCTION_WORDS = ("many-to-many", "many to many", "m:n", "m-to-n", "junction table", "join table", "must be represented with a junction")
@@ -72,8 +73,10 @@ def design(ontology: Ontology, overrides: dict | None = None) -> dict:
     levels, loops = creation_levels([t["name"] for t in tables.values()], relationships)
     modules = _modules(ontology, classes, tables, overrides)
     errors = _errors(ontology, tables, relationships, modules, overrides)
-    errors += [f"tables refer to each other in a circle: {' -> '.join([*loop, loop[0]])}; set fk_parent for one of the properties or make it a junction" for loop in loops]
+    errors += [f"tables refer to each other in a circle: {_walk(loop, relationships)}; set fk_parent for one of the properties or make it a junction" for loop in loops]
+    selves = [{"table": r["child_table"], "iri": r["iri"]} for r in relationships if r["kind"] == "fk" and r["child_table"] == r["parent_table"]]
     plan = {"schema_version": VERSION, "ontology_hash": ontology.digest, "valid": not errors, "modules": modules, "tables": list(tables.values()), "relationships": relationships, "creation_order": [{"level": i, "tables": level} for i, level in enumerate(levels)]}
+    plan |= {"self_references": selves} if selves else {}
     return plan | ({"errors": errors, "cycles": loops} if errors else {})
 
 
@@ -154,6 +157,13 @@ def _circles(parents: dict[str, set[str]]) -> list[list[str]]:
     return out
 
 
+def _walk(loop: list[str], relationships: list[dict]) -> str:
+    """A circle with the properties behind its references."""
+    by_pair = {(r["child_table"], r["parent_table"]): local_name(r["iri"]) for r in relationships if r["kind"] == "fk"}
+    pairs = zip(loop, [*loop[1:], loop[0]], strict=True)
+    return f"{' -> '.join([*loop, loop[0]])} (by {', '.join(by_pair[p] for p in pairs)})"
+
+
 def _errors(ontology: Ontology, tables: dict, relationships: list[dict], modules: list[dict], overrides: dict) -> list[str]:
     names = [t["name"] for t in tables.values()]
     out = [f"two classes give the table {n}" for n, k in Counter(names).items() if k > 1]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import copy
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,11 +45,11 @@ class Engine:
     """``source`` is a Store, or a catalog with ``table(name)`` that is only read.
 
     With ``owned`` (table -> column, see mapping.ownership) and an identity, operations see and
-    write only that identity's rows of the tables named.  Text and results hold the first ``max_rows``
-    rows of an operation and say how many there are; its frame holds all.
+    write only that identity's rows of the tables named.  Text and results hold all rows, or the first
+    ``max_rows`` where a caller sets that, and say how many there are; a frame always holds all.
     """
 
-    def __init__(self, spark: SparkSession, mapping: Mapping, source, actions: Actions | None = None, owned: dict[str, str] | None = None, deep_scope: bool = False, rewrite: bool = True, max_rows: int = 1000):
+    def __init__(self, spark: SparkSession, mapping: Mapping, source, actions: Actions | None = None, owned: dict[str, str] | None = None, deep_scope: bool = False, rewrite: bool = True, max_rows: int | None = None):
         self.spark, self.mapping, self.source = spark, mapping, source
         self.actions, self.owned, self.deep_scope, self.rewrite, self.max_rows = actions or Actions(), owned or {}, deep_scope, rewrite, max_rows
 
@@ -99,20 +98,30 @@ class Engine:
         for number, raw in enumerate(copy.deepcopy(batch), 1):
             try:
                 out, entry = run.operation(parse(raw))
-            except (WeftlineError, PySparkException) as e:
+            except Exception as e:  # Spark and the JVM raise many kinds; whatever it is, nothing staged may stay
                 if tx:
                     tx.rollback()
                 return Result(say.failed_text(number, _short(e), number - 1), False, log)
+            except BaseException:  # the caller gave up
+                if tx:
+                    tx.rollback()
+                raise
             texts.append(out)
-            log.append({"op": raw, "is_write": raw["op"] not in ("query", "action"), **entry})
+            log.append({"op": raw, "is_write": raw["op"] not in ("query", "action"), "plan": plan_text(entry.get("frame")), **entry})
         if tx:
             try:
                 tx.commit()
-            except StoreError as e:
+            except Exception as e:
+                tx.rollback()
                 return Result(say.failed_text(len(batch), _short(e), len(batch) - 1), False, log)
         return Result("\n".join(texts), True, log)
 
 
+def plan_text(frame: DataFrame | None) -> str | None:
+    """What Spark runs for a frame, literals included: what a log of statements and parameters would tell."""
+    return frame._jdf.queryExecution().optimizedPlan().toString() if frame is not None else None
+
+
 def _short(e: Exception) -> str:
     text = f"constraint_violation: {e}" if isinstance(e, ConstraintViolation) else str(e)
     return text.split("\nJVM stacktrace", 1)[0].split("\n\tat ", 1)[0].strip()
@@ -127,8 +136,11 @@ class _Run:
         return self.tx.table(name) if self.tx else self.engine.source.table(name)
 
     def rows(self, df: DataFrame) -> tuple[list[dict], int]:
-        """The first max_rows rows, and how many there are."""
+        """All rows or the first max_rows, and how many there are."""
         most = self.engine.max_rows
+        if most is None:
+            rows = [r.asDict() for r in df.collect()]
+            return rows, len(rows)
         rows = [r.asDict() for r in df.limit(most + 1).collect()]
         return rows[:most], len(rows) if len(rows) <= most else df.count()
 

@@ -16,6 +16,7 @@ def _object(properties: dict, required: list[str] | None = None, about: str = ""
     return out | ({"required": required} if required else {}) | ({"description": about} if about else {})
 
 
+# Names of a batch's operations and their properties, which callers write.
 def _base() -> dict:
     text, pairs = {"type": "string"}, {"type": "object"}
     end = _object({"entity": dict(text), "filters": dict(pairs)}, ["entity", "filters"])

@@ -21,9 +21,23 @@ def validate(batch: list, mapping: Mapping, actions: Actions = _NOTHING) -> list
 
 
 def _named(names, allowed, what: str, entity: str) -> list[str]:
+    if not all(isinstance(n, str) for n in names):
+        return [f"{what}: a field is named by a string"]
     return [f"{what}: {entity} has no field {n!r}; it has {', '.join(sorted(allowed)) or 'none'}" for n in names if n not in allowed]
 
 
+def _known(name, names) -> bool:
+    """Whether a value of any kind is one of the names."""
+    return isinstance(name, str) and name in names
+
+
+def _pairs(value, what: str, mapping: Mapping, entity: str) -> list[str]:
+    """Filters of an entity: an object of its fields, or nothing."""
+    if value is not None and not isinstance(value, dict):
+        return [f"{what}: filters is an object of field and value"]
+    return _named(value or {}, mapping.tables[entity].columns, what, entity)
+
+
 def _operation(raw, mapping: Mapping, actions: Actions) -> list[str]:
     if not isinstance(raw, dict):
         return ["an operation is an object"]
@@ -34,13 +48,15 @@ def _operation(raw, mapping: Mapping, actions: Actions) -> list[str]:
         name = raw.get("action")
         if not name:
             return ["action: the name is missing"]
-        return [] if actions.get(name) else [f"action {name!r} is not registered; there are {', '.join(actions.names()) or 'none'}"]
+        if raw.get("params") is not None and not isinstance(raw["params"], dict):
+            return ["action: params is an object"]
+        return [] if isinstance(name, str) and actions.get(name) else [f"action {name!r} is not registered; there are {', '.join(actions.names()) or 'none'}"]
     if op in ("link", "unlink"):
         return _link(raw, mapping)
     entity = raw.get("entity")
     if not entity:
         return [f"{op}: entity is missing"]
-    if entity not in mapping.tables:
+    if not _known(entity, mapping.tables):
         return [f"{op}: entity {entity!r} is unknown; known are {', '.join(sorted(mapping.tables))}"]
     table = mapping.tables[entity]
     errors = []
@@ -81,15 +97,15 @@ def _relations(hops, mapping: Mapping, entity: str) -> list[str]:
             errors.append("a relation is an object of rel, entity and filters")
             continue
         rel, other = hop.get("rel"), hop.get("entity")
-        relation = mapping.relations.get(rel)
+        relation = mapping.relations.get(rel) if isinstance(rel, str) else None
         if relation is None:
             errors.append(f"relations: {rel!r} is unknown; known are {', '.join(sorted(mapping.relations))}")
-        if other not in mapping.tables:
+        if not _known(other, mapping.tables):
             errors.append(f"relations: entity {other!r} is unknown")
             continue
         if relation is not None and mapping.tables[other].name not in _touched(relation, mapping):
             errors.append(f"relations: {rel} doesn't reach {other}")
-        errors += _named(hop.get("filters") or {}, mapping.tables[other].columns, f"relations: {rel}", other)
+        errors += _pairs(hop.get("filters"), f"relations: {rel}", mapping, other)
     return errors
 
 
@@ -110,10 +126,10 @@ def _resolve(resolve, mapping: Mapping, entity: str) -> list[str]:
         if relation.steps[0].fk_table != mapping.tables[entity].name:
             errors.append(f"resolve: the key of {rel} is not on {entity}")
         other = spec.get("entity") if isinstance(spec, dict) else None
-        if other not in mapping.tables:
+        if not _known(other, mapping.tables):
             errors.append(f"resolve: entity {other!r} of {rel} is unknown")
             continue
-        errors += _named(spec.get("filters") or {}, mapping.tables[other].columns, f"resolve: {rel}", other)
+        errors += _pairs(spec.get("filters"), f"resolve: {rel}", mapping, other)
     return errors
 
 
@@ -121,7 +137,7 @@ def _aggregate_and_sort(raw: dict, table, entity: str) -> list[str]:
     errors = []
     aggregate, sort = raw.get("aggregate"), raw.get("sort")
     if aggregate:
-        if not isinstance(aggregate, dict) or aggregate.get("fn") not in AGGREGATES:
+        if not isinstance(aggregate, dict) or not _known(aggregate.get("fn"), AGGREGATES):
             errors.append(f"aggregate: fn is one of {', '.join(AGGREGATES)}")
         elif aggregate.get("field"):
             errors += _named([aggregate["field"]], table.columns, "aggregate", entity)
@@ -132,7 +148,7 @@ def _aggregate_and_sort(raw: dict, table, entity: str) -> list[str]:
             errors.append("sort: the field is missing")
         else:
             errors += _named([sort["field"]], table.columns, "sort", entity)
-            if sort.get("dir", "asc") not in DIRECTIONS:
+            if not _known(sort.get("dir", "asc"), DIRECTIONS):
                 errors.append(f"sort: dir is {' or '.join(DIRECTIONS)}")
             if aggregate:
                 errors.append("sort: an aggregate is a single row")
@@ -141,7 +157,7 @@ def _aggregate_and_sort(raw: dict, table, entity: str) -> list[str]:
 
 def _link(raw: dict, mapping: Mapping) -> list[str]:
     op, name = raw["op"], raw.get("relation")
-    relation = mapping.relations.get(name)
+    relation = mapping.relations.get(name) if isinstance(name, str) else None
     if relation is None:
         return [f"{op}: relation {name!r} is unknown" if name else f"{op}: relation is missing"]
     if relation.is_direct:
@@ -149,7 +165,7 @@ def _link(raw: dict, mapping: Mapping) -> list[str]:
     errors, ends = [], []
     for side in ("from", "to"):
         end = raw.get(side)
-        if not isinstance(end, dict) or end.get("entity") not in mapping.tables:
+        if not isinstance(end, dict) or not _known(end.get("entity"), mapping.tables):
             errors.append(f"{op}: {side} needs a known entity")
             continue
         ends.append(end["entity"])
