@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from weftline import star
+from weftline import atlas, star
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,18 +27,27 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(star.queries()))
-def test_query(spark, duck, name):
-    df = star.queries()[name](spark, SF)
+def compare(module, spark, duck, name):
+    df = module.queries()[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((repr([plain(r[c]) for c in columns]) for r in df.collect()))
-    cursor = duck.execute(star.oracle_sql()[name])
+    cursor = duck.execute(module.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     want = sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in cursor.fetchall())
     assert got == want
 
 
+@pytest.mark.parametrize("name", sorted(star.queries()))
+def test_query(spark, duck, name):
+    compare(star, spark, duck, name)
+
+
+@pytest.mark.parametrize("name", sorted(atlas.queries()))
+def test_query_of_domains_made_from_tables(spark, duck, name):
+    compare(atlas, spark, duck, name)
+
+
 def test_entry(spark):
     import __spark_entry__
 

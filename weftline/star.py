@@ -169,15 +169,18 @@ def _store_engine(spark: SparkSession, sf_dir: str, *tables: str) -> Engine:
     return Engine(spark, mapping, store, owned=maps.ownership(mapping, "Customer"))
 
 
-def _written(tables: tuple, batch: list[dict], show: str, identity=None) -> Callable:
-    """Run a batch on a store; ``show`` is a table's state, or ``returned`` for the rows of the last operation."""
+def _written(tables: tuple, batch: list[dict], show: str, identity=None, refused: str = "") -> Callable:
+    """Run a batch on a store; ``show`` is a table's state, or ``returned`` for the rows of the last operation.
+
+    ``refused``: why the batch must fail.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = _store_engine(spark, sf_dir, *tables)
         result = engine.execute(batch, identity)
+        if result.ok == bool(refused) or refused not in result.text:
+            raise RuntimeError(f"not as it should be: {result.text}")
         if show == "returned":
-            if not result.ok:
-                raise RuntimeError(result.text)
             return _plain(result.log[-1]["frame"])
         return _plain(engine.source.table(show))
 
@@ -199,12 +202,12 @@ WRITES: dict[str, tuple[Callable, str]] = {
     "w_update_all": (_written(("region",), [{"op": "update", "entity": "Region", "data": {"name": "X"}}], "region"), "SELECT r_regionkey, 'X' AS r_name FROM region"),
     "w_delete_returned": (_written(("customer",), [{"op": "delete", "entity": "Customer", "filters": {"segment": "AUTOMOBILE"}}], "returned"), f"SELECT {_CUSTOMER} FROM customer WHERE c_mktsegment = 'AUTOMOBILE'"),
     "w_delete_state": (_written(("customer",), [{"op": "delete", "entity": "Customer", "filters": {"segment": "AUTOMOBILE"}}], "customer"), f"SELECT {_CUSTOMER} FROM customer WHERE c_mktsegment <> 'AUTOMOBILE' OR c_mktsegment IS NULL"),
-    "w_delete_refused": (_written(("nation", "supplier"), [{"op": "delete", "entity": "Nation"}], "nation"), "SELECT * FROM nation"),
+    "w_delete_refused": (_written(("nation", "supplier"), [{"op": "delete", "entity": "Nation"}], "nation", refused="supplier.s_nationkey still refers to nation.n_nationkey"), "SELECT * FROM nation"),
     "b_batch_commit": (
         _written(("nation", "supplier"), [{"op": "update", "entity": "Supplier", "filters": {"supplier_key": 1}, "data": {"name": "one"}}, {"op": "update", "entity": "Supplier", "filters": {"name": "one"}, "data": {"balance": 5}}, {"op": "delete", "entity": "Supplier", "filters": {"supplier_key": 2}}], "supplier"),
         f"SELECT {_SUPPLIER} FROM supplier WHERE s_suppkey NOT IN (1, 2) UNION ALL SELECT s_suppkey, 'one', s_nationkey, 5.0 FROM supplier WHERE s_suppkey = 1",
     ),
-    "b_batch_rollback": (_written(("nation", "supplier"), [{"op": "delete", "entity": "Supplier"}, {"op": "update", "entity": "Nation", "data": {"nation_key": 1}}], "supplier"), f"SELECT {_SUPPLIER} FROM supplier"),
+    "b_batch_rollback": (_written(("nation", "supplier"), [{"op": "delete", "entity": "Supplier"}, {"op": "update", "entity": "Nation", "data": {"nation_key": 1}}], "supplier", refused="nation.n_nationkey must be unique"), f"SELECT {_SUPPLIER} FROM supplier"),
 }
 
 
