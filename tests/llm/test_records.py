@@ -3,6 +3,9 @@
 import base64
 import gzip
 import hashlib
+import re
+import textwrap
+from pathlib import Path
 
 import duckdb
 import pyarrow.parquet as pq
@@ -140,6 +143,50 @@ def test_licence_forms(spark):
     assert got[None]["license"] == "MIT"
 
 
+def _wrapped(text: str, width: int, before: str = "") -> str:
+    paragraphs = [textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n")]
+    return "\n".join(before + line for line in "\n\n".join(paragraphs).split("\n"))
+
+
+def test_published_licences_in_any_wrapping(spark):
+    texts = {n: t for n, (t, _) in license_lookup.TEXTS.items() if n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0")}
+    rows, want = [], {}
+    for n, text in texts.items():
+        for width in range(60, 101, 4):
+            for head, before in (("", ""), ("Copyright (c) 2024, Some One\nAll rights reserved.\n\n", ""), ("Copyright Example Corporation and its affiliates\n\n", " * "), (f"{license_lookup.TEXTS[n][1][0]}\n\nCopyright © 2020 A\n\n", "// ")):
+                body = text
+                if before == " * ":
+                    for i in "123":
+                        body = body.replace(f"\n{i}. ", "\n* ")
+                rows.append((len(rows), _wrapped(head, 200, before) + "\n" + _wrapped(body, width, before)))
+                want[len(rows) - 1] = n
+    got = licences(spark, rows)
+    assert {i: got[i]["license"] for i in got} == want
+
+
+def test_copyright_lines_of_a_licence_itself_stay():
+    pattern = re.compile(license_lookup.COPYRIGHT_LINE)
+    for line in ("copyright notice and this permission notice appear", "copyright holders be liable", "copyright law.", "copyright license to reproduce", "(c) you must retain", "all rights reserved by law"):
+        assert not pattern.search(line)
+    for line in ("copyright (c) 2020", "# copyright 2020 x", " * (c) 2020 x", "copyright someone else", "© 1999", "all rights reserved.", "-- copyright: 2001"):
+        assert pattern.search(line)
+
+
+def test_licence_files_are_known_with_and_without_their_appendix(spark):
+    files = sorted((Path(license_lookup.__file__).parent / "licences").glob("*.txt"))
+    rows = [(i, f.read_text().replace("\n", "\r\n").upper()) for i, f in enumerate(files)]
+    rows.append((100, files[0].read_text().partition("END OF TERMS")[0] + "END OF TERMS AND CONDITIONS\n"))
+    got = licences(spark, rows)
+    assert [got[i]["license"] for i in range(len(files))] == [f.stem for f in files]
+    assert got[100]["license"] == "Apache-2.0"
+
+
+def test_licence_of_a_very_long_text_and_of_repeated_rows(spark):
+    long = "word " * 600_000
+    got = run(license_lookup.lookup(spark.createDataFrame([(1, long), (1, long), (2, long + "\nReleased under the MIT License.\n")], DOCS), Scratch(spark, "t")))
+    assert sorted((r["doc_id"], r["license"], r["notices"]) for r in got) == [(1, None, None), (1, None, None), (2, None, "MIT")]
+
+
 def test_licence_empty_and_own_table(spark):
     assert licences(spark, []) == {}
     known = spark.createDataFrame([("B", "Same text."), ("A", "same TEXT"), ("C", "...")], "license string, text string")

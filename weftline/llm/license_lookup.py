@@ -1,10 +1,16 @@
 """Licence texts by canonical digest.
 
-A text is made canonical: lower case, copyright lines out, punctuation and white space to single
+A text is made canonical: lower case, lines of copyright notices and marks of list items out, punctuation and white space to single
 spaces, equivalent spellings to one.  The digest of the result is looked up, by a hash
 join, among the digests of known texts, made the same way.  Entire texts are looked up:
 the document as a whole, and each of its lines by itself, since a notice is a line.
 
+A copyright notice is a line that, comment marks aside, says "copyright" or its sign and then a sign, a year or a
+name, or that reserves all rights and says no more.  A licence's own lines about copyright stay, however they are wrapped.
+
+Known are the texts in KNOWN, with and without their usual headings, and those of the folder ``licences``, a file for each,
+named as in the SPDX list; a caller may give a table of others.
+
 Only DataFrame functions are used.  Texts are read once; lines whose canonical length is
 that of no known text are not digested, as they can't be equal to one.
 
@@ -15,7 +21,8 @@ first name in order; repeated rows are looked up alike; an empty table gives no
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,23 +33,46 @@ from .common import Scratch, table
 SPELLINGS = {
     "acknowledgement": "acknowledgment",
     "analogue": "analog",
+    "analyse": "analyze",
+    "artefact": "artifact",
     "authorisation": "authorization",
     "authorised": "authorized",
+    "calibre": "caliber",
+    "cancelled": "canceled",
+    "capitalisations": "capitalizations",
     "catalogue": "catalog",
+    "categorise": "categorize",
+    "centre": "center",
+    "emphasised": "emphasized",
     "favour": "favor",
     "favourite": "favorite",
     "fulfil": "fulfill",
     "fulfilment": "fulfillment",
+    "initialise": "initialize",
     "judgement": "judgment",
+    "labelling": "labeling",
     "labour": "labor",
     "licence": "license",
     "licences": "licenses",
     "licenced": "licensed",
+    "maximise": "maximize",
+    "modelled": "modeled",
+    "modelling": "modeling",
+    "non commercial": "noncommercial",
+    "offence": "offense",
+    "optimise": "optimize",
     "organisation": "organization",
     "organisations": "organizations",
+    "organise": "organize",
     "owner": "holder",
     "owners": "holders",
+    "per cent": "percent",
+    "practise": "practice",
+    "programme": "program",
+    "realise": "realize",
+    "recognise": "recognize",
     "recognised": "recognized",
+    "signalling": "signaling",
     "sub license": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
@@ -88,21 +118,32 @@ DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DI
 
 0. You just DO WHAT THE FUCK YOU WANT TO."""
 
-# Published licence texts, with and without a heading, and one-line notices.
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+# Published licence texts and their usual headings.
+TEXTS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "0BSD": (_ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", ""), ("BSD Zero Clause License", "Zero-Clause BSD")),
+    "BSD-2-Clause": (_BSD_HEAD + _BSD_TAIL, ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "BSD License")),
+    "BSD-3-Clause": (_BSD_HEAD + _BSD_THIRD + _BSD_TAIL, ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "BSD License")),
+    "BSL-1.0": (_BOOST, ("Boost Software License - Version 1.0 - August 17th, 2003",)),
+    "ISC": (_ISC, ("ISC License", "The ISC License", "ISC License (ISC)")),
+    "MIT": (_MIT, ("MIT License", "The MIT License", "The MIT License (MIT)")),
+    "Unlicense": (_UNLICENSE, ("The Unlicense",)),
+    "Unlicense ": (_UNLICENSE + "\nFor more information, please refer to <https://unlicense.org>", ("The Unlicense",)),
+    "Unlicense  ": (_UNLICENSE + "\nFor more information, please refer to <http://unlicense.org/>", ()),
+    "WTFPL": (_WTFPL, ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004",)),
+    "Zlib": (_ZLIB, ("zlib License", "The zlib License")),
+}
+# One-line notices.
 KNOWN: list[tuple[str, str]] = [
-    ("0BSD", _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
-    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
-    ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
-    ("BSL-1.0", _BOOST),
-    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST),
-    ("ISC", _ISC),
-    ("ISC", "ISC License\n\n" + _ISC),
-    ("MIT", _MIT),
-    ("MIT", "MIT License\n\n" + _MIT),
-    ("MIT", "The MIT License (MIT)\n\n" + _MIT),
-    ("WTFPL", _WTFPL),
-    ("Zlib", _ZLIB),
-    ("Zlib", "zlib License\n\n" + _ZLIB),
+    *((name.strip(), f"{heading}\n\n{text}".strip()) for name, (text, headings) in TEXTS.items() for heading in ("", *headings)),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -110,14 +151,30 @@ KNOWN: list[tuple[str, str]] = [
     *((name, f"SPDX-License-Identifier: {name}") for name in ("0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "GPL-3.0", "ISC", "MIT", "WTFPL", "Zlib")),
 ]
 
-# The two patterns mean the same in Java's and in RE2's syntax.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+
+@lru_cache(maxsize=1)
+def known_texts() -> list[tuple[str, str]]:
+    """(license, text) of KNOWN and of the files beside this module, with and without advice on how to apply them."""
+    out = list(KNOWN)
+    for file in sorted((Path(__file__).parent / "licences").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        terms, end, rest = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(file.stem, text)] + ([(file.stem, terms + end)] if rest.strip() else [])
+    return out
+
+
+#: Comment marks before a notice.
+_MARKS = r"[ \t\r/*#;|!<>%\"'.-]*"
+#: Words after "copyright" that are a licence's own words and no name.
+_OWN_WORDS = "notices?|holders?|owners?|laws?|licen[sc]es?|statements?|interests?|ownership|treat(?:y|ies)|protections?|permissions?|disclaimers?|status|act|and|or|in|to|of|is|on|as|for|by its|under|grant|resulting|governing|assignment|disputes?|infringements?|rights?|works?|material"
+COPYRIGHT_LINE = rf"(?m)^{_MARKS}(?:copyright[ \t:]*(?:\(c\)|©|&copy;|[0-9<\[{{])|(?:\(c\)|©|&copy;)[ \t]*(?:copyright|[0-9])|copyright[ \t]+(?!(?:{_OWN_WORDS})\b)[a-z]|all rights reserved[ \t\r.!]*$)[^\n]*"
+ITEM_MARK = rf"(?m)^{_MARKS}\(?(?:[0-9]{{1,2}}|[a-z])[.)](?=[ \t])"
 PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """Canonical text with its lines apart; each line starts and ends with a space."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), ITEM_MARK, "")
     out = F.concat(F.lit(" "), F.regexp_replace(out, PUNCTUATION, "  "), F.lit(" "))
     out = F.replace(out, F.lit("\n"), F.lit(" \n "))
     return reduce(lambda s, x: F.replace(s, F.lit(f" {x[0].replace(' ', '  ')} "), F.lit(f" {x[1]} ")), SPELLINGS.items(), out)
@@ -136,7 +193,7 @@ def digests_of(known: DataFrame) -> DataFrame:
 def lookup(docs: DataFrame, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
     """doc_id, text_digest, license (of the whole text), notices (licences of single lines, joined by commas)."""
     spark = docs.sparkSession
-    known = known if known is not None else spark.createDataFrame(KNOWN, "license string, text string")
+    known = known if known is not None else spark.createDataFrame(known_texts(), "license string, text string")
     known = scratch.save(digests_of(known), "known")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), canonical_lines(F.col("text")).alias("c"))
@@ -157,23 +214,34 @@ def op5_license_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    canon = f"' ' || regexp_replace(regexp_replace(lower(text), {quoted(COPYRIGHT_LINE)}, '\\1', 'g'), {quoted(PUNCTUATION)}, '  ', 'g') || ' '"
-    canon = f"replace({canon}, chr(10), ' ' || chr(10) || ' ')"
+    """By lists of lines and words: a line is a notice if it starts like one and goes on like none of the licence's own words."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    head = quoted("^[[:space:]/*#;|!<>%\"'.-]*")
+    starts = [r"copyright[ \t:]*([(]c[)]|©|&copy;|[0-9]|<|\[|[{])", r"([(]c[)]|©|&copy;)[ \t]*(copyright|[0-9])", r"copyright[ \t]+[a-z]", r"all rights reserved[[:space:].!]*$"]
+    own = rf"^copyright[ \t]+({_OWN_WORDS.replace('?:', '')})([^0-9a-z_]|$)"
+    bare = f"regexp_replace(l, {head}, '')"
+    notice = f"(regexp_matches({bare}, {quoted('^(' + '|'.join(starts) + ')')}) AND NOT (regexp_matches({bare}, {quoted(own)})))"
+    lines = f"list_transform(string_split(lower(text), chr(10)), lambda l: CASE WHEN {notice} THEN '' ELSE regexp_replace(l, {head[:-1]}[(]?([0-9][0-9]?|[a-z])[.)]([ \\t])', '\\2') END)"
+    single = ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in SPELLINGS.items() if " " not in a)
+    words = f"list_transform(list_filter(regexp_split_to_array(l, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+'), lambda w: w <> ''), lambda w: coalesce(element_at(MAP {{{single}}}, w)[1], w))"
+    line = f"'  ' || array_to_string({words}, '  ') || '  '"
     for old, new in SPELLINGS.items():
-        canon = f"replace({canon}, {quoted(' ' + old.replace(' ', '  ') + ' ')}, {quoted(' ' + new + ' ')})"
-    flat = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))"
-    values = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in KNOWN)
+        if " " in old:
+            line = f"replace({line}, {quoted('  ' + old.replace(' ', '  ') + '  ')}, {quoted('  ' + new + '  ')})"
+    flat = "trim(regexp_replace({}, '[ ]+', ' ', 'g'))"
+    canon = f"list_transform({lines}, lambda l: {flat.format(line)})"
+    joined = flat.format("array_to_string({}, ' ')")
+    values = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in known_texts())
     return f"""
 WITH known AS (
   SELECT sha256(c) AS digest, min(license) AS license
-  FROM (SELECT license, {flat.format('c')} AS c FROM (SELECT license, {canon} AS c FROM (VALUES {values}) AS k(license, text)))
+  FROM (SELECT license, {joined.format('c')} AS c FROM (SELECT license, {canon} AS c FROM (VALUES {values}) AS k(license, text)))
   WHERE c <> '' GROUP BY 1),
-docs AS (SELECT doc_id, row_number() OVER () AS row, {canon} AS c FROM documents),
-lines AS (SELECT DISTINCT row, sha256({flat.format('line')}) AS digest FROM (SELECT row, unnest(string_split(c, chr(10))) AS line FROM docs)),
+docs AS (SELECT doc_id, row, c, sha256({joined.format('c')}) AS text_digest FROM (SELECT doc_id, row_number() OVER () AS row, {canon} AS c FROM documents)),
+lines AS (SELECT DISTINCT row, sha256(line) AS digest FROM (SELECT row, unnest(c) AS line FROM docs)),
 found AS (SELECT row, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM lines JOIN known USING (digest) GROUP BY row)
-SELECT d.doc_id, sha256({flat.format('d.c')}) AS text_digest, k.license, f.notices
-FROM docs d LEFT JOIN known k ON k.digest = sha256({flat.format('d.c')}) LEFT JOIN found f ON f.row = d.row
+SELECT d.doc_id, d.text_digest, k.license, f.notices
+FROM docs d LEFT JOIN known k ON k.digest = d.text_digest LEFT JOIN found f ON f.row = d.row
 """
 
 
