@@ -98,6 +98,58 @@ def test_quality_frequencies_cover_all_documents(spark):
     assert idf == pytest.approx(np.log((1 + len(texts)) / (1 + n)) + 0.1)
 
 
+def test_quality_against_brute_force(spark):
+    """The whole query with dense products and an exact SVD."""
+    docs = table(spark, SF, "documents").select("doc_id", "text").collect()
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, SF, "labels").collect()}
+    counts = np.stack([neighbour_vote.counts_of(r["text"]) for r in docs])
+    idf = np.log((1 + len(docs)) / (1 + (counts > 0).sum(0))) + 0.1
+    x = np.log1p(counts) * idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    learn = np.array([r["doc_id"] in labels and held(r["doc_id"], 3) != 1 for r in docs])
+    v = np.linalg.svd(x[learn], full_matrices=False)[2][: neighbour_vote.RANK].T
+    z = x @ v
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    label = np.array([labels[r["doc_id"]] for r, on in zip(docs, learn, strict=True) if on], dtype=float)
+    cos = z @ z[learn].T
+    want = {}
+    for i, r in enumerate(docs):
+        near = np.argsort(-cos[i])[: neighbour_vote.NEIGHBOURS]
+        w = np.maximum(cos[i, near], 0) ** neighbour_vote.SHARPNESS
+        want[r["doc_id"]] = (w * label[near]).sum() / w.sum()
+    got = {r["doc_id"]: r["score"] for r in neighbour_vote.op4_neighbour_vote(spark, SF).collect()}
+    gap = np.array([abs(got[i] - want[i]) for i in want])
+    assert set(got) == set(want)
+    assert gap.mean() < 0.01
+    assert np.mean([(got[i] >= 0.5) == (want[i] >= 0.5) for i in want]) > 0.995
+
+
+def test_recurrences_are_those_of_words():
+    got = neighbour_vote.recurrences(b"a b a a  c\nb a")
+    last = neighbour_vote.CLASSES - 1
+    kinds = [last, last, 1, 0, last, 2, 1]  # new, new, 2 back, 1 back, new, 4 back, 3 back
+    pairs = Counter(zip(kinds, kinds[1:], strict=False))
+    assert got[: neighbour_vote.CLASSES].tolist() == [kinds.count(k) for k in range(neighbour_vote.CLASSES)]
+    assert all(got[neighbour_vote.CLASSES + a * neighbour_vote.CLASSES + b] == n for (a, b), n in pairs.items())
+    assert not neighbour_vote.recurrences(b" ").any()
+
+
+def test_equally_near_documents_count_in_order():
+    known = np.repeat(np.eye(3), 40, axis=0)
+    label = np.r_[np.ones(25), np.zeros(95)]
+    x = np.eye(3)[[0, 0, 1]]
+    assert neighbour_vote.votes(x, (None, None, known, label)).tolist() == [1.0, 1.0, 0.0]
+
+
+def test_repeated_rows_are_scored_alike(spark):
+    docs, labels = table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "labels").selectExpr("doc_id", "quality AS label")
+    twice = docs.union(docs.orderBy("text").limit(300)).union(docs.limit(57))
+    scores = defaultdict(set)
+    for r in neighbour_vote.score(twice, neighbour_vote.fit(docs, labels)).collect():
+        scores[r["doc_id"]].add(r["score"])
+    assert all(len(s) == 1 for s in scores.values())
+
+
 def test_votes_are_exact():
     rng = np.random.default_rng(0)
     known = rng.standard_normal((200, 8))

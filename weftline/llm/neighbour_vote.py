@@ -1,18 +1,20 @@
 """Quality scores by votes of the nearest labelled documents in a latent semantic space.
 
-A document is a vector of TF-IDF weights over hashed byte trigrams and of the shares of its
-words, sentences and lines that repeat, projected on the leading right singular vectors of the
+A document is a bag of two kinds of terms: hashed byte trigrams, and recurrences.  For the latter each word becomes the class of
+its distance to the same word before (new, next to it, and then by powers of two); single classes and pairs of
+neighbouring ones are terms, as words would be.  The bag's TF-IDF vector is projected on the leading right singular vectors of the
 labelled ones.  The labelled latent vectors are
 broadcast; every document gets its exact cosine with all of them, in blocks, and the labels of its
 NEIGHBOURS nearest are averaged with weights that grow with the cosine.
 
 Bounds: TRAIN labelled documents, those with the smallest hash of doc_id among the rows that may be
-learned from, FEATURES trigram slots whose document frequencies are counted over all documents, and RANK dimensions, so the model takes
-4 * RANK * (TRAIN + FEATURES) bytes at most.  Every document is scored over its whole text.
+learned from, FEATURES + RECURRENCES terms whose document frequencies are counted over all documents, and RANK dimensions, so the model takes
+8 * RANK * (TRAIN + FEATURES + RECURRENCES) bytes at most.  Every document is scored over its whole text.
 
 Defined results: null and empty texts, or ones that share no trigram with the labelled ones, get the
 mean label; without labels every score is 0.5; labels that are null or of null doc_id are left out, of several labels of a
-document the smallest counts; equally near documents count in order of hash; repeated rows are scored alike; an
+document the smallest counts; of equally near documents (cosines are rounded to DIGITS places, beyond which products of
+blocks may differ) those with the smallest hash count; repeated rows are scored alike; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -23,37 +25,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, word_hashes
 
 FEATURES = 1 << 12
 TRAIN = 6000
-#: Shares of repeated words, sentences and lines, each as heavy as all trigrams together when 1.
-SHARES = 3
+#: Classes of distances, and terms made of one or two of them.
+CLASSES = 16
+RECURRENCES = CLASSES + CLASSES * CLASSES
+TERMS = FEATURES + RECURRENCES
 RANK = 64
+DIGITS = 9
 NEIGHBOURS = 25
 BLOCK = 256
 #: Weight of a neighbour: its cosine, where positive, to this power.
 SHARPNESS = 8
 
 
-def _again(parts: list) -> float:
-    return 1 - len(set(parts)) / len(parts) if parts else 0.0
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def shares_of(text: str | None) -> list[float]:
-    """Shares of words equal to the one before, of repeated sentences, and of repeated lines."""
-    text = text or ""
-    words = text.split()
-    return [sum(map(str.__eq__, words, words[1:])) / max(1, len(words) - 1), _again([x for x in map(str.strip, text.split(".")) if x]), _again([x for x in text.split("\n") if x])]
+def recurrences(text: bytes) -> np.ndarray:
+    """Counts of the classes of words' distances to the same word before, and of neighbouring pairs of them."""
+    words = word_hashes(text, _SPACE)
+    order = np.argsort(words, kind="stable")
+    same = np.flatnonzero(words[order][1:] == words[order][:-1])
+    kind = np.full(len(words), CLASSES - 1)
+    kind[order[same + 1]] = np.minimum(np.log2(order[same + 1] - order[same]).astype(np.int64), CLASSES - 2)
+    return np.concatenate([np.bincount(kind, minlength=CLASSES), np.bincount(kind[:-1] * CLASSES + kind[1:], minlength=CLASSES * CLASSES)])
 
 
 def counts_of(text: str | None) -> np.ndarray:
-    """Counts of hashed byte trigrams."""
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    """Counts of hashed byte trigrams and of recurrences."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
     if len(b) < 3:
-        return np.zeros(FEATURES, dtype=np.int64)
+        return np.zeros(TERMS, dtype=np.int64)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    return np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=FEATURES)
+    return np.concatenate([np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=FEATURES), recurrences(raw)])
 
 
 def held_out() -> F.Column:
@@ -64,26 +72,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def weigh(counts: np.ndarray, shares: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit rows of FEATURES + SHARES columns."""
-    return _unit(np.hstack([_unit((np.log1p(counts) * idf).astype(np.float32)), shares.astype(np.float32)]))
+def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit rows of TERMS columns."""
+    return _unit((np.log1p(counts) * idf).astype(np.float32))
 
 
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that hold each slot's trigrams, and all documents."""
+    """Documents that hold each term, and all documents."""
 
     def count(batches):
-        n = np.zeros(FEATURES + 1, dtype=np.int64)
+        n = np.zeros(TERMS + 1, dtype=np.int64)
         for text in (t for batch in batches for part in slices(batch, 0) for t in part.column(0).to_pylist()):
-            n[:FEATURES] += counts_of(text) > 0
-            n[FEATURES] += 1
+            n[:TERMS] += counts_of(text) > 0
+            n[TERMS] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
 
     got = docs.select(F.col("text").cast("string")).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(FEATURES + 1, dtype=np.int64)
+    n = np.zeros(TERMS + 1, dtype=np.int64)
     n[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return n[:FEATURES], int(n[FEATURES])
+    return n[:TERMS], int(n[TERMS])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple:
@@ -93,25 +101,23 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple:
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
     usable = usable.groupBy("doc_id").agg(F.min("label").alias("label"))
-    usable = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train)
+    usable = usable.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train)
     # one row a document: of rows that share a doc_id the smallest text
     rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")
 
     def count(batches):
-        for batch in batches:
-            for doc_id, text, label in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([label], pa.int32()), pa.array([np.minimum(counts_of(text), 65535).astype("<u2").tobytes() + np.array(shares_of(text), "<f4").tobytes()], pa.binary())], ["doc_id", "label", "counts"])
+        for batch in (part for batch in batches for part in slices(batch, 1)):
+            counts = [np.minimum(counts_of(text), 65535).astype("<u2").tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.binary())], ["doc_id", "label", "counts"])
 
-    got = rows.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(count, "doc_id long, label int, counts binary")
+    got = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("label").cast("int")).mapInArrow(count, "doc_id long, label int, counts binary")
     got = got.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("counts").alias("counts")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     if not got.num_rows:
-        return np.zeros(FEATURES), np.zeros((FEATURES + SHARES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0)
-    raw = got.column("counts").to_pylist()
-    counts = np.stack([np.frombuffer(x, "<u2", FEATURES) for x in raw])
-    shares = np.stack([np.frombuffer(x, "<f4", SHARES, 2 * FEATURES) for x in raw])
+        return np.zeros(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0)
+    counts = np.stack([np.frombuffer(x, "<u2") for x in got.column("counts").to_pylist()])
     n, total = frequencies(docs)
     idf = np.log((1 + total) / (1 + n)) + 0.1
-    x = weigh(counts, shares, idf)
+    x = weigh(counts, idf)
     del counts
     # randomised range finder with two power steps
     rank = min(RANK, *x.shape)
@@ -119,8 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple:
     for _ in range(3):
         q = np.linalg.qr(x.T @ (x @ q))[0]
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
-    v = (q @ vt[:rank].T).astype(np.float32)
-    return idf, v, _unit(x @ v), np.array(got.column("label").to_pylist(), dtype=np.float64)
+    v = (q @ vt[:rank].T).astype(np.float64)
+    latent = np.vstack([x[a : a + BLOCK].astype(np.float64) @ v for a in range(0, len(x), BLOCK)])
+    return idf, v, _unit(latent), np.array(got.column("label").to_pylist(), dtype=np.float64)
 
 
 def votes(latent: np.ndarray, model: tuple) -> np.ndarray:
@@ -128,9 +135,14 @@ def votes(latent: np.ndarray, model: tuple) -> np.ndarray:
     _, _, known, label = model
     if not len(known):
         return np.full(len(latent), 0.5)
-    cos = latent @ known.T
+    cos = np.round(latent @ known.T, DIGITS)
     k = min(NEIGHBOURS, len(label))
     near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(cos, near, 1).min(1)
+    for i in np.flatnonzero((cos >= last[:, None]).sum(1) > k):  # more are as near as the last one
+        some = np.flatnonzero(cos[i] >= last[i])
+        near[i] = some[np.argsort(-cos[i, some], kind="stable")[:k]]
+    near.sort(axis=1)
     weight = np.maximum(np.take_along_axis(cos, near, 1).astype(np.float64), 0) ** SHARPNESS
     total = weight.sum(1)
     mean = label.mean()
@@ -148,8 +160,8 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for a in range(0, len(texts), BLOCK):
                 part = texts[a : a + BLOCK]
-                x = weigh(np.stack([counts_of(t) for t in part]), np.array([shares_of(t) for t in part]), idf)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, BLOCK), pa.array(np.clip(votes(_unit(x @ v), model), 0, 1))], ["doc_id", "score"])
+                x = weigh(np.stack([counts_of(t) for t in part]), idf)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, BLOCK), pa.array(np.clip(votes(_unit(x.astype(np.float64) @ v), model), 0, 1))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
