@@ -71,6 +71,26 @@ def test_warc_files_are_warc(spark, tmp_path):
     assert all(c["request"]["target_uri"] == c["capture"]["target_uri"] and len(c["metadata"]) == 1 for c in captures)
 
 
+def test_warc_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LINE_BYTES", 2000)
+    monkeypatch.setattr(warc, "LINES_PER_FILE", 3)
+    df = spark.createDataFrame([(i, f"http://{i}", f"{i} " + "x" * (50_000 if i == 7 else 700)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write(df, str(tmp_path / "w"), Scratch(spark, "t"), codec="none")
+    sizes = sorted(len(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
+    assert len(sizes) > 10
+    assert all(n <= 3 * (2000 + len(warc.END)) for n in sizes[:-1])
+    assert sizes[-1] < 60_000
+    got = {r["capture_id"]: r for r in run(warc.assemble(warc.read(spark, str(tmp_path / "w"))))}
+    assert len(got) == 60
+    assert sorted(r["request"]["target_uri"] for r in got.values()) == sorted(f"http://{i}" for i in range(60))
+
+
+def test_warc_query_reads_its_requests(spark):
+    text = warc.op1_warc_transactions(spark, SF)
+    assert "request_uri" in text.columns
+    assert all(r["request_uri"].startswith("http") for r in text.select("request_uri").collect())
+
+
 def test_warc_records_without_capture(spark):
     schema = warc.RECORD
     rows = [("r1", "request", "gone", None, "u", None, {}, b""), ("c1", "response", None, None, "u", "d", {}, b"x"), ("m1", "metadata", "c1", None, "u", None, {}, b"1"), ("m2", "metadata", "c1", None, "u", None, {}, b"2"), ("m3", "metadata", None, None, "u", None, {}, b"3")]

@@ -2,7 +2,8 @@
 
 Writing goes through Spark's text writer: a record's headers and body are one string, and
 ``\\r\\n\\r\\n``, which ends every record, is the line separator, so any storage Spark knows can hold
-the archives and a lost task is written again.  Each page gives three records of
+the archives and a lost task is written again.  Records are put together to lines of about LINE_BYTES and these to files of
+LINES_PER_FILE, so a file holds some hundred megabytes and its last record at most, whatever the pages' sizes.  Each page gives three records of
 one transaction: a request, a response (or, where the same payload is stored already, a
 revisit that refers to it), and a metadata record; request and metadata name the capture
 in WARC-Concurrent-To.
@@ -26,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, slices, table
 
 VERSION = "WARC/1.1"
 #: Fixed value of the standard: the profile of a revisit with an identical payload.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 50_000
+#: What follows every record.
+END = b"\r\n\r\n"
+#: Bytes of records that are written as one line, and lines of a file.
+LINE_BYTES = 8 << 20
+LINES_PER_FILE = 16
 #: Payloads of at least this many bytes are stored once.
 LEAST_PAYLOAD = 0
 #: Compressed bytes given to the inflater at once.
@@ -84,8 +89,30 @@ def write(pages: DataFrame, path: str, scratch: Scratch, codec: str = "gzip") ->
         capture,
         _record("metadata", name("metadata", F.col("at")), F.col("url"), F.concat(F.lit("page-id: "), page, F.lit("\r\n")), ("Content-Type", F.lit("application/warc-fields")), concurrent),
     )
-    out = rows.select(F.explode(records).alias("value"))
-    out.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", codec).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out = rows.select(F.explode(records).alias("value")).mapInArrow(_lines(LINE_BYTES), "value string")
+    out.write.mode("overwrite").option("lineSep", END.decode()).option("compression", codec).option("maxRecordsPerFile", LINES_PER_FILE).text(path)
+
+
+def _lines(limit: int):
+    """Joins records to lines of ``limit`` bytes, or of one longer record."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for record in (r for part in slices(batch, 0) for r in part.column(0).cast(pa.binary()).to_pylist()):
+                if size and size + len(record) > limit:
+                    yield _line(held)
+                    held, size = [], 0
+                held.append(record)
+                size += len(record) + len(END)
+        if held:
+            yield _line(held)
+
+    return run
+
+
+def _line(records: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([END.join(records)], pa.binary()).cast(pa.string())], ["value"])
 
 
 def parse(pieces):
@@ -196,18 +223,18 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = assemble(read(spark, path))
     page = F.regexp_extract(F.col("metadata")[0]["payload"].cast("string"), "page-id: (-?[0-9]+)", 1)
     payload = F.col("capture.payload")
-    captures = captures.select("capture_id", F.when(page != "", page.cast("long")).alias("page_id"), F.col("capture.record_type").alias("record_type"), F.col("capture.refers_to").alias("of"), F.length(payload).cast("long").alias("n"), base32_sha1(payload).alias("digest"))
+    captures = captures.select("capture_id", F.col("request.target_uri").alias("request_uri"), F.when(page != "", page.cast("long")).alias("page_id"), F.col("capture.record_type").alias("record_type"), F.col("capture.refers_to").alias("of"), F.length(payload).cast("long").alias("n"), base32_sha1(payload).alias("digest"))
     captures = scratch.save(captures, "assembled")
     # a revisit has the payload of the response it refers to
     stored = captures.where("record_type = 'response'").select(F.col("capture_id").alias("of"), F.col("page_id").alias("of_page"), F.col("n").alias("of_n"), F.col("digest").alias("of_digest"))
-    responses = captures.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    revisits = captures.where("record_type = 'revisit'").join(stored, "of").select("page_id", F.col("of_n").alias("payload_bytes"), F.col("of_digest").alias("payload_digest"), "record_type", F.col("of_page").alias("refers_to"))
+    responses = captures.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "request_uri")
+    revisits = captures.where("record_type = 'revisit'").join(stored, "of").select("page_id", F.col("of_n").alias("payload_bytes"), F.col("of_digest").alias("payload_digest"), "record_type", F.col("of_page").alias("refers_to"), "request_uri")
     return responses.union(revisits)
 
 
 OP1_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
-d AS (SELECT page_id, strlen(html) AS n, translate(
+WITH p AS (SELECT page_id, trim(regexp_replace(coalesce(url, ''), '[\r\n]', ' ', 'g')) AS request_uri, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, request_uri, strlen(html) AS n, translate(
   lpad(to_base(('0x' || h[1:5])::BIGINT, 32), 4, '0') || lpad(to_base(('0x' || h[6:10])::BIGINT, 32), 4, '0') ||
   lpad(to_base(('0x' || h[11:15])::BIGINT, 32), 4, '0') || lpad(to_base(('0x' || h[16:20])::BIGINT, 32), 4, '0') ||
   lpad(to_base(('0x' || h[21:25])::BIGINT, 32), 4, '0') || lpad(to_base(('0x' || h[26:30])::BIGINT, 32), 4, '0') ||
@@ -216,6 +243,6 @@ d AS (SELECT page_id, strlen(html) AS n, translate(
 w AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top FROM d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, request_uri
 FROM w
 """
