@@ -319,3 +319,42 @@ def test_recall_of_the_least_count():
     m, half = collision_count.PROJECTIONS, collision_count.window(64)
     hits = (np.abs((x - y) @ collision_count.rotation(64)[:, :m]) <= half).sum(1)
     assert (hits >= collision_count.least_count(m)).mean() > 0.9999
+
+
+def test_collisions_are_those_of_windows():
+    rng = np.random.default_rng(2)
+    for n, k in ((130, 70), (64, 1), (1, 5)):
+        rows, queries = rng.standard_normal((n, 9)).round(1), rng.standard_normal((k, 9)).round(1)
+        count = (np.abs(rows[None] - queries[:, None]) <= 0.55).sum(2)
+        for need in (0, 1, 4, 9):
+            got = set(zip(*(x.tolist() for x in collision_count.collisions(queries, *collision_count.prefixes(rows), 0.55, need)), strict=True))
+            assert got == {(i, j) for i in range(k) for j in range(n) if count[i, j] >= need}
+
+
+def test_parts_meet_where_a_chord_may_join_them(spark):
+    rng = random.Random(3)
+    parts = [(s, b, p, low, low + rng.uniform(0, 0.5)) for s in (2, 3) for b in range(9) for low in [rng.uniform(-1, 0.5)] for p in range(rng.randrange(1, 3))]
+    got = {(r["size"], tuple(r["one"]), tuple(r["other"])) for r in collision_count.meeting(spark.createDataFrame(parts, "size int, band int, part int, least double, most double"), 0.2).collect()}
+    want = {(s, (b, p), (c, q)) for s, b, p, low, high in parts for t, c, q, lo, hi in parts if s == t and (b, p) <= (c, q) and lo - high <= 0.2 and low - hi <= 0.2}
+    assert got == want
+
+
+def test_recall_of_links_among_many_vectors():
+    """All links of 50 000 vectors in groups, against all cosines in blocks."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((9000, 64))
+    x = centres[rng.integers(0, 9000, 50_000)] + rng.uniform(0.05, 0.5, (50_000, 1)) * rng.standard_normal((50_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = 0
+    for a in range(0, len(x), 2000):
+        want += int((x[a : a + 2000] @ x.T >= 0.9).sum()) - 2000
+    weight = np.ones(len(x), dtype=np.int64)
+    got = 0
+    bands = [slice(a, a + 12_500) for a in range(0, len(x), 12_500)]
+    for i, one in enumerate(bands):
+        for other in bands[i:]:
+            links, _ = collision_count.compare(x[one], None if one == other else x[other], weight[one], None if one == other else weight[other])
+            got += int(links[0].sum()) + (0 if one == other else int(links[1].sum()))
+    assert want > 20_000
+    assert got <= want
+    assert got >= 0.999 * want

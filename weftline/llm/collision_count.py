@@ -1,19 +1,22 @@
 """Near-duplicate vectors by collision counting over many one-dimensional projections.
 
 Vectors are scaled to length 1 and turned by a random rotation, whose coordinates are the
-projections.  Equal vectors are one class from the start.  Classes are sorted by the
-projection on the direction of greatest variance (of a bounded sample) and cut into bands of about BAND classes;
-two bands meet only if a query-centred window as wide as the threshold's chord reaches from
-one to the other.  Inside, classes are again sorted and cut into blocks, and two blocks meet only
+projections.  Equal vectors are one class from the start.  Classes are dealt by range into bands of about BAND classes along
+the direction of greatest variance (of a bounded sample); two bands meet only if a query-centred window as wide as the
+threshold's chord reaches from one to the other.  Inside, classes are again sorted and cut into blocks, and two blocks meet only
 if their boxes over all projections come as near as the chord: both tests are bounds, which lose nothing.
 
-For the pairs of two blocks, collisions are counted: projections on which one vector
-lies in the other's window.  A pair at the threshold lies in a window with probability COVER, and the least count is
+For two blocks, every projection of the one is sorted, and the window of a vector of the other is a stretch of that order,
+found by two binary searches.  With a bit for each vector and the sets of the first k in order kept, a window is the
+difference of two such sets, and collisions of all pairs are counted 64 at a time by adding up these words, bit by bit.
+A pair at the threshold lies in a window with probability COVER, and the least count is
 the one that such a pair reaches with probability RECALL.  Pairs that reach it are verified by their
 cosine in double precision.  What leaves a pair of bands is, for each vector, the number of
 its links and the root of a spanning forest, so groups of near copies give rows in
 proportion to their size.
 
+Which bands meet is a join of the bands' ends; nothing that grows with the vectors is sent to the driver or broadcast.
+
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing, as do rows with a null vec_id; vectors of different lengths are never linked; equal vectors are
 links of each other; rows that share a vec_id are vectors of their own; an empty table gives no
@@ -22,6 +25,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import comb, erf
 
 import numpy as np
@@ -32,20 +36,21 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, smallest_reachable, table
 
 COSINE = 0.9
-PROJECTIONS = 32
+PROJECTIONS = 48
 #: Probability that a pair at the threshold falls into a window.
 COVER = 0.9
 #: Probability that such a pair reaches the least count.
 RECALL = 1 - 1e-6
+#: Vectors of a band where they have WIDTH components at most; of longer ones fewer, in proportion.
 BAND = 8192
+WIDTH = 64
 BLOCK = 1024
 SAMPLE = 20_000
-#: Steps of the 8-bit grid in half a window.
-GRID = 20
 
 NODES = "node long, vec_id long, n long, size int, at double, unit binary"
 
 
+@lru_cache(maxsize=8)
 def rotation(dim: int) -> np.ndarray:
     return np.linalg.qr(np.random.Generator(np.random.PCG64(dim)).standard_normal((dim, dim)))[0]
 
@@ -72,6 +77,43 @@ def least_count(m: int, cover: float = COVER, recall: float = RECALL) -> int:
     return m
 
 
+def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each column sorted, and for each column and k the set of the first k rows in its order, a bit for each row."""
+    n, m = values.shape
+    row = np.arange(n)
+    single = np.zeros((n, -(-n // 64)), dtype=np.uint64)
+    single[row, row >> 6] = np.uint64(1) << (row & 63).astype(np.uint64)
+    order = np.argsort(values, axis=0, kind="stable")
+    sets = np.zeros((m, n + 1, single.shape[1]), dtype=np.uint64)
+    for p in range(m):
+        np.bitwise_or.accumulate(single[order[:, p]], axis=0, out=sets[p, 1:])
+    return np.take_along_axis(values, order, 0), sets
+
+
+def collisions(queries: np.ndarray, ordered: np.ndarray, sets: np.ndarray, half: float, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that collide in ``need`` columns at least."""
+    m = queries.shape[1]
+    digits = [np.zeros((len(queries), sets.shape[2]), dtype=np.uint64) for _ in range(m.bit_length())]
+    for p in range(m):
+        low = np.searchsorted(ordered[:, p], queries[:, p] - half, "left")
+        high = np.searchsorted(ordered[:, p], queries[:, p] + half, "right")
+        carry = sets[p][high] ^ sets[p][low]
+        for digit in digits[: (p + 1).bit_length()]:
+            over = digit & carry
+            digit ^= carry
+            carry = over
+    # counts of at least need, from the highest digit down
+    above, level = np.zeros_like(digits[0]), ~np.zeros_like(digits[0])
+    for i in reversed(range(len(digits))):
+        if need >> i & 1:
+            level &= digits[i]
+        else:
+            above |= level & digits[i]
+            level &= ~digits[i]
+    hits = np.unpackbits((above | level).view(np.uint8), axis=1, bitorder="little", count=len(ordered))
+    return np.nonzero(hits)
+
+
 def compare(left: np.ndarray, right: np.ndarray | None, weight_left: np.ndarray, weight_right: np.ndarray | None, cosine: float = COSINE):
     """Links between two bands of unit vectors, or within one.
 
@@ -87,29 +129,19 @@ def compare(left: np.ndarray, right: np.ndarray | None, weight_left: np.ndarray,
     need = least_count(m) if dim >= 8 else m
     turned = [left @ turn, right @ turn]
     order = [np.argsort(t[:, 0], kind="stable") for t in turned]
-    grid = [np.clip(np.round(t[:, :m] * (GRID / half)) + 128, 0, 255).astype(np.uint8) for t in turned]
     links = [np.zeros(len(left), dtype=np.int64), np.zeros(len(right), dtype=np.int64)]
     shift = 0 if same else len(left)
     root = np.arange(len(left) + (0 if same else len(right)))
     blocks = [[o[i : i + BLOCK] for i in range(0, len(o), BLOCK)] for o in order]
     boxes = [[(t[b].min(0), t[b].max(0)) for b in bs] for t, bs in zip(turned, blocks, strict=True)]
-    reach = np.uint8(GRID + 1)  # rounding may add a step
-    for i, one in enumerate(blocks[0]):
-        for j, other in enumerate(blocks[1]):
-            if same and j < i:
-                continue
+    for j, other in enumerate(blocks[1]):
+        kept = None
+        for i, one in enumerate(blocks[0][: j + 1] if same else blocks[0]):
             gap = np.maximum(0, np.maximum(boxes[0][i][0] - boxes[1][j][1], boxes[1][j][0] - boxes[0][i][1]))
             if gap @ gap > chord2:
                 continue
-            count = np.zeros((len(one), len(other)), dtype=np.uint8)
-            near = np.empty(count.shape, dtype=np.uint8)
-            hit = np.empty(count.shape, dtype=bool)
-            for p in range(m):
-                # differences wrap around, which can only add collisions
-                np.subtract((grid[0][one, p] + reach)[:, None], grid[1][other, p][None, :], out=near)
-                np.less_equal(near, 2 * reach, out=hit)
-                np.add(count, hit.view(np.uint8), out=count)
-            a, b = np.nonzero(count >= need)
+            kept = kept or prefixes(turned[1][other, :m])
+            a, b = collisions(turned[0][one, :m], *kept, half + 1e-12, need)
             a, b = one[a], other[b]
             if same and i == j:  # each pair once
                 once = a < b
@@ -126,6 +158,19 @@ def compare(left: np.ndarray, right: np.ndarray | None, weight_left: np.ndarray,
     return links, root
 
 
+def meeting(parts: DataFrame, chord: float) -> DataFrame:
+    """Pairs of parts (size, band, part, least, most) that a chord may join, each once and each with itself.
+
+    Parts are compared where they or their neighbourhoods share a cell of a grid as wide as the chord.
+    """
+    cell = lambda c: F.floor(F.col(c) / chord).cast("int")
+    spread = lambda low, high: F.explode(F.sequence(low, high)).alias("cell")
+    one = parts.select("size", F.struct("band", "part").alias("one"), F.col("least").alias("least_1"), F.col("most").alias("most_1"), spread(cell("least"), cell("most")))
+    other = parts.select("size", F.struct("band", "part").alias("other"), "least", "most", spread(cell("least") - 1, cell("most") + 1))
+    near = (F.col("one") <= F.col("other")) & (F.col("least") - F.col("most_1") <= chord) & (F.col("least_1") - F.col("most") <= chord)
+    return one.join(other, ["size", "cell"]).where(near).select("size", "one", "other").distinct()
+
+
 def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -161,31 +206,19 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE) -
 
     units = scratch.save(classes.select("node", "vec_id", "n", "embedding").mapInArrow(unit, NODES), "units")
 
-    # bands along that direction, by quantiles; a band of many classes is cut again by hash
-    total = {r["size"]: r["n"] for r in units.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    edges = []
-    for size, n in sorted(total.items()):
-        bands = -(-n // BAND)
-        cuts = sorted(set(units.where(F.col("size") == size).approxQuantile("at", [i / bands for i in range(1, bands)], 0.1 / bands))) if bands > 1 else []
-        edges += [(size, i, a, b) for i, (a, b) in enumerate(zip([-2.0, *cuts], [*cuts, 2.0], strict=True))]
-    bands = spark.createDataFrame(edges, "size int, band int, low double, high double")
-    banded = units.join(F.broadcast(bands), (units["size"] == bands["size"]) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).select("node", "vec_id", "n", units["size"], "at", "unit", "band")
+    # bands along that direction, by range; a band of many classes is cut again by hash
+    most = lambda size: F.greatest(F.lit(1), F.floor(F.lit(BAND * WIDTH) / F.greatest(size, F.lit(WIDTH)))).cast("int")
+    wanted = units.select((1 / most(F.col("size"))).alias("share")).agg(F.sum("share").alias("n")).first()["n"]
+    banded = units.repartitionByRange(max(1, int(wanted or 0)), "size", "at").withColumn("band", F.spark_partition_id())
+    banded = scratch.save(banded, "banded")
     sizes = banded.groupBy("size", "band").agg(F.count(F.lit(1)).alias("in_band"), F.min("at").alias("least"), F.max("at").alias("most"))
-    stats = [tuple(r) for r in sizes.select("size", "band", F.ceil(F.col("in_band") / (2 * BAND)).cast("int"), "least", "most").collect()]
-    chord = (2 - 2 * cosine) ** 0.5 + 1e-9
-    parts = [(size, band, part, low, high) for size, band, n, low, high in stats for part in range(n)]
-    of = {(p[0], p[1]): n for p, n in ((x, x[2]) for x in stats)}
-    cells = [(s1, b1, p1, c, 0) for c, (s1, b1, p1, _, _) in enumerate(parts)]
-    count = len(parts)
-    for i, (s1, b1, p1, low1, high1) in enumerate(parts):
-        for s2, b2, p2, low2, high2 in parts[i + 1 :]:
-            if s1 == s2 and low2 - high1 <= chord and low1 - high2 <= chord:
-                cells += [(s1, b1, p1, count, 0), (s2, b2, p2, count, 1)]
-                count += 1
-    cells = spark.createDataFrame(cells, "size int, band int, part int, cell int, side int") if cells else spark.createDataFrame([], "size int, band int, part int, cell int, side int")
-    of = spark.createDataFrame([(*k, v) for k, v in of.items()], "size int, band int, parts int")
-    dealt = banded.join(F.broadcast(of), ["size", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.join(F.broadcast(cells), ["size", "band", "part"]).select("cell", "side", "node", "n", "size", "unit")
+    sizes = scratch.save(sizes.withColumn("parts", F.ceil(F.col("in_band") / (2 * most(F.col("size")))).cast("int")), "sizes")
+    parts = sizes.select("size", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "least", "most")
+    pairs = scratch.save(meeting(parts, (2 - 2 * cosine) ** 0.5 + 1e-9), "pairs")
+    banded = banded.join(sizes.select("size", "band", "parts"), ["size", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    sides = [pairs.select("size", F.col(f"{s}.band").alias("band"), F.col(f"{s}.part").alias("part"), "one", "other", F.lit(i).alias("side")) for i, s in enumerate(("one", "other"))]
+    sides = sides[0].unionByName(sides[1].where("one <> other"))
+    dealt = banded.join(sides, ["size", "band", "part"]).select("one", "other", "side", "node", "n", "size", "unit")
 
     def links_of(table_: pa.Table) -> pa.Table:
         side, node, n = (table_.column(c).to_numpy() for c in ("side", "node", "n"))
@@ -198,7 +231,7 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE) -
         at = np.flatnonzero(links)
         return pa.table({"node": pa.array(ids[at], pa.int64()), "root": pa.array(ids[root[at]], pa.int64()), "links": pa.array(links[at], pa.int64())})
 
-    found = scratch.save(dealt.groupBy("cell").applyInArrow(links_of, "node long, root long, links long"), "links")
+    found = scratch.save(dealt.groupBy("size", "one", "other").applyInArrow(links_of, "node long, root long, links long"), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")), scratch)
     named = units.select("node", "vec_id", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
