@@ -215,6 +215,55 @@ def test_paraphrases_and_recall(spark):
     assert len(want & set(leaks(spark, docs, items, rank=24))) >= 0.9 * len(want)
 
 
+def test_paraphrases_in_the_tables_own_words(spark, monkeypatch):
+    """Benchmark items that share natural words, changed by other benchmark words, within real documents; in one block of items and in many."""
+    rng = np.random.default_rng(3)
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    pool = np.array([w.decode() for _, t in items for w in decontaminate.words_of(t)])
+    docs = []
+    for k, r in enumerate(table(spark, SF, "documents").where("length(text) between 300 and 4000").orderBy("doc_id").limit(150).collect()):
+        filler = r["text"].split()
+        inside = items[k % len(items)][1].split()
+        for _ in range(int(len(inside) * rng.uniform(0, 0.4))):
+            p = int(rng.integers(len(inside)))
+            inside[p : p + 1] = rng.choice(pool, int(rng.integers(0, 2))).tolist()
+        filler[len(filler) // 2 : len(filler) // 2] = inside
+        docs.append((k, " ".join(filler)))
+    want = set()
+    words_of = {i: decontaminate.words_of(t) for i, t in items}
+    for d, t in docs:
+        text = decontaminate.words_of(t)
+        there = set(text)
+        for i, w in words_of.items():
+            if len(w) < decontaminate.LEAST_WORDS or sum(x in there for x in w) < decontaminate.WITH_ANSWER * len(w):
+                continue
+            share, told = decontaminate.lcs(w, text) / len(w), decontaminate.lcs(w[-5:], text) / 5
+            # over whole texts; a text that has the words far apart is no paraphrase, but counts here
+            if share >= decontaminate.ALONE or (share >= decontaminate.WITH_ANSWER and told >= decontaminate.ANSWER_SHARE):
+                want.add((d, i))
+    got = leaks(spark, docs, items)
+    assert len(want) > 40
+    assert len(want & set(got)) >= 0.9 * len(want)
+    assert set(got) <= want
+    monkeypatch.setattr(decontaminate, "BLOCK", len(items) // 3)
+    assert leaks(spark, docs, items) == got
+
+
+def test_products_in_slices_find_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(words(rng, 40)), None) for i in range(20)]
+    idf = np.ones(decontaminate.SLOTS)
+    used = np.unique(np.concatenate([decontaminate.slots_of(decontaminate.hashes_of(decontaminate.plain(t))) for _, t, _ in rows]))
+    row = np.full(decontaminate.SLOTS, -1, dtype=np.int64)
+    row[used] = np.arange(len(used))
+    index = decontaminate._Index(rows, idf, row, np.linalg.qr(rng.standard_normal((len(used), 64)))[0].astype(np.float32))
+    text = " ".join(t for _, t, _ in rows[:15])
+    want = list(index.search(text))
+    assert len(want) >= 15
+    monkeypatch.setattr(decontaminate, "PRODUCT", 50)
+    assert [pytest.approx(x, rel=1e-5) for x in want] == list(index.search(text))
+
+
 def test_leak_edge_cases(spark):
     rng = np.random.default_rng(2)
     item = " ".join(words(rng, 30))

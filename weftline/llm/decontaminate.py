@@ -13,8 +13,8 @@
    in order.  The answer is the column ``answer`` where the benchmark has one, else the
    item's last words.
 
-Broadcast: SLOTS rows of RANK numbers at most, and BLOCK benchmark items at a time, a further scan for each
-further block.  Texts are searched whole.
+Broadcast: SLOTS rows of RANK numbers at most, and BLOCK benchmark items at a time: a larger benchmark takes a further scan for each
+further block, whose matches are written before the next block is sent.  Texts are searched whole, PRODUCT cosines at a time.
 
 Defined results: null and empty texts hold nothing; items with fewer than LEAST_WORDS words, null
 texts or null ids are not looked for; rows that share an item_id are one item's several wordings, the best of
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, word_hashes
+from .common import Scratch, slices, table, word_hashes
 
 SLOTS = 1 << 16  # 2 to the power of SLOT_BITS
 RANK = 256
@@ -44,6 +44,8 @@ ALONE, WITH_ANSWER = 0.85, 0.7
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 LEAST_WORDS = 8
 BLOCK = 20_000
+#: Cosines that are held at once.
+PRODUCT = 1 << 22
 #: Leading bits of a word's hash by which benchmark words are told from others, and its slot.
 KNOWN_BITS, SLOT_BITS = 22, 16
 
@@ -201,12 +203,13 @@ class _Index:
             near = np.flatnonzero(theirs[end] - theirs[begin] >= OWN_WEIGHT * (all_[end] - all_[begin]))
             if not len(near):
                 continue
-            first, last = (np.searchsorted(place, x[near]).tolist() for x in (begin, end))
-            latent = np.stack([self.weighted[rows[a:b]].sum(0) for a, b in zip(first, last, strict=True)])
-            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", latent, latent)), 1e-12)
-            cos = (latent @ self.latent.T) / norm[:, None]
-            for i, p in zip(*np.nonzero(cos >= CANDIDATE), strict=True):
-                found.setdefault(int(self.owner[p]), []).append((int(begin[near[i]]), int(end[near[i]]), float(cos[i, p])))
+            for some in np.array_split(near, -(-len(near) * len(self.latent) // PRODUCT)):
+                first, last = (np.searchsorted(place, x[some]).tolist() for x in (begin, end))
+                latent = np.stack([self.weighted[rows[a:b]].sum(0) for a, b in zip(first, last, strict=True)])
+                norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", latent, latent)), 1e-12)
+                cos = (latent @ self.latent.T) / norm[:, None]
+                for i, p in zip(*np.nonzero(cos >= CANDIDATE), strict=True):
+                    found.setdefault(int(self.owner[p]), []).append((int(begin[some[i]]), int(end[some[i]]), float(cos[i, p])))
         if not found:
             return
         words, best = text.split(), {}
@@ -246,7 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
     n, total = frequencies(docs)
     idf = np.log((1 + total) / (1 + n)) + 0.05
     row, v = randomised_svd(items, idf, rank)
-    blocks, out = -(-n_items // BLOCK), None
+    blocks, out, scratch = -(-n_items // BLOCK), None, None
     for block in range(blocks):
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()]
         sent = spark.sparkContext.broadcast(_Index(rows, idf, row, v))
@@ -258,6 +261,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "cosine", "lcs", "answer"])
 
         one = docs.mapInArrow(run, MATCH)
+        if blocks > 1:
+            scratch = scratch or Scratch(spark, "leaks")
+            one = scratch.save(one, f"block{block}")
+            sent.destroy()
         out = one if out is None else out.unionByName(one)
     return out
 
