@@ -30,7 +30,7 @@ from math import comb, erf
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, smallest_reachable, table
@@ -209,10 +209,15 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE) -
     # bands along that direction, by range; a band of many classes is cut again by hash
     most = lambda size: F.greatest(F.lit(1), F.floor(F.lit(BAND * WIDTH) / F.greatest(size, F.lit(WIDTH)))).cast("int")
     wanted = units.select((1 / most(F.col("size"))).alias("share")).agg(F.sum("share").alias("n")).first()["n"]
-    banded = units.repartitionByRange(max(1, int(wanted or 0)), "size", "at").withColumn("band", F.spark_partition_id())
-    banded = scratch.save(banded, "banded")
-    sizes = banded.groupBy("size", "band").agg(F.count(F.lit(1)).alias("in_band"), F.min("at").alias("least"), F.max("at").alias("most"))
+    dealt = units.repartitionByRange(max(1, int(wanted or 0)), "size", "at").withColumn("slice", F.spark_partition_id())
+    dealt = scratch.save(dealt, "dealt")
+    # neighbouring slices, however many the range gave, make up a band
+    found = dealt.groupBy("size", "slice").agg(F.count(F.lit(1)).alias("in_slice"), F.min("at").alias("least"), F.max("at").alias("most"))
+    before = F.sum("in_slice").over(Window.partitionBy("size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    found = scratch.save(found.withColumn("band", F.floor(F.coalesce(before, F.lit(0)) / most(F.col("size"))).cast("int")), "slices")
+    sizes = found.groupBy("size", "band").agg(F.sum("in_slice").alias("in_band"), F.min("least").alias("least"), F.max("most").alias("most"))
     sizes = scratch.save(sizes.withColumn("parts", F.ceil(F.col("in_band") / (2 * most(F.col("size")))).cast("int")), "sizes")
+    banded = dealt.join(found.select("size", "slice", "band"), ["size", "slice"])
     parts = sizes.select("size", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "least", "most")
     pairs = scratch.save(meeting(parts, (2 - 2 * cosine) ** 0.5 + 1e-9), "pairs")
     banded = banded.join(sizes.select("size", "band", "parts"), ["size", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
