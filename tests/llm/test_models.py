@@ -60,6 +60,33 @@ def test_language_edge_cases(spark):
     assert language_mix.fit(docs.withColumn("lang", F.lit(None).cast("string")))[0] == []
 
 
+def test_proportions_are_those_of_a_plain_loop():
+    rng = np.random.default_rng(7)
+    for langs in (1, 2, 4):
+        prob, counts = rng.uniform(0.01, 1, (30, langs)), rng.integers(1, 9, 30)
+        w = [1 / langs] * langs
+        for _ in range(language_mix.STEPS if langs > 1 else 0):
+            got = [0.0] * langs
+            for p, n in zip(prob.tolist(), counts.tolist(), strict=True):
+                total = sum(a * b for a, b in zip(p, w, strict=True))
+                for i in range(langs):
+                    got[i] += n * w[i] * p[i] / total
+            w = [g / int(counts.sum()) for g in got]
+        found, likelihood = language_mix.proportions(prob, counts)
+        assert found == pytest.approx(w)
+        assert likelihood == pytest.approx(float(counts @ np.log(prob @ np.array(w))))
+
+
+def test_equal_languages_go_to_the_first_by_name(spark):
+    rng = np.random.default_rng(8)
+    one = np.log(rng.dirichlet(np.ones(language_mix.SLOTS))).astype(np.float32)
+    model = (["aa", "bb"], np.stack([one, one], 1))
+    docs = spark.createDataFrame([(1, "some words"), (1, "some words"), (2, "other words")], "doc_id long, text string").withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit("clash"))
+    got = language_mix.identify(docs, model).collect()
+    assert {r["lang_pred"] for r in got} == {"aa"}
+    assert len({(r["score"], tuple(r["languages"])) for r in got if r["doc_id"] == 1}) == 1
+
+
 def test_language_sample_ignores_held_out_rows(spark):
     rows = [(i, "le la les des" if held(i, 5) else "zzz qqq", "fr" if held(i, 5) else "xx") for i in range(50)]
     assert language_mix.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0] == ["fr"]

@@ -139,6 +139,14 @@ def test_escape_is_reversible(text):
     assert chat.unescape_role(chat.escape_role(text + "\n\\n")) == text + "\n\\n"
 
 
+def test_chat_ignores_columns_with_clashing_names(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clash = df.withColumns({c: F.lit("clash") for c in ("n_turns", "formatted", "segments", "loss", "piece", "valid", "error")})
+    one, other = (chat.digests(chat.format_chats(x)).collect() for x in (df, clash))
+    assert one == other
+
+
 def test_chat_empty(spark):
     assert chats(spark, []) == {}
 
