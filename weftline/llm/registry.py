@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, collision_count, decontaminate, hyperminhash, language_mix, license_lookup, neighbour_vote, packing, suffix_index, warc
+from . import chat, collision_count, decontaminate, hyperminhash, language_mix, license_lookup, merkle, minimax_shards, neighbour_vote, packing, prefix_trie, suffix_index, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_collision_count": collision_count.op8_collision_count,
         "op9_latent_decontamination": decontaminate.op9_latent_decontamination,
         "op10_mixture_packing": packing.op10_mixture_packing,
+        "op11_minimax_shards": minimax_shards.op11_minimax_shards,
+        "op12_sequence_collapse": prefix_trie.op12_sequence_collapse,
+        "op13_merkle_descent": merkle.op13_merkle_descent,
     }
 
 
@@ -28,4 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_lookup": license_lookup.OP5_SQL,
         "op7_suffix_index": suffix_index.OP7_SQL,
         "op8_collision_count": collision_count.OP8_SQL,
+        "op11_minimax_shards": minimax_shards.OP11_SQL,
+        "op12_sequence_collapse": prefix_trie.OP12_SQL,
+        "op13_merkle_descent": merkle.OP13_SQL,
     }
