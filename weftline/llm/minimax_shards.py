@@ -180,19 +180,21 @@ def _least(low: int, high: int, holds) -> int:
 
 
 def _open(seen: Ends, around: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Stretches of unknown ends that touch the given ones, neighbours put together."""
+    """For each of the given stretches, the one from its first unknown ends to its last; overlapping ones put together."""
     out: list[tuple[int, int]] = []
     for low, high in around:
         i = bisect_right(seen.known, low) - 1
+        gaps = []
         while i + 1 < len(seen.known) and seen.known[i] <= high:
-            a, b = seen.known[i], seen.known[i + 1]
-            if not seen.closed.get(a, False):
-                out.append((a, b))
+            if not seen.closed.get(seen.known[i], False):
+                gaps.append((seen.known[i], seen.known[i + 1]))
             i += 1
+        if gaps:
+            out.append((gaps[0][0], gaps[-1][1]))
     merged: list[tuple[int, int]] = []
-    for a, b in sorted(set(out)):
-        if merged and merged[-1][1] == a:
-            merged[-1] = (merged[-1][0], b)
+    for a, b in sorted(out):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
     return merged
