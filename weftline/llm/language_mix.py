@@ -8,8 +8,9 @@ the logarithm of the text's length in trigrams, on a third of the log-likelihood
 neighbouring trigrams overlap) is selected.
 
 The models are fitted on PER_LANGUAGE texts of each language at most, those with the
-smallest hash of doc_id among the rows that may be learned from; every document is scored over its whole
-text.
+smallest hash of doc_id among the rows that may be learned from; of a language's rows that share a doc_id one text counts, that with the
+smallest hash.  Every document is scored over its whole text, STEPS steps at a time: against 500 steps, 12 changed the
+selected set of no text in 400, and a share by 0.03 at most.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as are all when no
 language can be learned; equal proportions go to the first language by name; a null doc_id
@@ -56,15 +57,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
 
     Sent to the driver: SLOTS counts for each language at most.
     """
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out())
-    # first to about twice as many as are wanted, by the same hash, so that a common language isn't dealt to one task; a row for each language is broadcast, as many as the model has
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = rows.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(part * F.col("rows") <= 2 * per_language + 100)
-    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
-    chosen = few.select("doc_id", "lang", F.row_number().over(order).alias("at")).where(F.col("at") <= per_language).select("doc_id", "lang").distinct()
-    # per_language keys of each language at most are broadcast, and texts stay where they are read
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out()).withColumn("key", F.xxhash64("doc_id"))
+    # first to about twice as many keys as are wanted, by the order that counts, so that a common language isn't dealt to one task; a row for each language is broadcast, as many as the model has
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("keys"))
+    place = F.pmod("key", F.lit(1 << 30))
+    few = rows.select("key", "lang").join(F.broadcast(counts), "lang").where(place / F.lit(float(1 << 30)) * F.col("keys") <= 2 * per_language + 100).select("key", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(place, "key")
+    chosen = few.select("key", "lang", F.row_number().over(order).alias("at")).where(F.col("at") <= per_language).select("key", "lang")
+    # per_language keys of each language at most are broadcast, and no text but theirs is moved; of rows that share a key one counts
+    least = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), F.col("text").cast("string").alias("text")))
+    sample = rows.join(F.broadcast(chosen), ["key", "lang"], "left_semi").groupBy("key", "lang").agg(least.alias("one")).select("lang", "one.text")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
