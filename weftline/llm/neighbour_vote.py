@@ -102,23 +102,25 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple:
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
     usable = usable.groupBy("doc_id").agg(F.min("label").alias("label"))
     usable = usable.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train)
-    # one row a document: of rows that share a doc_id the smallest text
+    # one row a document: of rows that share a doc_id the one with the smallest counts
     rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")
 
     def count(batches):
         for batch in (part for batch in batches for part in slices(batch, 1)):
-            counts = [np.minimum(counts_of(text), 65535).astype("<u2").tobytes() for text in batch.column(1).to_pylist()]
+            counts = [counts_of(text).astype("<u4").tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.binary())], ["doc_id", "label", "counts"])
 
     got = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("label").cast("int")).mapInArrow(count, "doc_id long, label int, counts binary")
     got = got.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("counts").alias("counts")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     if not got.num_rows:
         return np.zeros(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0)
-    counts = np.stack([np.frombuffer(x, "<u2") for x in got.column("counts").to_pylist()])
     n, total = frequencies(docs)
     idf = np.log((1 + total) / (1 + n)) + 0.1
-    x = weigh(counts, idf)
-    del counts
+    label, counts = np.array(got.column("label").to_pylist(), dtype=np.float64), got.column("counts")
+    x = np.zeros((got.num_rows, TERMS), dtype=np.float32)
+    for a in range(0, len(x), BLOCK):
+        x[a : a + BLOCK] = weigh(np.stack([np.frombuffer(c, "<u4") for c in counts.slice(a, BLOCK).to_pylist()]), idf)
+    del got, counts
     # randomised range finder with two power steps
     rank = min(RANK, *x.shape)
     q = np.random.Generator(np.random.PCG64(11)).standard_normal((x.shape[1], min(rank + 16, x.shape[1]))).astype(np.float32)
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple:
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
     v = (q @ vt[:rank].T).astype(np.float64)
     latent = np.vstack([x[a : a + BLOCK].astype(np.float64) @ v for a in range(0, len(x), BLOCK)])
-    return idf, v, _unit(latent), np.array(got.column("label").to_pylist(), dtype=np.float64)
+    return idf, v, _unit(latent), label
 
 
 def votes(latent: np.ndarray, model: tuple) -> np.ndarray:
