@@ -2,21 +2,24 @@
 
 1. Document frequencies of hashed words are counted over all documents.
 2. The benchmark's passages (PASSAGE words each, overlapping by half) are TF-IDF vectors, and a distributed randomised
-   SVD finds the leading RANK right singular vectors of their matrix A: each task sends the
-   product of its rows' part of A'A with a narrow matrix, and the parts are summed in a tree.
+   SVD finds the leading RANK right singular vectors of their matrix A: each task makes the
+   product of its rows' part of A'A with a narrow matrix, and the parts are summed by stripes of STRIPE rows, of which a task has those that its words fall into.
 3. Documents are searched in overlapping windows of two lengths.  The latent vector of a window is the weighted sum of its
    words' rows of V, and its cosine with every latent benchmark passage is computed.  Only words of the
    benchmark have rows: a window that has less than OWN_WEIGHT of its squared weight in them is no
    candidate, whatever the direction of the rest, and running sums tell such windows apart.
-4. A candidate is checked on its words: the longest common subsequence of the item and the
+4. An item of fewer than LEAST_WORDS words has too little for a direction: it is looked for as it stands, by hashes of as many words in
+   a row, and the words compared.  One of fewer than EXACT_WORDS words occurs anywhere by chance, and is found only where it is the whole text.
+5. A candidate is checked on its words: the longest common subsequence of the item and the
    text around the window, as a share of the item, and the share of the item's answer found there
    in order.  The answer is the column ``answer`` where the benchmark has one, else the
    item's last words.
 
-Broadcast: SLOTS rows of RANK numbers at most, and BLOCK benchmark items at a time: a larger benchmark takes a further scan for each
+Sent to the driver: the product of step 2, SLOTS rows of RANK + OVERSAMPLE numbers at most, which tasks have summed.
+Broadcast: SLOTS rows of RANK numbers at most, and BLOCK benchmark items or BLOCK_BYTES of their text at a time: a larger benchmark takes a further scan for each
 further block, whose matches are written before the next block is sent.  Texts are searched whole, PRODUCT cosines at a time.
 
-Defined results: null and empty texts hold nothing; items with fewer than LEAST_WORDS words, null
+Defined results: null and empty texts hold nothing; items without words, with null
 texts or null ids are not looked for; rows that share an item_id are one item's several wordings, the best of
 which counts; repeated documents are reported as often as they occur; an empty table gives no rows;
 other columns are ignored.
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, table, word_hashes
+from .common import Scratch, mix, slices, table, word_hashes
 
 SLOTS = 1 << 16  # 2 to the power of SLOT_BITS
 RANK = 256
@@ -42,8 +45,10 @@ OWN_WEIGHT, CANDIDATE = 0.3, 0.6
 #: Share of an item that is proof in itself, and with the answer found too.
 ALONE, WITH_ANSWER = 0.85, 0.7
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
-LEAST_WORDS = 8
-BLOCK = 20_000
+LEAST_WORDS, EXACT_WORDS = 8, 3
+BLOCK, BLOCK_BYTES = 20_000, 16_000_000
+#: Rows of a product that are summed together.
+STRIPE = 1024
 #: Cosines that are held at once.
 PRODUCT = 1 << 22
 #: Leading bits of a word's hash by which benchmark words are told from others, and its slot.
@@ -94,6 +99,14 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return n[:SLOTS], int(n[SLOTS])
 
 
+def in_a_row(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words in a row."""
+    out = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
+    for i in range(n):
+        out = mix(out + hashes[i : len(hashes) - n + 1 + i])
+    return out
+
+
 def passages_of(words) -> list[tuple[int, int]]:
     """(start, end) of an item's passages."""
     if len(words) <= PASSAGE:
@@ -130,14 +143,21 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int = RANK, rounds:
 
         def part(rows, sent=sent):
             weight, row, basis = sent.value
-            out = np.zeros(basis.shape, dtype=np.float32)
+            out: dict[int, np.ndarray] = {}
             for text in rows:
                 for s, x in _vectors(text, weight):
                     at = row[s]
-                    out[at] += np.outer(x, x @ basis[at]).astype(np.float32)
-            yield out
-
-        product = texts.mapPartitions(part).treeReduce(lambda a, b: a + b)
+                    more = np.outer(x, x @ basis[at]).astype(np.float32)
+                    for stripe in np.unique(at // STRIPE).tolist():
+                        if stripe not in out:
+                            out[stripe] = np.zeros((min(STRIPE, len(basis) - stripe * STRIPE), basis.shape[1]), dtype=np.float32)
+                        own = at // STRIPE == stripe
+                        out[stripe][at[own] - stripe * STRIPE] += more[own]
+            yield from out.items()
+
+        product = np.zeros(q.shape, dtype=np.float32)
+        for stripe, total in texts.mapPartitions(part).reduceByKey(lambda a, b: a + b).collect():
+            product[stripe * STRIPE : stripe * STRIPE + len(total)] = total
         if i < rounds - 1:
             q = product
     # A'A within the basis
@@ -182,14 +202,38 @@ class _Index:
             self.known[hashes_of(plain(text)) >> np.uint64(64 - KNOWN_BITS)] = True
         self.latent = np.array(latent, dtype=np.float32).reshape(len(latent), v.shape[1])
         self.owner = np.array(owner, dtype=np.int64)
+        #: items too short for the latent search: number of words -> (hash of them in a row, item), sorted
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for i, (_, words, _) in enumerate(self.items):
+            if 0 < len(words) < LEAST_WORDS:
+                self.short.setdefault(len(words), []).append((int(in_a_row(hashes_of(b" ".join(words)), len(words))[0]), i))
+
+    def exact(self, hashes: np.ndarray, words) -> set[int]:
+        """Short items whose words stand in the text in a row."""
+        out = set()
+        for n, known in self.short.items():
+            if n > len(hashes) or n < EXACT_WORDS and n != len(hashes):
+                continue
+            rows, keys = in_a_row(hashes, n), np.array([k for k, _ in known], dtype=np.uint64)
+            for at in np.flatnonzero(np.isin(rows, keys)).tolist():
+                here = words()[at : at + n]
+                out |= {i for k, i in known if k == int(rows[at]) and self.items[i][1] == here}
+        return out
 
     def search(self, text: str | None):
         """(item_id, cosine, lcs, answer) of the items that the text holds."""
         text = plain(text)
         hashes = hashes_of(text)
         n = len(hashes)
-        if n < LEAST_WORDS or not len(self.owner):
-            return
+        best = {self.items[i][0]: (1.0, 1.0, 1.0) for i in self.exact(hashes, text.split)} if self.short and n else {}
+        found = self._near(hashes) if n and len(self.owner) else {}
+        self._check(text, found, best)
+        for item_id, (share, told, c) in sorted(best.items()):
+            yield item_id, min(1.0, c), share, told
+
+    def _near(self, hashes: np.ndarray) -> dict[int, list]:
+        """Windows near an item's passages, by item."""
+        n = len(hashes)
         slots, found = slots_of(hashes), {}
         # a word that shares its leading bits with a benchmark word counts as one, which the check on words puts right
         own = self.known[hashes >> np.uint64(64 - KNOWN_BITS)] & (self.row[slots] >= 0)
@@ -210,9 +254,13 @@ class _Index:
                 cos = (latent @ self.latent.T) / norm[:, None]
                 for i, p in zip(*np.nonzero(cos >= CANDIDATE), strict=True):
                     found.setdefault(int(self.owner[p]), []).append((int(begin[some[i]]), int(end[some[i]]), float(cos[i, p])))
+        return found
+
+    def _check(self, text: bytes, found: dict[int, list], best: dict) -> None:
+        """Words of candidates; the best of each item goes to ``best``."""
         if not found:
             return
-        words, best = text.split(), {}
+        words = text.split()
         for i, spots in found.items():
             item_id, item, answer = self.items[i]
             spots.sort()
@@ -233,8 +281,6 @@ class _Index:
                     told = lcs(answer, around) / len(answer)
                     if share >= ALONE or told >= ANSWER_SHARE:
                         best[item_id] = max(best.get(item_id, (0.0, 0.0, 0.0)), (share, told, c))
-        for item_id, (share, told, c) in sorted(best.items()):
-            yield item_id, min(1.0, c), share, told
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
@@ -243,13 +289,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), answer.alias("answer")).where("item_id is not null and text is not null")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n_items = items.count()
+    n_items, n_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not n_items:
         return spark.createDataFrame([], MATCH)
     n, total = frequencies(docs)
     idf = np.log((1 + total) / (1 + n)) + 0.05
     row, v = randomised_svd(items, idf, rank)
-    blocks, out, scratch = -(-n_items // BLOCK), None, None
+    blocks, out, scratch = max(-(-n_items // BLOCK), -(-n_bytes // BLOCK_BYTES)), None, None
     for block in range(blocks):
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()]
         sent = spark.sparkContext.broadcast(_Index(rows, idf, row, v))
