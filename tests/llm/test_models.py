@@ -87,6 +87,102 @@ def test_equal_languages_go_to_the_first_by_name(spark):
     assert len({(r["score"], tuple(r["languages"])) for r in got if r["doc_id"] == 1}) == 1
 
 
+@pytest.mark.parametrize("doc_id", [1, 2, 3, 4, 6, 7, 8, 9, None])
+def test_language_of_rows_that_share_a_doc_id_is_learned(spark, doc_id):
+    if held("" if doc_id is None else doc_id, 5) == 0:
+        return
+    common = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the of and in to").alias("text"), F.lit("en").alias("lang"))
+    same = spark.range(2500).select(F.lit(doc_id).cast("long").alias("doc_id"), F.concat(F.lit("zzz qqq "), F.col("id").cast("string")).alias("text"), F.lit("xx").alias("lang"))
+    assert language_mix.fit(common.unionByName(same), 50)[0] == ["en", "xx"]
+
+
+def test_language_of_one_repeated_row_counts_it_once(spark):
+    rows = [(1, "zzz qqq", "xx")] * 500 + [(2, "yyy", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    once = spark.createDataFrame(list(dict.fromkeys(rows)), docs.schema)
+    assert np.array_equal(language_mix.fit(docs)[1], language_mix.fit(once)[1])
+
+
+def test_language_query_against_a_plain_loop(spark, tmp_path):
+    """Counts, EM, sets and scores in dictionaries and loops."""
+    rng = np.random.default_rng(12)
+    vocabulary = {la: [f"{la}{w:x}" for w in rng.integers(0, 4096, 60)] for la in ("de", "en", "fr")}
+    rows = []
+    for i in range(90):
+        la = ("de", "en", "fr")[i % 3]
+        other = ("de", "en", "fr")[(i + 1) % 3]
+        text = " ".join(rng.choice(vocabulary[la], 30)) + " " + " ".join(rng.choice(vocabulary[other], 20 if i % 4 == 0 else 0))
+        rows.append((i, text, la if i % 10 else None))
+    rows += [(7, "zz zz", "en"), (None, None, "en"), (300, "12", "fr"), (301, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+
+    def grams(text):
+        b = f" {text.lower()} ".encode()
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(b) - 2)]
+
+    letters = lambda t: bool(t) and any(c.isalpha() for c in t)
+    first = {}
+    for i, text, la in rows:  # no other doc_id repeats; its two texts differ in hash, so both are tried below
+        if la is not None and held("" if i is None else i, 5):
+            first.setdefault((la, i), []).append(text)
+    options = [{}]
+    for key, texts in first.items():
+        options = [o | {key: t} for o in options for t in texts]
+    results = []
+    for option in options:
+        counts = {}
+        for (la, _), text in option.items():
+            if letters(text):
+                for g in grams(text):
+                    counts.setdefault(la, Counter())[g] += 1
+        langs = sorted(counts)
+        log = {la: {} for la in langs}
+        total = {la: sum(counts[la].values()) + 0.5 * language_mix.SLOTS for la in langs}
+        out = []
+        for i, text, _ in rows:
+            if not letters(text):
+                out.append((i, "und", 0.0, ()))
+                continue
+            bag = Counter(grams(text))
+            prob = {g: {la: float(np.float32(np.log((counts[la][g] + 0.5) / total[la]))) for la in langs} for g in bag}
+            top = {g: max(p.values()) for g, p in prob.items()}
+            prob = {g: {la: np.exp(p[la] - top[g]) for la in langs} for g, p in prob.items()}
+            n = sum(bag.values())
+
+            def em(some):
+                w = {la: 1 / len(some) for la in some}
+                for _ in range(language_mix.STEPS if len(some) > 1 else 0):
+                    new = dict.fromkeys(some, 0.0)
+                    for g, c in bag.items():
+                        mixed = sum(w[la] * prob[g][la] for la in some)
+                        for la in some:
+                            new[la] += c * w[la] * prob[g][la] / mixed
+                    w = {la: v / n for la, v in new.items()}
+                return w, sum(c * np.log(sum(w[la] * prob[g][la] for la in some)) for g, c in bag.items())
+
+            full, _ = em(langs)
+            order = sorted(langs, key=lambda la: -full[la])
+            best = None
+            for size in range(1, max(1, sum(v >= language_mix.LEAST_SHARE for v in full.values())) + 1):
+                w, likelihood = em(order[:size])
+                value = likelihood / 3 - 0.5 * size * np.log(max(n, 2))
+                if best is None or value > best[0]:
+                    best = (value, w)
+            name = min(best[1], key=lambda la: (-best[1][la], la))
+            out.append((i, name, min(1.0, full[name]), tuple(sorted(best[1]))))
+        results.append(out)
+    got = language_mix.op6_language_mixture(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert any(len(r["languages"]) > 1 for r in got)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[3])
+    mine = sorted(((r["doc_id"], r["lang_pred"], r["score"], tuple(sorted(r["languages"]))) for r in got), key=key)
+    assert any(
+        [(a[0], a[1], a[3]) for a in mine] == [(b[0], b[1], b[3]) for b in sorted(want, key=key)] and [a[2] for a in mine] == pytest.approx([b[2] for b in sorted(want, key=key)], abs=1e-6)
+        for want in results
+    )
+
+
 def test_language_sample_ignores_held_out_rows(spark):
     rows = [(i, "le la les des" if held(i, 5) else "zzz qqq", "fr" if held(i, 5) else "xx") for i in range(50)]
     assert language_mix.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0] == ["fr"]
@@ -115,6 +211,20 @@ def test_quality_edge_cases(spark):
     assert neighbour_vote.score(odd.limit(0), model).count() == 0
 
 
+def test_quality_of_a_very_long_labelled_text(spark):
+    """A term that occurs more than 65,535 times counts as often as it does, learned or scored."""
+    rng = np.random.default_rng(3)
+    long = "".join(rng.choice(list("ab"), 400_000, p=[0.95, 0.05]))
+    docs = spark.createDataFrame([(0, long), (1, "quite another text here"), (3, "and a third one of them")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (0, 1, 3)], "doc_id long, label int").where("doc_id is not null")
+    model = neighbour_vote.fit(docs, labels)
+    x = neighbour_vote.weigh(neighbour_vote.counts_of(long)[None], model[0])
+    z = x.astype(np.float64) @ model[1]
+    known = [i for i in (0, 1, 3) if held(i, 3) != 1]
+    assert 0 in known
+    assert float((z / np.linalg.norm(z) @ model[2].T).max()) == pytest.approx(1, abs=1e-6)
+
+
 def test_quality_frequencies_cover_all_documents(spark):
     """Labelled rows, held-out ones, unlabelled ones and empty ones count alike."""
     texts = [(i, f"plain words {i}") for i in range(12)] + [(i, f"zebra quartz {i}") for i in range(12, 60)] + [(60, None), (61, "")]
@@ -303,6 +413,23 @@ def test_leak_edge_cases(spark):
     assert decontaminate.contaminated(spark.createDataFrame([(1, item)], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_short_items_and_short_texts(spark):
+    items = [(1, "Who wrote Hamlet? William Shakespeare did"), (2, "yes"), (3, "one two three four five six seven eight"), (4, "far away"), (5, "a b c"), (6, "!?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    filler = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, f"{filler} who wrote hamlet; william shakespeare did {filler}"), (2, "who wrote hamlet william shakespeare does"), (3, "Yes!"), (4, "yes no"), (5, "one two three four five six seven"), (6, "so far away now"), (7, "far, away"), (8, "x a b c"), (9, "a b d c"), (10, None), (11, "!")]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(1, 1), (3, 2), (5, 3), (7, 4), (8, 5)]
+
+
+def test_many_bytes_of_items_are_sent_in_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)], "item_id long, text string")
+    docs = bench.select(F.col("item_id").alias("doc_id"), "text")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(40)]
+
+
 def test_answer_decides(spark):
     rng = np.random.default_rng(3)
     w = words(rng, 40)
@@ -532,7 +659,36 @@ def test_pipeline_keeps_unlike_texts_of_one_doc_id(spark):
     rows = [(9, a), (5, a + " end"), (5, b), (5, b), (7, b + " end"), (5, c), (6, None), (None, a), (None, a), (8, ""), (8, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
-    assert got == Counter([(5, a + " end"), (5, b), (5, c), (6, None), (None, a), (None, a), (8, "")])
+    assert got == Counter([(5, a + " end"), (5, b), (5, c), (6, None), (8, "")])
+
+
+def test_pipeline_treats_null_doc_ids_like_others(spark):
+    rng = np.random.default_rng(10)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(None, a), (None, a), (1, a), (2, a), (None, b), (None, b + " end"), (None, c), (None, None), (None, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    [b_kept] = [t for i, t in got if t in (b, b + " end")]
+    assert got == Counter([(1, a), (None, b_kept), (None, c), (None, None), (3, None)])
+
+
+def without_repeats(text, repeated, length):
+    """Bytes that no repeated string covers, and the rest of a character that a cut went through."""
+    covered = [False] * len(text)
+    for p in range(len(text) - length + 1):
+        if text[p : p + length] in repeated:
+            covered[p : p + length] = [True] * length
+    out, at = b"", 0
+    for a in range(len(text)):
+        if a and text[a] & 0xC0 == 0x80:
+            continue
+        end = next((b for b in range(a + 1, len(text)) if text[b] & 0xC0 != 0x80), len(text))
+        starts_here = not covered[a]
+        # a character stays with its first byte; one whose first byte goes is gone
+        if starts_here:
+            out += text[max(a, at) : end]
+            at = end
+    return out.decode()
 
 
 def test_pipeline_stages_against_brute_force(spark):
@@ -564,6 +720,9 @@ def test_pipeline_stages_against_brute_force(spark):
                 t = r["text"].encode()
                 count.update(t[p : p + suffix_index.LENGTH] for p in range(len(t) - suffix_index.LENGTH + 1))
             repeated = {s for s, n in count.items() if n > 1}
+            want = {i: without_repeats(r["text"].encode(), repeated, suffix_index.LENGTH) for i, r in before.items()}
+            assert any(w != before[i]["text"] for i, w in want.items())
+            assert {r["doc_id"]: r["text"] for r in after} == {i: w for i, w in want.items() if w.strip(" ") or w == before[i]["text"]}
             for r in after:
                 assert r["n_chars"] == len(r["text"])
                 assert "�" not in r["text"] or "�" in before[r["doc_id"]]["text"]
