@@ -47,21 +47,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays, of the smallest doc_id; rows are told apart by doc_id and text.
+    """One row of each group stays, that of the smallest doc_id, a null one only where no other is; rows are told apart by doc_id and text.
 
     Other texts under its doc_id are judged on their own; of rows that repeat both, one stays.
     """
     scratch = Scratch(spark, "dedup")
-    keyed = docs.where("doc_id is not null").withColumn("row", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     told = hyperminhash.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text"), scratch)
     told = told.select(F.col("doc_id").alias("row"), "component_id", F.lit(None).cast("long").alias("doc_id"))
     ids = keyed.select("row", F.lit(None).cast("long").alias("component_id"), "doc_id")
     rows = told.unionByName(ids).groupBy("row").agg(F.max("component_id").alias("component_id"), F.min("doc_id").alias("doc_id"))
-    kept = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
     kept = scratch.save(kept, "kept")
     by_row = keyed.join(kept, "row").select("row", *COLUMNS)
-    one = by_row.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("one")).select("one.*")
-    return one.unionByName(docs.where("doc_id is null").select(COLUMNS))
+    return by_row.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("one")).select("one.*")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
