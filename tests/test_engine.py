@@ -226,7 +226,7 @@ def test_self_relation_joins_the_referenced_side(spark):
 
 def test_rewrites_change_plans_and_not_rows(spark):
     m, catalog = star_mapping(), ParquetCatalog(spark, SF, CASTS)
-    trust = Trust(frozenset({("orders", "o_custkey")}), frozenset({("customer", "c_custkey")}))
+    trust = Trust(frozenset({("orders", "o_custkey")}), frozenset({("customer", "c_custkey")}), frozenset({("orders", "o_custkey", "customer", "c_custkey")}))
     base = {"op": "query", "entity": "Order", "fields": ["order_key"]}
     for hops, joins in (([{"rel": "placedBy", "entity": "Customer"}], 0), ([{"rel": "placedBy", "entity": "Customer", "filters": {"segment": "BUILDING"}}], 1), ([{"rel": "placedBy", "entity": "Customer"}, {"rel": "customerNation", "entity": "Nation", "filters": {"nation_key": 3}}], 2)):
         op = parse(base | {"relations": hops})

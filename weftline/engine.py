@@ -34,38 +34,57 @@ class Result:
 
 @dataclass
 class Context:
-    """What an action sees: the tables as the batch has left them so far, and who asks."""
+    """What an action sees and may do: the tables as the batch has left them so far, who asks, and writes that join the batch.
+
+    ``execute`` runs operations in the batch's transaction, under its identity, and gives their log entries; the first that fails raises.
+    ``transaction`` is that transaction (None over a read-only catalog), for writes of rows as DataFrames; those need ``check_rows`` to be relied on.
+    """
 
     spark: SparkSession
     table: object
     identity: object = None
+    execute: object = None
+    transaction: Transaction | None = None
+
+    def savepoint(self):
+        """A block whose writes go if it raises, without the batch failing; blocks may be nested."""
+        if self.transaction is None:
+            raise StoreError("this source is read-only")
+        return self.transaction.savepoint()
 
 
 class Engine:
     """``source`` is a Store, or a catalog with ``table(name)`` that is only read.
 
     With ``owned`` (table -> column, see mapping.ownership) and an identity, operations see and
-    write only that identity's rows of the tables named.  Text and results hold all rows, or the first
+    write only that identity's rows of the tables named; with ``paths`` (see mapping.owner_paths) also of tables that lead to these by keys.  Text and results hold all rows, or the first
     ``max_rows`` where a caller sets that, and say how many there are; a frame always holds all.
     """
 
-    def __init__(self, spark: SparkSession, mapping: Mapping, source, actions: Actions | None = None, owned: dict[str, str] | None = None, deep_scope: bool = False, rewrite: bool = True, max_rows: int | None = None):
+    def __init__(self, spark: SparkSession, mapping: Mapping, source, actions: Actions | None = None, owned: dict[str, str] | None = None, deep_scope: bool = False, rewrite: bool = True, max_rows: int | None = None, paths: dict | None = None):
         self.spark, self.mapping, self.source = spark, mapping, source
         self.actions, self.owned, self.deep_scope, self.rewrite, self.max_rows = actions or Actions(), owned or {}, deep_scope, rewrite, max_rows
+        self.paths = paths or {}
 
     def tool(self) -> dict:
         return tool_schema(self.mapping, self.actions)
 
     def scope(self, identity) -> Scope | None:
-        return Scope(identity, self.owned, self.deep_scope) if identity is not None and self.owned else None
+        return Scope(identity, self.owned, self.deep_scope, self.paths) if identity is not None and self.owned else None
 
-    def trust(self) -> Trust:
-        """What a store's constraints guarantee; a catalog guarantees nothing."""
-        if not self.rewrite or not isinstance(self.source, Store):
+    def trust(self, tx: Transaction | None) -> Trust:
+        """What a store's constraints guarantee where all that was written was checked; a catalog guarantees nothing."""
+        if not self.rewrite or tx is None:
             return Trust()
-        rules = {n: t["constraints"] for n, t in self.source.manifest()["tables"].items()}
+        rules = {n: t["constraints"] for n, t in tx.state["tables"].items() if t["verified"] and n not in tx.unchecked}
         pairs = lambda kind: frozenset((n, c) for n, r in rules.items() for c in r.get(kind, ()))
-        return Trust(pairs("not_null"), pairs("unique"))
+        return Trust(pairs("not_null"), pairs("unique"), frozenset((n, *f) for n, r in rules.items() for f in r.get("foreign", ()) if f[1] not in tx.unheld))
+
+    def compiler(self, tx: Transaction | None, scope: Scope | None) -> Compiler:
+        return Compiler(self.mapping, tx.table if tx else self.source.table, scope, self.trust(tx), tx)
+
+    def begin(self) -> Transaction | None:
+        return self.source.transaction() if isinstance(self.source, Store) else None
 
     def frame(self, raw: dict, identity=None) -> DataFrame:
         """A query operation as a DataFrame, nothing being run."""
@@ -75,7 +94,7 @@ class Engine:
         operation = parse(raw)
         if not isinstance(operation, Query):
             raise CompileError("only a query is a frame")
-        return Compiler(self.mapping, self.source.table, self.scope(identity), self.trust()).query(operation)
+        return self.compiler(self.begin(), self.scope(identity)).query(operation)
 
     def frames(self, batch: list[dict], identity=None) -> list[DataFrame]:
         """Every query of a batch as a DataFrame."""
@@ -91,8 +110,7 @@ class Engine:
         errors = validate(batch, self.mapping, self.actions)
         if errors:
             return Result(say.invalid_text(errors), False)
-        writable = isinstance(self.source, Store)
-        tx = self.source.transaction() if writable else None
+        tx = self.begin()
         run = _Run(self, tx, self.scope(identity), identity)
         texts, log = [], []
         for number, raw in enumerate(copy.deepcopy(batch), 1):
@@ -130,11 +148,14 @@ def _short(e: Exception) -> str:
 class _Run:
     def __init__(self, engine: Engine, tx: Transaction | None, scope: Scope | None, identity):
         self.engine, self.tx, self.scope, self.identity, self.mapping = engine, tx, scope, identity, engine.mapping
-        self.trust = engine.trust()
 
     def table(self, name: str) -> DataFrame:
         return self.tx.table(name) if self.tx else self.engine.source.table(name)
 
+    def where(self, name: str, pairs: dict) -> DataFrame:
+        """Rows of a table of the store that have the given values."""
+        return R.where_equal(self.tx.where(name, pairs), pairs)
+
     def rows(self, df: DataFrame) -> tuple[list[dict], int]:
         """All rows or the first max_rows, and how many there are."""
         most = self.engine.max_rows
@@ -146,7 +167,7 @@ class _Run:
 
     def operation(self, op) -> tuple[str, dict]:
         if isinstance(op, Query):
-            df = Compiler(self.mapping, self.table, self.scope, self.trust).query(op)
+            df = self.engine.compiler(self.tx, self.scope).query(op)
             rows, total = self.rows(df)
             return say.query_text(op.entity, rows, total), {"frame": df, "result": rows, "total": total}
         if isinstance(op, Call):
@@ -161,11 +182,18 @@ class _Run:
 
     def call(self, op: Call) -> tuple[str, dict]:
         try:
-            out = str(self.engine.actions.get(op.action).run(op.params, Context(self.engine.spark, self.table, self.identity), self.mapping))
+            out = str(self.engine.actions.get(op.action).run(op.params, Context(self.engine.spark, self.table, self.identity, self.nested, self.tx), self.mapping))
         except Exception as e:  # whatever a domain's code raises is the operation's failure
             raise WeftlineError(f"action {op.action}: {e}") from e
         return out, {"result": out}
 
+    def nested(self, batch: list[dict]) -> list[dict]:
+        """Operations of an action, in the same transaction."""
+        errors = validate(batch, self.mapping, self.engine.actions)
+        if errors:
+            raise CompileError("; ".join(errors))
+        return [{"op": raw, **self.operation(parse(raw))[1]} for raw in copy.deepcopy(batch)]
+
     def scope_column(self, table: str) -> str | None:
         return self.scope.column(table) if self.scope else None
 
@@ -191,37 +219,52 @@ class _Run:
         df = self.engine.spark.createDataFrame([tuple(values[f.name] for f in schema.fields)], T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]))
         new = self.tx.append(t.name, df)
         check_rows(self.tx, t.name, new)
+        if self.scope and t.name in self.scope.paths and not self.scope.within(new, t.name, self.table).limit(1).collect():
+            raise CompileError(f"the new {op.entity} would be outside what the identity may write")
         rows, _ = self.rows(new)
         return say.write_text("create", op.entity, 1, rows), {"frame": new, "result": {"success": True, "rows_affected": 1, "returned_data": rows}}
 
     def lookup(self, end: End, column: str):
         """The key of the row that fits; of several the lowest, of none null."""
         t = self.mapping.table(end.entity)
-        found = R.where_equal(self.table(t.name), {t.physical(f): v for f, v in end.filters.items()}).select(column).orderBy(column).limit(1).collect()
+        found = self.where(t.name, {t.physical(f): v for f, v in end.filters.items()}).select(column).orderBy(column).limit(1).collect()
         return found[0][0] if found else None
 
     def change(self, op: Update | Delete) -> tuple[str, dict]:
         t = self.mapping.table(op.entity)
-        df = self.table(t.name)
+        schema = self.tx.schema(t.name)
         pairs = {t.physical(f): v for f, v in op.filters.items()}
-        conditions = [R.equals(df, c, v) for c, v in pairs.items()]
         column = self.scope_column(t.name)
-        if column:
-            conditions.append(R.equals(df, column, self.identity))
-        condition, values = R.all_of(conditions), None
+        asked = dict(pairs)
+        if column:  # a filter on the scope's own column holds as well
+            pairs.setdefault(column, self.identity)
+
+        def pick(df: DataFrame) -> DataFrame:
+            df = R.where_equal(df, asked)
+            return self.scope.within(df, t.name, self.table) if self.scope else df
+
+        values = None
         if isinstance(op, Update):
             values = {}
             for f, v in op.data.items():
                 c = t.physical(f)
-                if c not in df.columns:
+                if c not in schema.names:
                     raise CompileError(f"{t.name} has no column {c}")
-                kind = df.schema[c].dataType
-                values[c] = F.lit(coerce(v, kind, c)).cast(kind)
-        result = self.tx.change(t.name, condition, values)
-        if values is None:
-            check_removed(self.tx, t.name, result)
-        else:
+                values[c] = F.lit(coerce(v, schema[c].dataType, c)).cast(schema[c].dataType)
+        unknown = [c for c in pairs if c not in schema.names]
+        if unknown:
+            raise CompileError(f"there is no column {', '.join(unknown)}")
+        some = bool(pairs) or bool(self.scope and self.scope.covers(t.name))
+        result = self.tx.change(t.name, pick if some else None, values, pairs or None)
+        referred = {key for e in self.tx.state["tables"].values() for _, other, key in e["constraints"].get("foreign", ()) if other == t.name}
+        if values is not None:
             check_rows(self.tx, t.name, result, set(values))
+        if values is None or referred & set(values):
+            check_removed(self.tx, t.name, self.tx.replaced)
+        else:
+            self.tx.unheld.discard(t.name)
+        if values and self.scope and t.name in self.scope.paths and self.scope.paths[t.name][0].fk_column in values and self.scope.within(result, t.name, self.table).count() < result.count():
+            raise CompileError(f"the {op.entity} would go outside what the identity may write")
         affected = result.count()
         rows, _ = self.rows(result)
         return say.write_text(op.op, op.entity, affected, rows), {"frame": result, "result": {"success": True, "rows_affected": affected, "returned_data": rows}}
@@ -229,12 +272,12 @@ class _Run:
     def end(self, end: End, column: str):
         """The key of the one row that fits an endpoint."""
         t = self.mapping.table(end.entity)
-        df = self.table(t.name)
         pairs = {t.physical(f): v for f, v in end.filters.items()}
         scope = self.scope_column(t.name)
         if scope:
             pairs[scope] = self.identity
-        found = R.where_equal(df, pairs).select(column).limit(2).collect()
+        df = self.where(t.name, pairs)
+        found = (self.scope.within(df, t.name, self.table) if self.scope else df).select(column).limit(2).collect()
         if len(found) != 1:
             raise CompileError(f"{'no' if not found else 'more than one'} {end.entity} fits {end.filters}{': ambiguous' if found else ': no match'}")
         return found[0][0]
@@ -244,8 +287,7 @@ class _Run:
         step_of = lambda end: next(s for s in relation.steps if s.ref_table == self.mapping.table(end.entity).name)
         steps = step_of(op.start), step_of(op.end)
         pair = {s.fk_column: self.end(e, s.ref_column) for s, e in zip(steps, (op.start, op.end), strict=True)}
-        bridge = self.table(relation.junction)
-        there = bool(R.where_equal(bridge, pair).limit(1).collect())
+        there = bool(self.where(relation.junction, pair).limit(1).collect())
         names = f"{op.start.entity} and {op.end.entity}"
         if op.op == "link":
             if there:
@@ -262,6 +304,6 @@ class _Run:
             return f"Linked {names} by {op.relation}.", {"result": "linked"}
         if not there:
             return f"{names} are not linked by {op.relation}.", {"result": "not linked"}
-        condition = R.all_of([R.equals(bridge, c, v) for c, v in pair.items()])
-        self.tx.change(relation.junction, condition, None)
+        self.tx.change(relation.junction, lambda df: R.where_equal(df, pair), None, pair)
+        check_removed(self.tx, relation.junction, self.tx.replaced)
         return f"Unlinked {names} from {op.relation}.", {"result": "unlinked"}

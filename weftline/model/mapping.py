@@ -198,3 +198,25 @@ def ownership(mapping: Mapping, identity_class: str, schema: dict | None = None)
         steps += [Step(t["name"], k["column"], k["references_table"], k["references_column"]) for k in t["foreign_keys"]]
     out = {s.fk_table: s.fk_column for s in steps if s.ref_table == user.name}
     return out | {user.name: user.primary_key}
+
+
+def owner_paths(mapping: Mapping, identity_class: str, schema: dict | None = None) -> dict[str, tuple[Step, ...]]:
+    """Table -> the fewest foreign keys that lead from it to a table with a column of ``ownership``.
+
+    Of paths of equal length the first by the names of their keys; tables that have such a column are left out.
+    """
+    steps = {s for r in mapping.relations.values() for s in r.steps}
+    for t in (schema or {}).get("tables", ()):
+        steps |= {Step(t["name"], k["column"], k["references_table"], k["references_column"]) for k in t["foreign_keys"]}
+    owned = ownership(mapping, identity_class, schema)
+    out: dict[str, tuple[Step, ...]] = {}
+    reached = set(owned)
+    while True:
+        found: dict[str, tuple[Step, ...]] = {}
+        for s in sorted(steps, key=lambda s: (s.fk_table, s.fk_column, s.ref_table, s.ref_column)):
+            if s.ref_table in reached and s.fk_table not in reached and s.fk_table not in found:
+                found[s.fk_table] = (s, *out.get(s.ref_table, ()))
+        if not found:
+            return out
+        out |= found
+        reached |= set(found)

@@ -14,7 +14,7 @@ while compiling.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,22 +27,48 @@ from .operations import Query
 
 @dataclass(frozen=True)
 class Scope:
-    """Rows that an identity may see: owned maps a table to the column that must equal the identity."""
+    """Rows that an identity may see.
+
+    ``owned`` maps a table to the column that must equal the identity; ``paths`` maps a table without such a column to the
+    foreign keys that lead from it to one that has it.
+    """
 
     identity: object
     owned: dict[str, str]
     deep: bool = False
+    paths: dict[str, tuple[Step, ...]] = field(default_factory=dict)
 
     def column(self, table: str) -> str | None:
         return self.owned.get(table)
 
+    def covers(self, table: str) -> bool:
+        return table in self.owned or table in self.paths
+
+    def within(self, df: DataFrame, table: str, tables: Callable[[str], DataFrame]) -> DataFrame:
+        """The rows of a table that the identity may see: a filter, or a chain of semi-joins that ends in one."""
+        if table in self.owned:
+            return R.where_equal(df, {self.owned[table]: self.identity})
+        if table not in self.paths:
+            return df
+        steps = self.paths[table]
+        seen = R.where_equal(tables(steps[-1].ref_table), {self.owned[steps[-1].ref_table]: self.identity})
+        for step, onward in zip(reversed(steps), [*reversed(steps[:-1]), None], strict=True):
+            keys = seen.select(F.col(f"`{step.ref_column}`").alias("_key"))
+            near = df if onward is None else tables(step.fk_table)
+            seen = near.join(keys, F.col(f"`{step.fk_column}`") == F.col("_key"), "left_semi")
+        return seen
+
 
 @dataclass(frozen=True)
 class Trust:
-    """What may be relied on in rewrites: non-null foreign keys and unique columns, as (table, column)."""
+    """What may be relied on in rewrites, since it was checked.
+
+    Non-null and unique columns, as (table, column), and references, as (table, column, other table, its column).
+    """
 
     not_null: frozenset = frozenset()
     unique: frozenset = frozenset()
+    foreign: frozenset = frozenset()
 
 
 @dataclass
@@ -59,28 +85,46 @@ class _Node:
 
 
 class Compiler:
-    """``tables`` gives the DataFrame of a physical table."""
-
-    def __init__(self, mapping: Mapping, tables: Callable[[str], DataFrame], scope: Scope | None = None, trust: Trust | None = None):
-        self.mapping, self.tables, self.scope, self.trust = mapping, tables, scope, trust or Trust()
-
-    def scoped(self, name: str, always: bool = True) -> DataFrame:
-        """A table's rows, less those outside the scope."""
-        df = self.tables(name)
-        column = self.scope.column(name) if self.scope else None
-        if column is None or not (always or self.scope.deep):
-            return df
-        return R.where_equal(df, {column: self.scope.identity})
+    """``tables`` gives the DataFrame of a physical table.
+
+    A ``store`` (a transaction) gives a table's rows with given values from the files that may hold them, and aggregates that it knows without a scan.
+    """
+
+    def __init__(self, mapping: Mapping, tables: Callable[[str], DataFrame], scope: Scope | None = None, trust: Trust | None = None, store=None):
+        self.mapping, self.tables, self.scope, self.trust, self.store = mapping, tables, scope, trust or Trust(), store
+
+    def scoped(self, name: str, always: bool = True, pairs: dict | None = None) -> DataFrame:
+        """A table's rows that have the given values, less those outside the scope."""
+        pairs, inside = pairs or {}, self.scope is not None and (always or self.scope.deep)
+        column = self.scope.column(name) if inside else None
+        near = pairs if column is None or column in pairs else pairs | {column: self.scope.identity}
+        df = self.store.where(name, near) if self.store and near else self.tables(name)
+        df = R.where_equal(df, pairs)
+        return self.scope.within(df, name, self.tables) if inside else df
+
+    def whole(self, q: Query) -> DataFrame | None:
+        """The aggregate of a whole table, where it is known without reading it."""
+        t = self.mapping.table(q.entity)
+        if self.store is None or not q.aggregate or q.filters or q.relations or (self.scope and self.scope.covers(t.name)):
+            return None
+        fn, column = q.aggregate[0], t.physical(q.aggregate[1]) if q.aggregate[1] else None
+        value = self.store.known(t.name, fn, column)
+        if value is None:
+            return None
+        kind = "bigint" if fn == "count" else self.store.schema(t.name)[column].dataType
+        return self.store.spark.range(1).select(F.lit(value[0]).cast(kind).alias(fn))
 
     def _touches(self, rel: str, table: str) -> bool:
         relation = self.mapping.relations.get(rel)
         return relation is not None and any(table in s.tables for s in relation.steps)
 
     def query(self, q: Query) -> DataFrame:
+        known = self.whole(q)
+        if known is not None:
+            return known
         anchor_map = self.mapping.table(q.entity)
-        anchor = _Node(anchor_map.name, "", self.scoped(anchor_map.name))
         physical = {anchor_map.physical(f): v for f, v in q.filters.items()}
-        anchor.frame = R.where_equal(anchor.frame, physical)
+        anchor = _Node(anchor_map.name, "", self.scoped(anchor_map.name, pairs=physical))
         state = _Joined(self, anchor)
         for i, hop in enumerate(q.relations):
             # a later relation that misses the anchor may start at this one's tables, so those joins are kept
@@ -152,18 +196,17 @@ class _Joined:
                 self.frame = self.frame.where(R.equals(df, column, value, f"`{at.column(column)}`"))
 
     def _needless(self, step: Step, from_key: bool, same: bool, other: str, filters: dict) -> bool:
-        """A join to exactly one row of the other side, without filters, changes nothing."""
+        """A join to exactly one row of the other side, without filters, changes nothing: the key refers to a row, and to one only."""
         trust, scope = self.compiler.trust, self.compiler.scope
-        scoped = scope and scope.deep and scope.column(other)
-        return from_key and not same and not filters and not scoped and not self.keep and (step.fk_table, step.fk_column) in trust.not_null and (step.ref_table, step.ref_column) in trust.unique
+        scoped = scope and scope.deep and scope.covers(other)
+        key, target = (step.fk_table, step.fk_column), (step.ref_table, step.ref_column)
+        return from_key and not same and not filters and not scoped and not self.keep and key in trust.not_null and target in trust.unique and (*key, *target) in trust.foreign
 
     def _node(self, table: str, columns: set[str], filters: dict) -> _Node:
         """A further table with the columns that later steps or relations may need."""
-        df = self.compiler.scoped(table, always=False)
+        df = self.compiler.scoped(table, always=False, pairs=filters)
         keys = {s.fk_column for r in self.compiler.mapping.relations.values() for s in r.steps if s.fk_table == table}
         keys |= {s.ref_column for r in self.compiler.mapping.relations.values() for s in r.steps if s.ref_table == table}
-        if filters:
-            df = R.where_equal(df, filters)
         self.count += 1
         alias = f"a{self.count}"
         keep = [c for c in df.columns if c in keys | columns]

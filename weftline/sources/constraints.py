@@ -30,7 +30,7 @@ def from_schema(table: dict) -> dict:
 def check_rows(tx: Transaction, name: str, rows: DataFrame, columns: set[str] | None = None) -> None:
     """Rows that a write has put into the table; only ``columns`` where given.
 
-    The cheap row-wise rules are one pass; keys and references look only at the written values.
+    The cheap row-wise rules are one pass; keys and references look only at the written values, in files that may hold them.
     """
     rules = tx.entry(name)["constraints"]
     wanted = lambda c: columns is None or c in columns
@@ -43,28 +43,30 @@ def check_rows(tx: Transaction, name: str, rows: DataFrame, columns: set[str] |
         if broken:
             raise ConstraintViolation("; ".join(broken))
     for c in rules.get("unique", ()):
-        if wanted(c):
+        span = tx.written(name, c)
+        if wanted(c) and span is not None:
             written = rows.where(F.col(c).isNotNull()).select(c).distinct()
-            twice = tx.table(name).join(written, c, "left_semi").groupBy(c).count().where("count > 1").limit(1).collect()
+            twice = tx.near(name, c, span).join(written, c, "left_semi").groupBy(c).count().where("count > 1").limit(1).collect()
             if twice:
                 raise ConstraintViolation(f"{name}.{c} must be unique; {twice[0][0]!r} is there already")
     for column, other, key in rules.get("foreign", ()):
-        if wanted(column):
+        span = tx.written(name, column)
+        if wanted(column) and span is not None:
             written = rows.where(F.col(column).isNotNull()).select(F.col(column).alias(key)).distinct()
-            lost = written.join(tx.table(other).select(key), key, "left_anti").limit(1).collect()
+            lost = written.join(tx.near(other, key, span).select(key), key, "left_anti").limit(1).collect()
             if lost:
                 raise ConstraintViolation(f"{name}.{column}: {other} has no {key} {lost[0][0]!r}")
+    tx.unchecked.discard(name)
 
 
 def check_removed(tx: Transaction, name: str, removed: DataFrame) -> None:
-    """Rows taken out of the table: nothing may refer to them."""
+    """Rows taken out of the table, or replaced: nothing may refer to what the table no longer has."""
     for child, entry in tx.state["tables"].items():
         for column, other, key in entry["constraints"].get("foreign", ()):
             if other == name:
-                held = tx.table(child).where(F.col(column).isNotNull()).select(F.col(column).alias(key))
-                gone = removed.select(key).distinct()
-                if key not in tx.entry(name)["constraints"].get("unique", ()):  # another row may still have the key
-                    gone = gone.join(tx.table(name).select(key), key, "left_anti")
+                held = tx.rows(child).where(F.col(column).isNotNull()).select(F.col(column).alias(key))
+                gone = removed.select(key).distinct().join(tx.rows(name).select(key), key, "left_anti")
                 hit = held.join(gone, key, "left_semi").limit(1).collect()
                 if hit:
                     raise ConstraintViolation(f"{child}.{column} still refers to {name}.{key} {hit[0][0]!r}")
+    tx.unheld.discard(name)
