@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from weftline import atlas, star
+from weftline import atlas, star, stores
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +48,11 @@ def test_query_of_domains_made_from_tables(spark, duck, name):
     compare(atlas, spark, duck, name)
 
 
+@pytest.mark.parametrize("name", sorted(stores.queries()))
+def test_query_over_a_store(spark, duck, name):
+    compare(stores, spark, duck, name)
+
+
 def test_entry(spark):
     import __spark_entry__
 
