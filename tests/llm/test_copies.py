@@ -93,6 +93,14 @@ def test_group_whose_members_are_not_all_alike(spark):
     assert 1 < len({r["component_id"] for r in got}) < 60
 
 
+def test_near_copies_whatever_is_compared_first(spark):
+    docs = table(spark, SF, "documents").select(F.xxhash64("doc_id").alias("doc_id"), "text", F.col("doc_id").alias("order"))
+    found = lambda first: sorted(map(tuple, hyperminhash.near_duplicates(docs, Scratch(spark, "t"), first=first).collect()))
+    plain = found(None)
+    for order in (F.col("order"), F.when(F.col("order") % 2 == 0, -F.col("order"))):
+        assert found(docs.select("doc_id", order.alias("order"))) == plain
+
+
 def test_near_edge_cases(spark):
     words = " ".join(f"word{i}" for i in range(40))
     rows = [(1, None), (2, ""), (3, " \t\n\x0b"), (4, "A b"), (5, "a  B "), (6, "a b c"), (7, words), (8, words.upper() + " more"), (None, words), (9, " x"), (10, " X"), (11, "É é"), (12, "é é"), (8, "something else"), (13, "something else"), (7, words)]

@@ -315,16 +315,25 @@ def _settled(asked: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scra
     return scratch.save(dealt.mapInArrow(run, "a long, b long"), "ask-links")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, k: int = WORDS, first: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    The member of a bucket that others are compared with first is the one of the smallest doc_id: copies mostly come after what they
+    were made of.  Where doc_ids have no such order, ``first`` (doc_id, order) gives one; the result is the same.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketch = scratch.save(sketches(docs, k), "sketch")
     classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = scratch.save(classes, "classes")
     reps = classes.select("rep", "n_shingles", "bands")
     bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = scratch.save(bands.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
-    members = scratch.save(bands.join(buckets, ["band", "key"]), "members")
+    pivot = F.min("rep")
+    if first is not None:
+        order = first.groupBy(F.col("doc_id").alias("rep")).agg(F.min("order").alias("order"))
+        bands = reps.join(order, "rep", "left").select("rep", "order", F.posexplode("bands").alias("band", "key"))
+        pivot = F.min(F.struct(F.col("order").isNull(), "order", "rep"))["rep"]
+    buckets = scratch.save(bands.groupBy("band", "key").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
+    members = scratch.save(bands.select("rep", "band", "key").join(buckets, ["band", "key"]), "members")
     # repeated rows once; a document that shares no bucket has no link
     near = members.select("rep").distinct()
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(near, "rep").groupBy("rep", F.xxhash64("text")).agg(F.first("text").alias("text"))
