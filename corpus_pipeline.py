@@ -53,7 +53,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     scratch = Scratch(spark, "dedup")
     keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    told = hyperminhash.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text"), scratch)
+    order = keyed.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("order"))
+    told = hyperminhash.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text"), scratch, first=order)
     told = told.select(F.col("doc_id").alias("row"), "component_id", F.lit(None).cast("long").alias("doc_id"))
     ids = keyed.select("row", F.lit(None).cast("long").alias("component_id"), "doc_id")
     rows = told.unionByName(ids).groupBy("row").agg(F.max("component_id").alias("component_id"), F.min("doc_id").alias("doc_id"))
