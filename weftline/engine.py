@@ -19,6 +19,7 @@ from .plans.compile import Compiler, Scope, Trust
 from .plans.operations import Call, Create, Delete, End, Link, Query, Update, parse
 from .plans.tool import tool_schema
 from .plans.validate import validate
+from .runs import Failed, Together, cut
 from .sources.constraints import check_removed, check_rows
 from .sources.store import Store, Transaction
 
@@ -83,6 +84,9 @@ class Engine:
     def compiler(self, tx: Transaction | None, scope: Scope | None) -> Compiler:
         return Compiler(self.mapping, tx.table if tx else self.source.table, scope, self.trust(tx), tx)
 
+    def plan_text(self, frame: DataFrame | None) -> str | None:
+        return plan_text(frame)
+
     def begin(self) -> Transaction | None:
         return self.source.transaction() if isinstance(self.source, Store) else None
 
@@ -113,19 +117,30 @@ class Engine:
         tx = self.begin()
         run = _Run(self, tx, self.scope(identity), identity)
         texts, log = [], []
-        for number, raw in enumerate(copy.deepcopy(batch), 1):
+        operations = [parse(raw) for raw in copy.deepcopy(batch)]
+        together = Together(run)
+        for some in cut(operations):
+            ops, done, error = [operations[i] for i in some], [], None
             try:
-                out, entry = run.operation(parse(raw))
+                if len(some) > 1 and together.may(ops[0]):
+                    done = together.operations(ops)
+                else:
+                    for op in ops:
+                        done.append(run.operation(op))
             except Exception as e:  # Spark and the JVM raise many kinds; whatever it is, nothing staged may stay
                 if tx:
                     tx.rollback()
-                return Result(say.failed_text(number, _short(e), number - 1), False, log)
+                done, error = (e.done, e.__cause__) if isinstance(e, Failed) else (done, e)
             except BaseException:  # the caller gave up
                 if tx:
                     tx.rollback()
                 raise
-            texts.append(out)
-            log.append({"op": raw, "is_write": raw["op"] not in ("query", "action"), "plan": plan_text(entry.get("frame")), **entry})
+            for i, (out, entry) in zip(some, done):  # noqa: B905 - fewer where one failed
+                raw = batch[i]
+                texts.append(out)
+                log.append({"op": raw, "is_write": raw["op"] not in ("query", "action"), "plan": entry["plan"] if "plan" in entry else plan_text(entry.get("frame")), **entry})
+            if error:
+                return Result(say.failed_text(len(texts) + 1, _short(error), len(texts)), False, log)
         if tx:
             try:
                 tx.commit()
