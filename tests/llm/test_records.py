@@ -192,6 +192,54 @@ def test_published_licences_in_any_wrapping(spark):
     assert {i: got[i]["license"] for i in got} == want
 
 
+FORMS = {
+    "curly quotes": lambda t: t.replace('"AS IS"', "\u201cAS IS\u201d").replace("'as-is'", "\u2018as-is\u2019").replace('"Software"', "\u201eSoftware\u201c").replace('"', "\u201d"),
+    "byte order mark": lambda t: "\ufeff" + t,
+    "no-break spaces": lambda t: t.replace(" ", "\u00a0"),
+    "thin spaces and no width": lambda t: t.replace(" the ", " the\u2009").replace("software", "soft\u00adware"),
+    "dashes": lambda t: t.replace("-", "\u2013"),
+    "bullets": lambda t: re.sub(r"(?m)^\s*[123]\. ", "\u2022 ", t),
+    "a holder over two lines": lambda t: "Copyright (c) 2024 The Regents of a University,\n    Some Department\n\n" + t,
+    "a holder over three lines": lambda t: "Copyright 2024 One Company\nTwo Company\nand Others\n\n" + t,
+    "no empty line after the holder": lambda t: "Copyright (c) 2024 Someone\n" + t,
+    "several holders": lambda t: "Copyright (c) 2024 A\nCopyright (c) 2023 B\nAll rights reserved.\n\n" + t,
+    "rem": lambda t: "\n".join("REM " + line for line in ("Copyright (c) 2024 A\n\n" + t).split("\n")),
+    "dnl": lambda t: "\n".join("dnl " + line for line in t.split("\n")),
+    "semicolons": lambda t: "\n".join(";; " + line for line in t.split("\n")),
+    "line separators": lambda t: t.replace("\n", "\u2028"),
+    "carriage returns": lambda t: t.replace("\n", "\r\n"),
+}
+
+
+def test_every_licence_in_every_typography(spark, tmp_path):
+    texts = [(n, t) for n, (t, _) in license_lookup.TEXTS.items()] + [(f.stem, f.read_text()) for f in sorted((Path(license_lookup.__file__).parent / "licences").glob("*.txt"))]
+    rows, want = [], {}
+    for n, text in texts:
+        for form, change in FORMS.items():
+            if form in ("bullets", "no empty line after the holder", "dashes") and n not in license_lookup.TEXTS:
+                continue  # these have numbers in running text, or begin with a holder of their own
+            want[len(rows)] = (n.strip(), form)
+            rows.append((len(rows), change(_wrapped(text, 78) if n in license_lookup.TEXTS else text)))
+    got = licences(spark, rows)
+    assert {i: (got[i]["license"], form) for i, (_, form) in want.items()} == want
+    few = [r for r in rows if want[r[0]][0] in ("MIT", "BSD-3-Clause", "ISC", "Artistic-1.0-Perl")] + [(10**6, None), (10**6 + 1, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", few)
+    con.execute(license_lookup.OP5_SQL)
+    again = {r[0]: r[1:] for r in con.execute(license_lookup.OP5_SQL).fetchall()}
+    mine = licences(spark, few)
+    assert {i: (r["text_digest"], r["license"], r["notices"]) for i, r in mine.items()} == again
+
+
+def test_text_after_a_copyright_line_stays_unless_it_goes_on_with_it(spark):
+    got = licences(spark, [(1, "Copyright (c) 2024 A\nB\n\nreal text"), (2, "real text"), (3, "Copyright (c) 2024 A\nB\nC\nD\n\nreal text"), (4, "B C D real text"), (5, "Copyright (c) 2024 A\nPermission is mine\n\nreal text"), (6, "Permission is mine real text"), (7, "Rem Koolhaas wrote"), (8, "Remember this"), (9, "remember THIS")])
+    assert got[1]["text_digest"] == got[2]["text_digest"]
+    assert got[3]["text_digest"] == got[4]["text_digest"]
+    assert got[5]["text_digest"] == got[6]["text_digest"]
+    assert got[8]["text_digest"] == got[9]["text_digest"] != got[7]["text_digest"]
+
+
 def test_copyright_lines_of_a_licence_itself_stay():
     pattern = re.compile(license_lookup.COPYRIGHT_LINE)
     for line in ("copyright notice and this permission notice appear", "copyright holders be liable", "copyright law.", "copyright license to reproduce", "(c) you must retain", "all rights reserved by law"):

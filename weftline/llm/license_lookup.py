@@ -1,12 +1,13 @@
 """Licence texts by canonical digest.
 
-A text is made canonical: lower case, lines of copyright notices and marks of list items out, punctuation and white space to single
-spaces, equivalent spellings to one.  The digest of the result is looked up, by a hash
+A text is made canonical: typographic quotes, dashes, bullets and spaces to plain ones and marks without width out, lower case, lines of copyright
+notices and marks of list items out, punctuation and white space to single spaces, equivalent spellings to one.  The digest of the result is looked up, by a hash
 join, among the digests of known texts, made the same way.  Entire texts are looked up:
 the document as a whole, and each of its lines by itself, since a notice is a line.
 
 A copyright notice is a line that, comment marks aside, says "copyright" or its sign and then a sign, a year or a
-name, or that reserves all rights and says no more.  A licence's own lines about copyright stay, however they are wrapped.
+name, or that reserves all rights and says no more.  Up to two lines that go on with it (an empty line comes after them, and none starts as a known
+text does) belong to it.  A licence's own lines about copyright stay, however they are wrapped.
 
 Known are the texts in KNOWN, with and without their usual headings, and those of the folder ``licences``, a file for each,
 named as in the SPDX list; a caller may give a table of others.
@@ -21,6 +22,7 @@ first name in order; repeated rows are looked up alike; an empty table gives no
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache, reduce
 from pathlib import Path
 
@@ -163,21 +165,67 @@ def known_texts() -> list[tuple[str, str]]:
     return out
 
 
-#: Comment marks before a notice.
+# Typographic characters, and what each stands for; those after the last pair stand for nothing.
+PLAIN = {
+    "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000": " ",
+    "\u0085\u2028\u2029": "\n",
+    "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u2043": "-",
+    "\u2018\u2019\u201a\u201b\u2032\u2039\u203a": "'",
+    "\u201c\u201d\u201e\u201f\u2033\u00ab\u00bb": '"',
+    "\u2022\u2023\u2219\u25aa\u25ab\u25cf\u25cb\u25e6\u25a0\u25a1\u00b7": "*",
+    "\u2026": ".",
+}
+NOTHING = "\ufeff\u200b\u200c\u200d\u2060\u00ad"
+FROM, TO = "".join(PLAIN) + NOTHING, "".join(to * len(of) for of, to in PLAIN.items())
+
+#: Comment marks before a line, and words that mark one.
 _MARKS = r"[ \t\r/*#;|!<>%\"'.-]*"
+_REMARK = r"(?:rem|dnl)(?![a-z0-9_])"
 #: Words after "copyright" that are a licence's own words and no name.
 _OWN_WORDS = "notices?|holders?|owners?|laws?|licen[sc]es?|statements?|interests?|ownership|treat(?:y|ies)|protections?|permissions?|disclaimers?|status|act|and|or|in|to|of|is|on|as|for|by its|under|grant|resulting|governing|assignment|disputes?|infringements?|rights?|works?|material"
-COPYRIGHT_LINE = rf"(?m)^{_MARKS}(?:copyright[ \t:]*(?:\(c\)|©|&copy;|[0-9<\[{{])|(?:\(c\)|©|&copy;)[ \t]*(?:copyright|[0-9])|copyright[ \t]+(?!(?:{_OWN_WORDS})\b)[a-z]|all rights reserved[ \t\r.!]*$)[^\n]*"
-ITEM_MARK = rf"(?m)^{_MARKS}\(?(?:[0-9]{{1,2}}|[a-z])[.)](?=[ \t])"
+_NOTICE = rf"(?:copyright[ \t:]*(?:\(c\)|©|&copy;|[0-9<\[{{])|(?:\(c\)|©|&copy;)[ \t]*(?:copyright|[0-9])|copyright[ \t]+(?!(?:{_OWN_WORDS})\b)[a-z]|all rights reserved[ \t\r.!]*$)[^\n]*"
+COPYRIGHT_LINE = rf"(?m)^{_MARKS}(?:{_REMARK}{_MARKS})?{_NOTICE}"
+_ITEM = r"\(?(?:[0-9]{1,2}|[a-z])[.)](?=[ \t])"
+ITEM_MARK = rf"(?m)^{_MARKS}(?:{_REMARK}(?:{_MARKS}{_ITEM})?|{_ITEM})"
 PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
+@lru_cache(maxsize=1)
+def first_words() -> list[str]:
+    """With which one or two words known texts and their paragraphs start, whatever stands between the words."""
+    starts = {tuple(re.findall("[a-z]+", p.lower())[:2]) for _, t in known_texts() for p in re.split(r"\n\s*\n", t)}
+    return sorted("[^a-z0-9]+".join(w) for w in starts if w and w[0] != "copyright")
+
+
+@lru_cache(maxsize=1)
+def notice_pattern() -> str:
+    """A copyright line with the lines that go on with it."""
+    marks = rf"{_MARKS}(?:{_REMARK}{_MARKS})?"
+    on = rf"\n(?!{marks}(?:(?:{_ITEM}[ \t]*)?(?:{'|'.join(first_words())})(?![a-z0-9_])|$))[^\n]*"
+    return rf"{COPYRIGHT_LINE}(?:(?:{on}){{1,2}}(?=\n{marks}(?:\n|\z)))?"
+
+
+@lru_cache(maxsize=1)
+def _spelled() -> str:
+    """Any of SPELLINGS, by first letter."""
+    by: dict[str, list[str]] = {}
+    for old in SPELLINGS:
+        by.setdefault(old[0], []).append(old[1:].replace(" ", "  "))
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items())) + ") "
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical text with its lines apart; each line starts and ends with a space."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), ITEM_MARK, "")
+    text = F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, FROM, TO))
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), notice_pattern(), ""), ITEM_MARK, "")
     out = F.concat(F.lit(" "), F.regexp_replace(out, PUNCTUATION, "  "), F.lit(" "))
-    out = F.replace(out, F.lit("\n"), F.lit(" \n "))
-    return reduce(lambda s, x: F.replace(s, F.lit(f" {x[0].replace(' ', '  ')} "), F.lit(f" {x[1]} ")), SPELLINGS.items(), out)
+    return F.replace(out, F.lit("\n"), F.lit(" \n "))
+
+
+def respelled(lines: Column) -> Column:
+    """Equivalent spellings as one, in texts that have any."""
+    one = reduce(lambda s, x: F.replace(s, F.lit(f" {x[0].replace(' ', '  ')} "), F.lit(f" {x[1]} ")), SPELLINGS.items(), lines)
+    return F.when(lines.rlike(_spelled()), one).otherwise(lines)
 
 
 def whole(lines: Column) -> Column:
@@ -186,7 +234,8 @@ def whole(lines: Column) -> Column:
 
 def digests_of(known: DataFrame) -> DataFrame:
     """(license, digest, length) of known texts (license, text), by first name where equal."""
-    canonical = known.select("license", whole(canonical_lines(F.col("text"))).alias("c")).where("c <> ''")
+    lines = known.select("license", canonical_lines(F.col("text")).alias("c"))
+    canonical = lines.select("license", whole(respelled(F.col("c"))).alias("c")).where("c <> ''")
     return canonical.groupBy(F.sha2("c", 256).alias("digest"), F.length("c").alias("length")).agg(F.min("license").alias("license"))
 
 
@@ -197,6 +246,7 @@ def lookup(docs: DataFrame, scratch: Scratch, known: DataFrame | None = None) ->
     known = scratch.save(digests_of(known), "known")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), canonical_lines(F.col("text")).alias("c"))
+    lines = lines.withColumn("c", respelled(F.col("c")))
     # sent to the driver and back: as many lengths as there are known texts at most
     lengths = F.array(*[F.lit(r["length"]) for r in known.select("length").distinct().collect()]).cast("array<int>")
     single = F.transform(F.split("c", "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
@@ -216,12 +266,24 @@ def op5_license_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """By lists of lines and words: a line is a notice if it starts like one and goes on like none of the licence's own words."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    head = quoted("^[[:space:]/*#;|!<>%\"'.-]*")
+    head, remark = "^[[:space:]/*#;|!<>%\"'.-]*", "(rem|dnl)([^a-z0-9_]|$)"
     starts = [r"copyright[ \t:]*([(]c[)]|©|&copy;|[0-9]|<|\[|[{])", r"([(]c[)]|©|&copy;)[ \t]*(copyright|[0-9])", r"copyright[ \t]+[a-z]", r"all rights reserved[[:space:].!]*$"]
     own = rf"^copyright[ \t]+({_OWN_WORDS.replace('?:', '')})([^0-9a-z_]|$)"
-    bare = f"regexp_replace(l, {head}, '')"
-    notice = f"(regexp_matches({bare}, {quoted('^(' + '|'.join(starts) + ')')}) AND NOT (regexp_matches({bare}, {quoted(own)})))"
-    lines = f"list_transform(string_split(lower(text), chr(10)), lambda l: CASE WHEN {notice} THEN '' ELSE regexp_replace(l, {head[:-1]}[(]?([0-9][0-9]?|[a-z])[.)]([ \\t])', '\\2') END)"
+    item = r"[(]?([0-9][0-9]?|[a-z])[.)]([ \t])"
+    known = "|".join(first_words())
+    plain = f"string_split(lower(translate(text, {quoted(FROM)}, {quoted(TO)})), chr(10))"
+    bare = f"regexp_replace(regexp_replace(regexp_replace(l, {quoted(head)}, ''), {quoted('^' + remark)}, '\\2'), {quoted(head)}, '')"
+    notice = f"(regexp_matches(l, {quoted('^(' + '|'.join(starts) + ')')}) AND NOT (regexp_matches(l, {quoted(own)})))"
+    stop = f"(l = '' OR regexp_matches(l, {quoted('^(' + item[:-1] + '[ ' + chr(92) + 't]*))?(' + known + ')([^a-z0-9_]|$)')}))"
+    after = "(i > {0} AND noticed[i - {0}])"
+    goes_on = f"NOT stops[i] AND ({after.format(1)} AND (empty[i + 1] OR (NOT stops[i + 1] AND empty[i + 2])) OR {after.format(2)} AND NOT stops[i - 1] AND empty[i + 1])"
+    marked = f"regexp_replace(regexp_replace(lines[i], {quoted(head + remark)}, '\\2'), {quoted(head + item)}, '\\2')"
+    lines = f"list_transform(range(1, len(lines) + 1), lambda i: CASE WHEN noticed[i] OR coalesce({goes_on}, false) THEN '' ELSE {marked} END)"
+
+    def with_lines(source: str, keep: str) -> str:
+        flags = f"SELECT *, list_transform(bare, lambda l: {notice}) AS noticed, list_transform(bare, lambda l: {stop}) AS stops, list_transform(bare, lambda l: l = '') AS empty"
+        return f"(SELECT {keep}, {lines} AS kept FROM ({flags} FROM (SELECT *, list_transform(lines, lambda l: {bare}) AS bare FROM (SELECT *, {plain} AS lines FROM {source}))))"
+
     single = ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in SPELLINGS.items() if " " not in a)
     words = f"list_transform(list_filter(regexp_split_to_array(l, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+'), lambda w: w <> ''), lambda w: coalesce(element_at(MAP {{{single}}}, w)[1], w))"
     line = f"'  ' || array_to_string({words}, '  ') || '  '"
@@ -229,15 +291,15 @@ def _sql() -> str:
         if " " in old:
             line = f"replace({line}, {quoted('  ' + old.replace(' ', '  ') + '  ')}, {quoted('  ' + new + '  ')})"
     flat = "trim(regexp_replace({}, '[ ]+', ' ', 'g'))"
-    canon = f"list_transform({lines}, lambda l: {flat.format(line)})"
+    canon = f"list_transform(kept, lambda l: {flat.format(line)})"
     joined = flat.format("array_to_string({}, ' ')")
     values = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in known_texts())
     return f"""
 WITH known AS (
   SELECT sha256(c) AS digest, min(license) AS license
-  FROM (SELECT license, {joined.format('c')} AS c FROM (SELECT license, {canon} AS c FROM (VALUES {values}) AS k(license, text)))
+  FROM (SELECT license, {joined.format('c')} AS c FROM (SELECT license, {canon} AS c FROM {with_lines(f"(VALUES {values}) AS k(license, text)", "license")}))
   WHERE c <> '' GROUP BY 1),
-docs AS (SELECT doc_id, row, c, sha256({joined.format('c')}) AS text_digest FROM (SELECT doc_id, row_number() OVER () AS row, {canon} AS c FROM documents)),
+docs AS (SELECT doc_id, row, c, sha256({joined.format('c')}) AS text_digest FROM (SELECT doc_id, row_number() OVER () AS row, {canon} AS c FROM {with_lines("documents", "doc_id")})),
 lines AS (SELECT DISTINCT row, sha256(line) AS digest FROM (SELECT row, unnest(c) AS line FROM docs)),
 found AS (SELECT row, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM lines JOIN known USING (digest) GROUP BY row)
 SELECT d.doc_id, d.text_digest, k.license, f.notices
