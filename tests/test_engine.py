@@ -1,4 +1,7 @@
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from weftline.functions.actions import Actions
 from weftline.model import mapping as maps
 from weftline.plans.compile import Compiler, Trust
 from weftline.plans.operations import parse
-from weftline.sources.catalog import JdbcCatalog, ParquetCatalog, SessionCatalog
+from weftline.sources.catalog import JdbcCatalog, JdbcTables, ParquetCatalog, SessionCatalog
 from weftline.sources.store import Store
 from weftline.star import CASTS, library, star_engine, star_mapping
 from weftline.streaming.query import stream_query
@@ -265,6 +268,45 @@ def test_results_are_whole_unless_a_caller_asks_otherwise(spark):
     assert "o_orderkey" in r.log[0]["plan"]
 
 
+def test_lazy_results_are_the_same_text(engine):
+    batch = [{"op": "query", "entity": "Book"}, {"op": "query", "entity": "Book", "filters": {"title": "none"}}, {"op": "query", "entity": "Book", "aggregate": {"fn": "count"}}, {"op": "query", "entity": "Book", "fields": ["title", "pages"], "filters": {"title": "title 1"}}, {"op": "query", "entity": "Book", "fields": ["title"]}]
+    plain, lazy = engine.execute(batch), engine.execute(batch, lazy=True)
+    assert lazy.text == plain.text
+    assert lazy.text == lazy.text
+    assert [list(e["result"]) for e in lazy.log] == [e["result"] for e in plain.log]
+    assert len(lazy.log[0]["result"]) == 3
+    gone = engine.execute([{"op": "update", "entity": "Book", "data": {"pages": 5}}, book("gone"), {"op": "delete", "entity": "Book", "filters": {"title": "gone"}}, {"op": "delete", "entity": "Book", "filters": {"title": "gone"}}], lazy=True)
+    assert gone.ok
+    assert gone.text.endswith("Deleted 0 Book record(s).")
+    assert [len(list(e["result"]["returned_data"])) for e in gone.log] == [3, 1, 1, 0]
+    assert not engine.execute([{"op": "query", "entity": "Film"}], lazy=True).ok
+
+
+def test_a_large_result_passes_a_small_driver(spark, tmp_path):
+    """All of lineitem as text, a partition at a time, by a driver of 512 MB that couldn't hold it as rows."""
+    lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    lines.repartition(32).write.parquet(str(tmp_path / "lineitem.parquet"))
+    script = tmp_path / "large.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.driver.memory", "512m").config("spark.driver.maxResultSize", "64m").config("spark.ui.enabled", "false").getOrCreate()
+from weftline.star import star_engine
+r = star_engine(spark, {str(tmp_path)!r}).execute([{{"op": "query", "entity": "LineItem"}}], lazy=True)
+n, size = 0, 0
+for piece in r.pieces():
+    n, size = n + piece.count('"l_orderkey"'), size + len(piece)
+import resource
+print(n, size, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+""")
+    out = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=600)
+    n, size, most = map(int, out.stdout.split())
+    assert n == lines.count()
+    assert size > 100_000_000
+    assert most < 512
+
+
 @pytest.mark.parametrize("op", [
     {"op": [], "entity": "Book"},
     {"op": "query", "entity": []},
@@ -333,6 +375,23 @@ def test_vacuum_spares_what_a_transaction_has_staged(engine):
     assert engine.source.table("lib_books").where("pages = 77").count() == 1
 
 
+def test_jdbc_tables_aggregate_in_the_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db2;create=true"
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    orders.write.format("jdbc").option("url", url).option("dbtable", "orders").option("createTableColumnTypes", "o_orderstatus varchar(20), o_orderpriority varchar(20)").save()
+    engine = Engine(spark, star_mapping(), JdbcTables(spark, url, "APP", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, upper=True))
+    for ask, pushed, want in (
+        ({"aggregate": {"fn": "count"}}, "COUNT(*)", orders.count()),
+        ({"aggregate": {"fn": "max", "field": "total"}, "filters": {"status": "F"}}, 'MAX("o_totalprice")', orders.where("o_orderstatus = 'F'").agg(F.max("o_totalprice")).first()[0]),
+        ({"aggregate": {"fn": "sum", "field": "order_key"}}, 'SUM("o_orderkey")', orders.agg(F.sum("o_orderkey")).first()[0]),
+    ):
+        df = engine.frame({"op": "query", "entity": "Order", **ask})
+        assert f"PushedAggregates: [{pushed}]".replace('"', "") in plan_of(df).replace('"', "")
+        assert df.first()[0] == want
+    top = engine.frame({"op": "query", "entity": "Order", "sort": {"field": "order_key", "dir": "desc"}, "limit": 3, "fields": ["order_key"]})
+    assert [r[0] for r in top.collect()] == [r[0] for r in orders.orderBy(F.desc("o_orderkey")).limit(3).select("o_orderkey").collect()]
+
+
 def test_jdbc_catalog(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     nation = spark.read.parquet(f"{SF}/nation.parquet")

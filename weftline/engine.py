@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import copy
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +28,29 @@ from .sources.store import Store, Transaction
 
 @dataclass
 class Result:
-    """What a batch gave: text for a caller that reads, frames and rows for one that computes."""
+    """What a batch gave: text for a caller that reads, frames and rows for one that computes.
 
-    text: str
+    Of a lazy batch ``parts`` makes the text when ``pieces`` asks for it, and rows are handles (``functions.text.Rows``).
+    """
+
+    said: str | None
     ok: bool
     log: list[dict] = field(default_factory=list)
+    parts: list = field(default_factory=list)
+
+    def pieces(self) -> Iterator[str]:
+        """The text, in pieces that a caller may write one by one."""
+        if self.said is not None:
+            yield self.said
+            return
+        for i, part in enumerate(self.parts):
+            if i:
+                yield "\n"
+            yield from ([part] if isinstance(part, str) else part())
+
+    @property
+    def text(self) -> str:
+        return "".join(self.pieces())
 
 
 @dataclass
@@ -109,13 +129,16 @@ class Engine:
         t = self.mapping.table(entity)
         return self.source.table(t.name).orderBy(t.primary_key).limit(n)
 
-    def execute(self, batch: list[dict], identity=None) -> Result:
-        """Run all operations, or none if one fails.  Failures are text, never exceptions."""
+    def execute(self, batch: list[dict], identity=None, lazy: bool = False) -> Result:
+        """Run all operations, or none if one fails.  Failures are text, never exceptions.
+
+        With ``lazy`` no result is brought to the driver before it is asked for, whatever its size.
+        """
         errors = validate(batch, self.mapping, self.actions)
         if errors:
             return Result(say.invalid_text(errors), False)
         tx = self.begin()
-        run = _Run(self, tx, self.scope(identity), identity)
+        run = _Run(self, tx, self.scope(identity), identity, lazy)
         texts, log = [], []
         operations = [parse(raw) for raw in copy.deepcopy(batch)]
         together = Together(run)
@@ -147,7 +170,7 @@ class Engine:
             except Exception as e:
                 tx.rollback()
                 return Result(say.failed_text(len(batch), _short(e), len(batch) - 1), False, log)
-        return Result("\n".join(texts), True, log)
+        return Result(None, True, log, texts) if lazy else Result("\n".join(texts), True, log)
 
 
 def plan_text(frame: DataFrame | None) -> str | None:
@@ -161,7 +184,8 @@ def _short(e: Exception) -> str:
 
 
 class _Run:
-    def __init__(self, engine: Engine, tx: Transaction | None, scope: Scope | None, identity):
+    def __init__(self, engine: Engine, tx: Transaction | None, scope: Scope | None, identity, lazy: bool = False):
+        self.lazy = lazy
         self.engine, self.tx, self.scope, self.identity, self.mapping = engine, tx, scope, identity, engine.mapping
 
     def table(self, name: str) -> DataFrame:
@@ -183,6 +207,9 @@ class _Run:
     def operation(self, op) -> tuple[str, dict]:
         if isinstance(op, Query):
             df = self.engine.compiler(self.tx, self.scope).query(op)
+            if self.lazy:
+                rows = say.Rows(df)
+                return partial(say.query_pieces, op.entity, rows), {"frame": df, "result": rows}
             rows, total = self.rows(df)
             return say.query_text(op.entity, rows, total), {"frame": df, "result": rows, "total": total}
         if isinstance(op, Call):
@@ -281,6 +308,9 @@ class _Run:
         if values and self.scope and t.name in self.scope.paths and self.scope.paths[t.name][0].fk_column in values and self.scope.within(result, t.name, self.table).count() < result.count():
             raise CompileError(f"the {op.entity} would go outside what the identity may write")
         affected = result.count()
+        if self.lazy:
+            rows = say.Rows(result)
+            return partial(say.write_pieces, op.op, op.entity, affected, rows), {"frame": result, "result": {"success": True, "rows_affected": affected, "returned_data": rows}}
         rows, _ = self.rows(result)
         return say.write_text(op.op, op.entity, affected, rows), {"frame": result, "result": {"success": True, "rows_affected": affected, "returned_data": rows}}
 

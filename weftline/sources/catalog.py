@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,23 @@ class JdbcCatalog:
             column, lower, upper, n = self.partition[name]
             reader = reader.option("partitionColumn", column).option("lowerBound", lower).option("upperBound", upper).option("numPartitions", n)
         return reader.load()
+
+
+class JdbcTables:
+    """Tables of a database schema as a catalog of the session, so that aggregates, limits and sorts with a limit run there too.
+
+    A table is read by one connection: this is for questions that the database answers shortly; ``JdbcCatalog`` reads in parallel.
+    ``limits`` is for databases whose dialect in Spark writes limits; Derby's doesn't, and would give all rows.
+    """
+
+    def __init__(self, spark: SparkSession, url: str, schema: str, options: dict | None = None, upper: bool = False, limits: bool | None = None):
+        self.spark, self.schema, self.upper = spark, schema, upper
+        self.name = f"weftline_{uuid.uuid4().hex}"
+        limits = not url.startswith("jdbc:derby:") if limits is None else limits
+        pushed = {f"pushDown{what}": str(on).lower() for what, on in (("Aggregate", True), ("Limit", limits), ("Offset", limits), ("TableSample", False))}
+        spark.conf.set(f"spark.sql.catalog.{self.name}", "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+        for key, value in {"url": url, **pushed, **(options or {})}.items():
+            spark.conf.set(f"spark.sql.catalog.{self.name}.{key}", value)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.name}.`{self.schema}`.`{name.upper() if self.upper else name}`")
