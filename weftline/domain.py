@@ -140,11 +140,13 @@ def install(spark: SparkSession, made: dict, root: str, seed_text: str | None =
     return store
 
 
-def engine(spark: SparkSession, domain: Domain, root: str, source: str | None = None, **options) -> Engine:
-    """The domain's mapping, actions and ownership over a store."""
+def engine(spark: SparkSession, domain: Domain, root: str, source: str | None = None, transitive: bool = False, **options) -> Engine:
+    """The domain's mapping, actions and ownership over a store; ``transitive`` scopes tables by chains of keys too."""
     at, ontology = domain.source(source), onto.load(domain.ontology)
     mapping = maps.load(at.mapping, ontology)
     owned = maps.ownership(mapping, domain.identity_entity) if domain.identity_entity else {}
+    if transitive and domain.identity_entity:
+        options["paths"] = maps.owner_paths(mapping, domain.identity_entity)
     actions = Actions()
     actions.load(domain.folder / "actions")
     return Engine(spark, mapping, Store(spark, root), actions, owned, **options)
