@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import StoreError, WeftlineError
 from ..functions.literals import coerce
-from ..sources import inserts
+from ..sources import insert_files, inserts
 from ..sources.constraints import check_rows
 from ..sources.store import Store, Transaction
 from .schema import struct_of
@@ -120,3 +123,60 @@ def check_inserts(store: Store, text: str) -> list[str]:
         return [str(e)]
     finally:
         tx.rollback()
+
+
+def _typed(tx: Transaction, name: str, rows: DataFrame, columns: set[str]) -> DataFrame:
+    """Rows of literals as rows of a table, with defaults and next keys as ``_stage`` gives them."""
+    schema, entry = tx.schema(name), tx.entry(name)
+    unknown = sorted(columns - set(schema.names))
+    if unknown:
+        raise StoreError(f"{name} has no column {', '.join(unknown)}")
+    defaults = {"created_at": "2024-01-01T00:00:00"} | entry["constraints"].get("defaults", {})
+    given = F.map_from_arrays("columns", "literals")
+    value = lambda c: F.when(F.array_contains("columns", c), F.element_at(given, F.lit(c))).otherwise(F.lit(defaults.get(c)).cast("string"))
+    rows = rows.select("path", "start", "at", "n", *[value(f.name).alias(f.name) for f in schema.fields])
+    key = entry["primary_key"]
+    if key in schema.names and not isinstance(schema[key].dataType, T.StringType):
+        # numbers in order, by split and then over splits, of which there is a row each
+        lacks = F.col(key).isNull()
+        number = F.sum(lacks.cast("long")).over(Window.partitionBy("path", "start").orderBy("at", "n"))
+        splits = rows.groupBy("path", "start").agg(F.sum(lacks.cast("long")).alias("_lack"))
+        before = F.coalesce(F.sum("_lack").over(Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        splits = splits.select("path", "start", before.alias("_before"))
+        rows = rows.withColumn("_number", number).join(splits, ["path", "start"])
+        rows = rows.withColumn(key, F.coalesce(key, (F.lit(entry["next_key"] - 1) + F.col("_before") + F.col("_number")).cast("string")))
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def load_insert_files(store: Store, path: str) -> int:
+    """Run the INSERT statements of text files as one commit, read by Spark's tasks whatever their size; how many there were.
+
+    A table's rows are checked together, tables in the order of their first rows.
+    """
+    with store.transaction() as tx:
+        scratch = []
+
+        def save(df: DataFrame, name: str) -> DataFrame:
+            scratch.append(tx.folder(f"text-{name}"))
+            df.write.parquet(scratch[-1])
+            return store.spark.read.schema(df.schema).parquet(scratch[-1])
+
+        try:
+            rows, statements = insert_files.read(store.spark, path, save)
+        except PySparkException as e:  # a task's error comes as text
+            said = re.search(r"StoreError: (.*)", str(e))
+            raise StoreError(said[1] if said else str(e).split("\n", 1)[0]) from e
+        wrong = rows.where("size(columns) <> size(literals)").select("name").limit(1).collect()
+        if wrong:
+            raise StoreError(f"a row of {wrong[0][0]} has not as many values as columns")
+        heads = rows.groupBy("name").agg(F.min(F.struct("path", "start", "at", "n")).alias("first"), F.array_distinct(F.flatten(F.collect_set("columns"))).alias("columns"))
+        for r in heads.orderBy("first").collect():
+            typed = _typed(tx, r["name"], rows.where(F.col("name") == r["name"]), set(r["columns"]))
+            try:
+                new = tx.append(r["name"], typed)
+            except PySparkException as e:  # a literal that is none of its column's type
+                raise StoreError(f"{r['name']}: {str(e).split(chr(10), 1)[0]}") from e
+            check_rows(tx, r["name"], new)
+        for folder in scratch:
+            tx.discard(folder)
+        return statements

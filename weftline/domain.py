@@ -127,14 +127,16 @@ def design(domain: Domain, source: str | None = None, write: bool = True) -> dic
     return made
 
 
-def install(spark: SparkSession, made: dict, root: str, seed_text: str | None = None, replace: bool = False, rows: int | None = None) -> Store:
-    """A store with the schema's tables, seeded from INSERT text or by rule (``rows`` each)."""
+def install(spark: SparkSession, made: dict, root: str, seed_text: str | None = None, replace: bool = False, rows: int | None = None, seed_files: str | None = None) -> Store:
+    """A store with the schema's tables, seeded from INSERT text, from files of it (of any size) or by rule (``rows`` each)."""
     store = Store(spark, root)
     if replace:
         store.drop()
     store.create(schema.store_tables(made))
     if seed_text is not None:
         seed.load_inserts(store, seed_text)
+    elif seed_files is not None:
+        seed.load_insert_files(store, seed_files)
     elif rows:
         seed.fill(store, made, rows)
     return store

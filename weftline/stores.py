@@ -9,7 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .design import seed
 from .engine import Engine
 from .errors import ConstraintViolation, StoreError
 from .functions.actions import Actions
@@ -116,6 +118,27 @@ def _two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _plain(store.table("customer"))
 
 
+def insert_text(df: DataFrame, table: str, path: str, every: int = 1000) -> None:
+    """A table as INSERT statements of ``every`` rows, a row a line, in text files."""
+    literal = lambda f: F.coalesce(F.concat(F.lit("'"), F.replace(F.col(f.name).cast("string"), F.lit("'"), F.lit("''")), F.lit("'")) if not isinstance(f.dataType, T.NumericType) else F.col(f.name).cast("string"), F.lit("NULL"))
+    row = F.concat(F.lit("("), F.concat_ws(", ", *[literal(f) for f in df.schema.fields]), F.lit(")"))
+    head = F.lit(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES\n")
+    place = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    lines = df.withColumn("_place", F.monotonically_increasing_id()).select(F.when(place == 0, F.concat(head, row)).when(place % every == 0, F.concat(F.lit(";\n"), head, row)).otherwise(F.concat(F.lit(", "), row)))
+    lines.write.text(path)
+
+
+def _from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem written as INSERT text and loaded from it."""
+    lines = ParquetCatalog(spark, sf_dir, CASTS).table("lineitem")
+    root = _root(spark, "text")
+    insert_text(lines.repartitionByRange(FILES, "l_orderkey"), "lineitem", f"{root}/text")
+    store = Store(spark, f"{root}/store")
+    store.create([{"name": "lineitem", "schema": lines.schema, "constraints": {"not_null": ["l_orderkey"]}}])
+    seed.load_insert_files(store, f"{root}/text")
+    return _plain(store.table("lineitem"))
+
+
 _SEVEN = "EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey = 7)"
 _LATE = "CASE WHEN o_orderstatus = 'F' THEN 'late' ELSE o_orderpriority END AS o_orderpriority"
 _STATUS = f"CASE WHEN {_SEVEN} THEN 'Z' ELSE l_linestatus END AS l_linestatus"
@@ -141,6 +164,7 @@ STORES: dict[str, tuple[Callable, str]] = {
     "w_delete_two_hops": (_after(("orders", "lineitem"), [[{"op": "delete", "entity": "LineItem", "filters": {"return_flag": "N"}}]], "lineitem", 7), f"SELECT {_LINES} FROM lineitem WHERE NOT (l_returnflag = 'N' AND {_SEVEN})"),
     "x_action_writes": (_acted([]), f"SELECT {_ORDERS.replace('o_orderpriority', _LATE)} FROM orders"),
     "x_action_undone": (_acted([{"op": "update", "entity": "Customer", "data": {"customer_key": 1}}], refused="customer.c_custkey must be unique"), f"SELECT {_ORDERS} FROM orders"),
+    "i_text_at_scale": (_from_text, f"SELECT {_LINES} FROM lineitem"),
     "b_two_writers": (_two_writers, f"SELECT {_CUSTOMER.replace('c_name', _WRITER)} FROM customer"),
 }
 
