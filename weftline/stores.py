@@ -102,6 +102,14 @@ def _acted(then: list[dict], refused: str = "") -> Callable:
     return run
 
 
+def _link_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 40 links and 20 unlinks between parts and suppliers."""
+    store = ranged_store(spark, sf_dir, "part", "supplier", "lineitem")
+    link = lambda op, i: {"op": op, "relation": "suppliedBy", "from": {"entity": "Part", "filters": {"part_key": i}}, "to": {"entity": "Supplier", "filters": {"supplier_key": i % 10}}}
+    _run(ranged_engine(spark, store), [*(link("link", i) for i in range(40)), *(link("unlink", i) for i in range(0, 40, 2))])
+    return store.table("lineitem").select("l_partkey", "l_suppkey")
+
+
 def _two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two writers of different files both commit; a third that read what they wrote doesn't."""
     store = ranged_store(spark, sf_dir, "customer")
@@ -164,6 +172,10 @@ STORES: dict[str, tuple[Callable, str]] = {
     "w_delete_two_hops": (_after(("orders", "lineitem"), [[{"op": "delete", "entity": "LineItem", "filters": {"return_flag": "N"}}]], "lineitem", 7), f"SELECT {_LINES} FROM lineitem WHERE NOT (l_returnflag = 'N' AND {_SEVEN})"),
     "x_action_writes": (_acted([]), f"SELECT {_ORDERS.replace('o_orderpriority', _LATE)} FROM orders"),
     "x_action_undone": (_acted([{"op": "update", "entity": "Customer", "data": {"customer_key": 1}}], refused="customer.c_custkey must be unique"), f"SELECT {_ORDERS} FROM orders"),
+    "w_link_runs": (
+        _link_runs,
+        "SELECT l_partkey, l_suppkey FROM lineitem WHERE NOT (l_partkey < 40 AND l_partkey % 2 = 0 AND l_suppkey = l_partkey % 10) UNION ALL SELECT i, i % 10 FROM range(1, 40, 2) AS t(i) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = i AND l_suppkey = i % 10)",
+    ),
     "i_text_at_scale": (_from_text, f"SELECT {_LINES} FROM lineitem"),
     "b_two_writers": (_two_writers, f"SELECT {_CUSTOMER.replace('c_name', _WRITER)} FROM customer"),
 }
