@@ -291,7 +291,7 @@ def test_a_large_result_passes_a_small_driver(spark, tmp_path):
 import sys
 sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local[2]").config("spark.driver.memory", "512m").config("spark.driver.maxResultSize", "64m").config("spark.ui.enabled", "false").getOrCreate()
+spark = SparkSession.builder.master("local[2]").config("spark.driver.memory", "512m").config("spark.driver.maxResultSize", "64m").config("spark.ui.enabled", "false").config("spark.sql.files.maxPartitionBytes", "1m").getOrCreate()
 from weftline.star import star_engine
 r = star_engine(spark, {str(tmp_path)!r}).execute([{{"op": "query", "entity": "LineItem"}}], lazy=True)
 n, size = 0, 0
@@ -301,6 +301,7 @@ import resource
 print(n, size, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
 """)
     out = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
     n, size, most = map(int, out.stdout.split())
     assert n == lines.count()
     assert size > 100_000_000

@@ -1,5 +1,7 @@
 """Runs of like operations against the same operations one by one."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def test_a_run_says_and_does_what_its_operations_would(spark, tmp_path, monkeypa
 
 
 def jobs(spark, what):
-    tracker, group = spark.sparkContext.statusTracker(), f"jobs-{id(what)}"
+    tracker, group = spark.sparkContext.statusTracker(), f"jobs-{uuid.uuid4().hex}"
     spark.sparkContext.setJobGroup(group, "")
     what()
     found = len(tracker.getJobIdsForGroup(group))
