@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import textwrap
 from pathlib import Path
@@ -62,7 +63,7 @@ def test_warc_files_are_warc(spark, tmp_path):
     scratch = Scratch(spark, "t")
     df = spark.createDataFrame([(1, "http://a", "héllo"), (2, "http://b", "héllo")], "page_id long, url string, html string")
     warc.write(df, str(tmp_path / "w"), scratch)
-    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
     records = list(warc.parse([raw[i : i + 7] for i in range(0, len(raw), 7)]))
     assert sorted(h["warc-type"] for h, _ in records) == ["metadata", "metadata", "request", "request", "response", "revisit"]
     response = next(h for h, _ in records if h["warc-type"] == "response")
@@ -85,6 +86,35 @@ def test_warc_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
     assert sorted(r["request"]["target_uri"] for r in got.values()) == sorted(f"http://{i}" for i in range(60))
 
 
+def test_warc_records_are_members_of_their_own(spark, tmp_path):
+    noise = random.Random(3).randbytes(9 << 20).hex()  # 18 MiB: the member's last byte is not zero
+    df = spark.createDataFrame([(1, "http://a", "héllo"), (2, "http://b", noise), (3, "http://c", "")], "page_id long, url string, html string")
+    warc.write(df, str(tmp_path / "w"), Scratch(spark, "t"))
+    places = run(warc.index(spark, str(tmp_path / "w")))
+    files = {p: open(p.removeprefix("file:"), "rb").read() for p in {r["path"] for r in places}}
+    bodies = {}
+    for r in places:
+        one = list(warc.parse([gzip.decompress(files[r["path"]][r["offset"] : r["offset"] + r["length"]])]))
+        assert [h["warc-record-id"] for h, _ in one] == [r["record_id"]]
+        bodies[r["record_type"], r["target_uri"]] = one[0][1].partition(b"\r\n\r\n")[2]
+    assert len(places) == 9
+    assert bodies["response", "http://b"] == noise.encode()
+    assert bodies["response", "http://a"] == "héllo".encode()
+    # members follow each other without anything between, but for the empty one after the long record
+    for path, raw in files.items():
+        mine = sorted((r["offset"], r["length"]) for r in places if r["path"] == path)
+        gaps = [b - a - n for (a, n), (b, _) in zip(mine, [*mine[1:], (len(raw), 0)], strict=True)]
+        assert sorted(set(gaps)) in ([0], [0, len(gzip.compress(b""))])
+    assert len(run(warc.read(spark, str(tmp_path / "w")))) == 9
+
+
+def test_warc_archive_cut_short_is_refused(tmp_path):
+    whole = warc.member(b"WARC/1.1\r\nContent-Length: 0\r\n\r\n" + warc.END)
+    assert len(list(warc.parse(warc._inflated(whole * 3)))) == 3
+    with pytest.raises(ValueError, match="inside a member"):
+        list(warc.parse(warc._inflated(whole[:-4])))
+
+
 def test_warc_query_reads_its_requests(spark):
     text = warc.op1_warc_transactions(spark, SF)
     assert "request_uri" in text.columns

@@ -1,26 +1,28 @@
 """WARC archives: writing, reading, and assembly of transactions.
 
-Writing goes through Spark's text writer: a record's headers and body are one string, and
-``\\r\\n\\r\\n``, which ends every record, is the line separator, so any storage Spark knows can hold
-the archives and a lost task is written again.  Records are put together to lines of about LINE_BYTES and these to files of
+Every record is a gzip member of its own, so that it can be read from its offset alone.  Writing goes through Spark's text writer, which puts
+bytes out as they are, so any storage Spark knows can hold the archives and a lost task is written again.  The writer ends each line with a separator, here a
+zero byte: a member ends with the length of what it holds, smallest byte first, and below 16 MiB the last one is zero, so it is left to the
+writer.  A longer record is followed by a member that holds nothing.  Members are put together to lines of about LINE_BYTES of records and these to files of
 LINES_PER_FILE, so a file holds some hundred megabytes and its last record at most, whatever the pages' sizes.  Each page gives three records of
 one transaction: a request, a response (or, where the same payload is stored already, a
 revisit that refers to it), and a metadata record; request and metadata name the capture
 in WARC-Concurrent-To.
 
-Reading takes whole files as bytes, inflates them piece by piece and cuts records by
-Content-Length, so payloads may hold anything.  Assembly joins the records
+Reading takes whole files as bytes, of one member or many, inflates them piece by piece and cuts records by
+Content-Length, so payloads may hold anything.  ``index`` lists where each record's member stands.  Assembly joins the records
 of one transaction through their concurrent-to identifiers into one nested row per capture.
 
 Defined results: a null html is an empty payload; a null url is an empty one; of equal payloads
 the row with the largest page_id is the response, a null page_id being smallest and equal ones
 decided by their place in the input; every row of the input, repeated or not, is a capture;
 requests and metadata without a capture are left out, and of several requests of a
-capture the smallest identifier counts; an empty table gives an empty archive; other columns are ignored.
+capture the smallest identifier counts; a capture's metadata records are one list in its row, however many name it; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import gzip
 import zlib
 
 import pyarrow as pa
@@ -35,13 +37,17 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2024-01-01T00:00:00Z"
 #: What follows every record.
 END = b"\r\n\r\n"
+#: The last byte of a member whose record is shorter than 16 MiB, which the text writer puts after each line.
+SEPARATOR = b"\0"
 #: Bytes of records that are written as one line, and lines of a file.
 LINE_BYTES = 8 << 20
 LINES_PER_FILE = 16
 #: Payloads of at least this many bytes are stored once.
 LEAST_PAYLOAD = 0
-#: Compressed bytes given to the inflater at once.
-PIECE = 1 << 20
+#: Compressed bytes given to the inflater at once; many members' bytes, as what follows one is copied.
+PIECE = 1 << 16
+#: Payload bytes of a batch of records that were read.
+READ_BYTES = 1 << 20
 
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, headers map<string,string>, payload binary"
 
@@ -62,7 +68,9 @@ def _record(kind: str, record_id, uri, body, *headers) -> F.Column:
 
 
 def write(pages: DataFrame, path: str, scratch: Scratch, codec: str = "gzip") -> None:
-    """Archive every row of ``pages`` (page_id, url, html) under ``path``."""
+    """Archive every row of ``pages`` (page_id, url, html) under ``path``; ``codec`` is gzip or none."""
+    if codec not in ("gzip", "none"):
+        raise ValueError(f"archives are written with gzip or none, not {codec}")
     clean = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\\r\\n]", " ")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), clean.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
@@ -89,30 +97,39 @@ def write(pages: DataFrame, path: str, scratch: Scratch, codec: str = "gzip") ->
         capture,
         _record("metadata", name("metadata", F.col("at")), F.col("url"), F.concat(F.lit("page-id: "), page, F.lit("\r\n")), ("Content-Type", F.lit("application/warc-fields")), concurrent),
     )
-    out = rows.select(F.explode(records).alias("value")).mapInArrow(_lines(LINE_BYTES), "value string")
-    out.write.mode("overwrite").option("lineSep", END.decode()).option("compression", codec).option("maxRecordsPerFile", LINES_PER_FILE).text(path)
+    members = codec == "gzip"
+    out = rows.select(F.explode(records).alias("value")).mapInArrow(_lines(LINE_BYTES, members), "value binary").select(F.col("value").cast("string"))
+    separator = SEPARATOR if members else END
+    out.write.mode("overwrite").option("lineSep", separator.decode()).option("compression", "none").option("maxRecordsPerFile", LINES_PER_FILE).text(path)
 
 
-def _lines(limit: int):
-    """Joins records to lines of ``limit`` bytes, or of one longer record."""
+def _lines(limit: int, members: bool):
+    """Joins records, as members or as they are, to lines of ``limit`` bytes of records, or of one longer record."""
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for record in (r for part in slices(batch, 0) for r in part.column(0).cast(pa.binary()).to_pylist()):
                 if size and size + len(record) > limit:
-                    yield _line(held)
+                    yield _line(held, members)
                     held, size = [], 0
-                held.append(record)
+                held.append(member(record + END) if members else record)
                 size += len(record) + len(END)
         if held:
-            yield _line(held)
+            yield _line(held, members)
 
     return run
 
 
-def _line(records: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([END.join(records)], pa.binary()).cast(pa.string())], ["value"])
+def member(record: bytes) -> bytes:
+    """A gzip member, or two where the second holds nothing, that ends with SEPARATOR."""
+    out = gzip.compress(record, 6, mtime=0)
+    return out if out.endswith(SEPARATOR) else out + gzip.compress(b"", mtime=0)
+
+
+def _line(held: list, members: bool) -> pa.RecordBatch:
+    line = b"".join(held)[: -len(SEPARATOR)] if members else END.join(held)
+    return pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], ["value"])
 
 
 def parse(pieces):
@@ -139,13 +156,7 @@ def parse(pieces):
             if more():
                 continue
             return
-        lines = held[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record here: {lines[0][:40]!r}")
-        headers = {}
-        for line in lines[1:]:
-            name, _, value = line.partition(":")
-            headers[name.strip().lower()] = value.strip()
+        headers = _headers(held[at:end])
         size = int(headers["content-length"])
         at = end + 4
         while len(held) < at + size:
@@ -155,22 +166,66 @@ def parse(pieces):
         at += size
 
 
+def _members(raw: bytes):
+    """Members of a gzip file piece by piece: (offset, inflated bytes, length at the member's last piece and else None)."""
+    view, start, at, machine = memoryview(raw), 0, 0, zlib.decompressobj(31)
+    while at < len(raw):
+        piece = view[at : at + PIECE]
+        out = machine.decompress(piece)
+        at += len(piece) - len(machine.unused_data)
+        yield start, out, at - start if machine.eof else None
+        if machine.eof:
+            start, machine = at, zlib.decompressobj(31)
+    if start < at:
+        raise ValueError("an archive ends inside a member")
+
+
 def _inflated(raw: bytes):
     """Pieces of a file, which may be gzip of one member or many, or plain."""
-    if raw[:2] != b"\x1f\x8b":
+    if raw[:2] == b"\x1f\x8b":
+        yield from (out for _, out, _ in _members(raw) if out)
+    else:
         yield raw
-        return
-    view, at, machine = memoryview(raw), 0, zlib.decompressobj(31)
-    while at < len(raw):
-        piece = view[at : at + PIECE]
-        while piece:
-            out = machine.decompress(piece)
-            if out:
-                yield out
-            piece = machine.unused_data
-            if machine.eof:
-                machine = zlib.decompressobj(31)
-        at += PIECE
+
+
+def _headers(head: bytes) -> dict:
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"no WARC record here: {lines[0][:40]!r}")
+    fields = (line.partition(":") for line in lines[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in fields}
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each record of the archives of a member a record under ``path``: its file and its member's offset and length.
+
+    The bytes there are a gzip file of their own.  Files that are not gzip have no rows; a member that begins no record is an error unless it is empty.
+    """
+
+    def run(batches):
+        names = ["path", "offset", "length", "record_id", "record_type", "target_uri", "payload_digest"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
+        for batch in batches:
+            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw, rows, head = raw.as_py(), [], b""
+                for offset, out, length in _members(raw) if raw[:2] == b"\x1f\x8b" else ():
+                    if END not in head:
+                        head += out
+                    if length is None:
+                        continue
+                    if head:
+                        h = _headers(head.partition(END)[0])
+                        digest = h.get("warc-payload-digest", "").rpartition(":")[2] or None
+                        rows.append((file, offset, length, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), digest))
+                    head = b""
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    places = "path string, offset long, length long, record_id string, record_type string, target_uri string, payload_digest string"
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, places)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -189,7 +244,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     digest = headers.get("warc-payload-digest", "")
                     rows.append((headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), headers.get("warc-target-uri"), digest.rpartition(":")[2] or None, list(headers.items()), block))
                     size += len(block)
-                    if size > PIECE:
+                    if size > READ_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows, size = [], 0
                 if rows:
