@@ -253,15 +253,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+CAPTURE = ("record_type", "refers_to", "target_uri", "payload_digest", "payload")
+
+
+def assemble(records: DataFrame, fields: tuple = CAPTURE) -> DataFrame:
     """capture_id, request, capture, metadata: one nested row for each response or revisit.
 
-    The response side keeps its payload where it is read; the records that name it are small and meet it by
-    identifier, requests as the smallest one and metadata as a list.
+    The records that name a capture meet it by identifier, requests as the smallest one and metadata as a list.  ``fields`` are the
+    columns of ``records`` that the capture has: one who needs facts of payloads only adds them to ``records`` and leaves the payloads where they are read.
     """
     captures = records.where(F.col("record_type").isin("response", "revisit"))
-    capture = F.struct("record_type", "refers_to", "target_uri", "payload_digest", "payload")
-    captures = captures.select(F.col("record_id").alias("capture_id"), capture.alias("capture"))
+    captures = captures.select(F.col("record_id").alias("capture_id"), F.struct(*fields).alias("capture"))
     others = records.where(F.col("record_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
     is_request = F.col("record_type") == "request"
     others = others.groupBy(F.col("concurrent_to").alias("capture_id")).agg(
@@ -275,10 +277,10 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op1")
     path = scratch.path("archive")
     write(table(spark, sf_dir, "pages"), path, scratch)
-    captures = assemble(read(spark, path))
+    records = read(spark, path).withColumn("n", F.length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
+    captures = assemble(records, ("record_type", "refers_to", "n", "digest"))
     page = F.regexp_extract(F.col("metadata")[0]["payload"].cast("string"), "page-id: (-?[0-9]+)", 1)
-    payload = F.col("capture.payload")
-    captures = captures.select("capture_id", F.col("request.target_uri").alias("request_uri"), F.when(page != "", page.cast("long")).alias("page_id"), F.col("capture.record_type").alias("record_type"), F.col("capture.refers_to").alias("of"), F.length(payload).cast("long").alias("n"), base32_sha1(payload).alias("digest"))
+    captures = captures.select("capture_id", F.col("request.target_uri").alias("request_uri"), F.when(page != "", page.cast("long")).alias("page_id"), F.col("capture.record_type").alias("record_type"), F.col("capture.refers_to").alias("of"), "capture.n", "capture.digest")
     captures = scratch.save(captures, "assembled")
     # a revisit has the payload of the response it refers to
     stored = captures.where("record_type = 'response'").select(F.col("capture_id").alias("of"), F.col("page_id").alias("of_page"), F.col("n").alias("of_n"), F.col("digest").alias("of_digest"))
