@@ -108,6 +108,24 @@ def test_warc_records_are_members_of_their_own(spark, tmp_path):
     assert len(run(warc.read(spark, str(tmp_path / "w")))) == 9
 
 
+def test_warc_of_many_copies_without_broadcast(spark, tmp_path):
+    rows = [(i, f"http://{i}", f"page {i}" if i % 3 else "copy") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        warc.write(df, str(tmp_path / "w"), Scratch(spark, "t"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    records = run(warc.read(spark, str(tmp_path / "w")))
+    copies = [r for r in records if r["record_type"] == "revisit"]
+    stored = next(r["record_id"] for r in records if r["record_type"] == "response" and bytes(r["payload"]) == b"copy")
+    assert len(records) == 900
+    assert len(copies) == 99
+    assert {r["refers_to"] for r in copies} == {stored}
+    assert next(r["target_uri"] for r in records if r["record_id"] == stored) == "http://297"
+
+
 def test_warc_archive_cut_short_is_refused(tmp_path):
     whole = warc.member(b"WARC/1.1\r\nContent-Length: 0\r\n\r\n" + warc.END)
     assert len(list(warc.parse(warc._inflated(whole * 3)))) == 3

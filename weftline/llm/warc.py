@@ -75,14 +75,15 @@ def write(pages: DataFrame, path: str, scratch: Scratch, codec: str = "gzip") ->
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), clean.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     rows = scratch.save(rows, "captures", "zstd")
-    # the stored one of each digest; written, so that the join deals both sides and adaptive execution can split a hot digest
+    # the stored one of each digest that recurs: Spark broadcasts these where they are few, and no payload is moved; else the
+    # join deals both sides, and as they are written, adaptive execution can split a hot digest
     # null page_ids come first in a struct's order
-    first = scratch.save(rows.groupBy("digest").agg(F.max(F.struct("page_id", "at")).alias("first")), "first")
-    # a payload is moved with its row only as far as the files it is written to
-    rows = rows.join(first, "digest")
+    first = rows.groupBy("digest").agg(F.max(F.struct("page_id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = scratch.save(first.where("n > 1").select("digest", "first"), "first")
+    rows = rows.join(first, "digest", "left")
     name = lambda kind, at: F.concat(F.lit(f"<urn:weftline:{kind}:"), at.cast("string"), F.lit(">"))
     own, page = name("capture", F.col("at")), F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    stored = (F.octet_length("html") < LEAST_PAYLOAD) | (F.col("first.at") == F.col("at"))
+    stored = (F.octet_length("html") < LEAST_PAYLOAD) | F.col("first").isNull() | (F.col("first.at") == F.col("at"))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     status = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     http = ("Content-Type", F.lit("application/http; msgtype=response"))
