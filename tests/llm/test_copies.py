@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from weftline.llm import collision_count, common, hyperminhash, suffix_index
@@ -197,6 +198,24 @@ def test_repeats_edge_cases(spark):
     assert repeats(spark, []) == []
 
 
+def test_contexts_are_told_apart_by_128_bits():
+    data = np.random.default_rng(4).integers(97, 123, 3000, dtype=np.uint8)
+    start, windows, _, _, whole, rest = suffix_index.entries(data, np.array([1200, 3000]))
+    assert len(start) > 10
+    for a, n, x, y in zip(start.tolist(), windows.tolist(), whole.tolist(), rest.tolist(), strict=True):
+        digest = xxhash.xxh3_128_digest(data[a : a + n - 1 + suffix_index.LENGTH].tobytes())
+        assert np.array([x, y], dtype=np.int64).tobytes() == digest
+
+
+def test_repeats_of_a_document_that_is_there_many_times(spark):
+    rng = np.random.default_rng(5)
+    part = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    shared = part(230)
+    often = part(300) + shared + part(100)
+    rows = [(1, often)] * 150 + [(2, part(50) + shared + part(260)), (3, part(199)), (3, None), (4, shared[:205] + part(30)), (5, "short"), (5, "short")]
+    assert repeats(spark, rows) == brute_repeats([(i, (t or "").encode()) for i, t in rows])
+
+
 def test_repeats_in_text_with_short_periods(spark):
     rng = random.Random(4)
     noise = lambda n: "".join(rng.choice("abcdef") for _ in range(n))

@@ -5,7 +5,7 @@ strings, so equal windows pick suffixes that agree in GRAM bytes, and a run of w
 
     lead    the first 8 bytes of the suffix, as a number in the order of bytes
     gram    hash of the suffix's first GRAM bytes
-    whole   hash of all bytes that the run's windows cover
+    whole, rest   the two halves of a 128-bit hash of all bytes that the run's windows cover
     row, start, windows    where the run begins and how many windows it has, STRETCH at most
 
 Documents come in batches.  A batch's entries are sorted by suffix (its lead, then its gram) into an index of their own
@@ -16,13 +16,14 @@ are kept apart, in this batch and all later ones, and no bucket has to hold them
 merge, as digits carry in a binary counter, so each entry is rewritten a logarithmic number of times; after the
 last batch nothing is merged, since nothing will scan it.  What recurs is then taken out of all levels, each entry once.
 
-Of those entries, ones with equal ``whole`` repeat in all their windows.  The others
+Of those entries, ones with equal hashes of all their bytes repeat in all their windows.  The others
 share a suffix start but not all of the context: their bytes are fetched and the windows compared, by gram, on hashes of 128 bits.
 Windows of grams with more than HOT contexts are dealt out by window hash in packed
 blocks instead, so no task gets a whole gram.  Windows that repeat within one run, as in text with a short
 period, are told apart where the run is made.  Overlapping spans are merged by tiles of a document before
 any document's are gathered.
 
+A document that is there many times is one document where bytes are fetched, and its copies are put together before they are shuffled.
 Rows are told apart by a hash of doc_id and text; rows in whose hash unlike documents agree get another one.
 
 Strings are judged on the input and bytes counted in UTF-8.  Defined results: a null text counts as
@@ -57,8 +58,9 @@ HOT = 4096
 HOT_ENTRIES = 1000
 BLOCK_WINDOWS = 1 << 20
 
-ENTRY = "lead long, gram long, whole long, row long, start int, windows int"
+ENTRY = "lead long, gram long, whole long, rest long, row long, start int, windows int"
 KEY = ["lead", "gram"]
+CONTEXT = [*KEY, "whole", "rest"]
 
 
 def string_hashes(prefix: np.ndarray, size: int, family: int = 0) -> np.ndarray:
@@ -92,13 +94,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def entries(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Entries of joined texts that end at ``ends``: (start, windows, lead, gram hash, whole hash).
+    """Entries of joined texts that end at ``ends``: (start, windows, lead, gram hash, two halves of the whole hash).
 
     An entry with -n windows tells of n windows that repeat within one run.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return none, none, none, none, none
+        return (none,) * 6
     prefix = prefix_hashes(data)
     grams = string_hashes(prefix, gram)
     order = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
@@ -110,7 +112,7 @@ def entries(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     fresh[1:] &= (picked[1:] != picked[:-1]) | ~valid[:-1]
     start = np.flatnonzero(fresh)
     if not len(start):
-        return none, none, none, none, none
+        return (none,) * 6
     # a run goes to the next fresh window or to the last valid one
     counted = np.concatenate([[0], np.cumsum(valid)])
     windows = np.diff(np.concatenate([counted[start], [counted[-1]]]))
@@ -122,13 +124,13 @@ def entries(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
         fresh[start] = True
     view = memoryview(data)
     stop = start + windows - 1 + length
-    whole = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], dtype=np.uint64)
+    whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), dtype=np.int64)
     first = pick[start]
     lead = np.zeros(len(start), dtype=np.uint64)
     for i in range(8):
         lead = (lead << np.uint64(8)) | data[first + i]
     lead ^= np.uint64(1 << 63)  # signed numbers in the order of bytes
-    out = [start, windows, lead.view(np.int64), picked[start].view(np.int64), whole.view(np.int64)]
+    out = [start, windows, lead.view(np.int64), picked[start].view(np.int64), whole[::2], whole[1::2]]
     # equal windows of one run pick different places of one gram
     moved = np.flatnonzero((pick[1:] != pick[:-1]) & valid[1:] & ~fresh[1:]) + 1
     if len(moved):
@@ -162,8 +164,9 @@ def _chunks(sizes: list[int], limit: int = CHUNK):
 def suffixes(docs: DataFrame) -> DataFrame:
     """Entries of all texts of ``docs`` (row, text)."""
 
-    def batch_of(row, start, windows, lead, gram, whole):
-        return pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(gram, pa.int64()), pa.array(whole, pa.int64()), pa.array(row, pa.int64()), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], ["lead", "gram", "whole", "row", "start", "windows"])
+    def batch_of(row, start, windows, *hashes):
+        longs = [pa.array(np.ascontiguousarray(x), pa.int64()) for x in (*hashes, row)]
+        return pa.RecordBatch.from_arrays([*longs, pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], [*CONTEXT, "row", "start", "windows"])
 
     def run(batches):
         for batch in (part for batch in batches for part in slices(batch, 1)):
@@ -273,11 +276,11 @@ def _span_batch(row, start, stop):
 def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
     """Spans of windows that recur among entries of the same gram.
 
-    ``asked``: entries with ``hot``.  Their bytes are cut from ``docs`` and sent by
+    ``asked``: entries with ``hot``.  Their bytes are cut from ``docs``, which has each row once, and sent by
     gram; windows of hot grams as packed blocks by hash.
     """
     by_row = asked.groupBy("row").agg(F.collect_list(F.struct("gram", "start", "windows", "hot")).alias("asked"))
-    joined = docs.join(by_row, "row").groupBy("row").agg(F.first("asked").alias("asked"), F.first("text").alias("text"))  # repeated rows once
+    joined = docs.join(by_row, "row")
     names = ["hot", "key", "row", "start", "windows", "body", "more", "rows", "starts"]
     kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -422,10 +425,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) ->
         index.close()
     entry = found.where("windows > 0")
     within = found.where("windows < 0").select("row", "start", (F.col("start") - F.col("windows") - 1 + LENGTH).alias("stop"))
-    classes = entry.groupBy("lead", "gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "windows")).alias("one"))
+    classes = entry.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "windows")).alias("one"))
     classes = scratch.save(classes, "classes")
     # equal contexts: all their windows recur
-    same = entry.join(classes.where("n > 1").select("lead", "gram", "whole"), ["lead", "gram", "whole"], "left_semi")
+    same = entry.join(classes.where("n > 1").select(*CONTEXT), CONTEXT, "left_semi")
     same = same.select("row", "start", (F.col("start") + F.col("windows") - 1 + LENGTH).alias("stop"))
     # other contexts of one gram: compared window by window, one entry for each context
     grams = classes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1")
@@ -433,10 +436,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) ->
     asked = classes.join(grams, KEY).select("gram", "one.row", "one.start", "one.windows", (F.col("contexts") > HOT).alias("hot"))
     asked = scratch.save(asked, "asked")
     hot = asked.where("hot").agg(F.sum("windows").alias("w")).first()["w"] or 0
-    other = _compare_contexts(asked, docs, max(64, hot // (4 * BLOCK_WINDOWS)))
     # rows that are there twice
     twice = docs.select("row", F.octet_length("text").alias("stop")).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("stop").alias("stop")).where(f"n > 1 and stop >= {LENGTH}")
-    twice = twice.select("row", F.lit(0).alias("start"), "stop")
+    twice = scratch.save(twice.select("row", F.lit(0).alias("start"), "stop"), "twice")
+    copies = docs.join(twice.select("row"), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+    once = docs.join(twice.select("row"), "row", "left_anti").where(F.octet_length("text") >= LENGTH).unionByName(copies)
+    other = _compare_contexts(asked, once, max(64, hot // (4 * BLOCK_WINDOWS)))
     spans = scratch.save(reduce(DataFrame.unionByName, [same, within, other, twice]), "spans")
     return merged_by_tile(spans).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
