@@ -94,6 +94,22 @@ def test_group_whose_members_are_not_all_alike(spark):
     assert 1 < len({r["component_id"] for r in got}) < 60
 
 
+@pytest.mark.parametrize("sizes", [None, (16, 256)])
+def test_unlinked_near_copies_make_no_pairs(spark, monkeypatch, sizes):
+    # every two share about 69 %, so registers rule few pairs out; some have a copy
+    if sizes:
+        monkeypatch.setattr(hyperminhash, "BLOCK", sizes[0])
+        monkeypatch.setattr(hyperminhash, "BLOCK_SHINGLES", sizes[1])
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join([*base, *(f"own{i}-{j}" for j in range(20))])) for i in range(150)]
+    rows += [(i + 1000, f"{rows[i][1]} more") for i in range(0, 150, 10)]
+    scratch = Scratch(spark, "t")
+    got = hyperminhash.near_duplicates(spark.createDataFrame(rows, DOCS), scratch).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_near(rows)
+    if not sizes:  # a block to a bucket
+        assert spark.read.parquet(scratch.path("asked")).count() <= 2 * spark.read.parquet(scratch.path("rest-rows")).count()
+
+
 def test_near_copies_whatever_is_compared_first(spark):
     docs = table(spark, SF, "documents").select(F.xxhash64("doc_id").alias("doc_id"), "text", F.col("doc_id").alias("order"))
     found = lambda first: sorted(map(tuple, hyperminhash.near_duplicates(docs, Scratch(spark, "t"), first=first).collect()))

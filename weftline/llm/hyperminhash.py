@@ -14,10 +14,11 @@ No bucket is capped and none emits all its pairs:
 * in a bucket every member is compared with the smallest one, and links verified so far
   give components;
 * in a bucket that still holds several components, members outside its largest one are
-  compared, in blocks and on registers alone, with all members of other components; what comes
-  out is not pairs but which document may be linked with which component;
-* such a document meets all members of that component in blocks of bounded text, until
-  one link is verified.  Pairs inside a component can't change the result.
+  compared, in blocks and on registers alone, with all members of other components, each pair in
+  the first bucket that it shares; what comes out is not pairs but the members of a block that
+  may have a link there, each once;
+* these meet again in the same block, cut further where their texts are long, and pairs are
+  verified.  Pairs inside a component, or inside what a block's links have joined, can't change the result.
 
 A pair at the threshold misses all bands with probability below 1e-5 and fails the
 estimate with one below 1e-4.
@@ -30,6 +31,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -94,9 +97,16 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (cell(n) * cell(m)).sum((0, 1)) / 64
 
 
+@lru_cache(maxsize=4096)
+def _chance_of_powers(n: int, m: int) -> float:
+    return float(chance(np.array([2.0**n]), np.array([2.0**m]))[0])
+
+
 def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard similarity from the share of equal registers, without chance collisions."""
-    c = chance(2.0 ** np.round(np.log2(np.maximum(n, 1))), 2.0 ** np.round(np.log2(np.maximum(m, 1)))) if len(n) else np.zeros(0)
+    n, m = (np.round(np.log2(np.maximum(x, 1))).astype(np.int64) for x in (n, m))
+    kinds, at = np.unique(n * 64 + m, return_inverse=True)
+    c = np.array([_chance_of_powers(*divmod(k, 64)) for k in kinds.tolist()], dtype=np.float64)[at]
     return (equal - c) / (1 - c)
 
 
@@ -213,20 +223,45 @@ def _groups(batches, keys: list[str]):
         yield pa.Table.from_batches([p for _, p in held])
 
 
-def _in_blocks(rows: DataFrame, sizes: DataFrame, on: list[str]) -> DataFrame:
+def _in_blocks(rows: DataFrame, sizes: DataFrame, on: list[str], seed: int = 0) -> DataFrame:
     """Rows of groups, so that each odd row meets each other row in one block (i, j).
 
-    ``sizes`` has odd_blocks and blocks for each group.
+    ``sizes`` has odd_blocks and blocks for each group.  Blocks that are dealt out again need another ``seed``.
     """
     rows = rows.join(sizes, on)
-    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     odd = rows.where("odd = 1").select("*", block("odd_blocks").alias("i"), every("blocks").alias("j"))
     return odd.unionByName(rows.where("odd = 0").select("*", every("odd_blocks").alias("i"), block("blocks").alias("j")))
 
 
+class _Block:
+    """Registers and sizes of one block's rows, of which the odd ones ask the others."""
+
+    def __init__(self, group: pa.Table, percent: int):
+        self.percent, self.least, self.band = percent, floor_estimate(percent), group.column("band")[0].as_py()
+        self.odd = group.column("odd").to_numpy() == 1
+        self.rest = np.flatnonzero(~self.odd)
+        self.rep, self.n = (group.column(c).to_numpy() for c in ("rep", "n_shingles"))
+        self.comp = group.column("component").to_numpy().copy()
+        self.inner = self.comp == group.column("main").to_numpy()
+        self.reg = _registers(group.column("bands"))
+        self.keys = self.reg.view(np.int64)
+
+    def candidates(self, x: int) -> np.ndarray:
+        """Rows of other components that may be linked with x, the likeliest first, if the block's band is the first that they share."""
+        rest, n = self.rest, self.n
+        # of two documents outside the largest component the larger asks
+        ok = (self.comp[rest] != self.comp[x]) & (self.inner[rest] | (self.rep[rest] < self.rep[x]))
+        ok &= 100 * np.minimum(n[rest], n[x]) >= self.percent * np.maximum(n[rest], n[x])
+        at = rest[ok]
+        at = at[(self.keys[at] == self.keys[x]).argmax(1) == self.band]
+        guess = estimate((self.reg[at] == self.reg[x]).mean(1), n[at], np.full(len(at), n[x]))
+        return at[np.argsort(-guess, kind="stable")][: int((guess >= self.least).sum())]
+
+
 def _asked(members: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(rep, component): documents and other components that share a bucket and can hold a link.
+    """(block, band, main, odd, rep): documents of a block of a bucket that can hold links between components.
 
     ``members``: band, key, rep of all buckets with two rows or more; ``nodes``: rep, component and registers of all documents.
     """
@@ -240,75 +275,55 @@ def _asked(members: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int)
     keys = ["band", "key", "i", "j"]
     dealt = _in_blocks(rows.drop("main"), sizes, ["band", "key"]).join(nodes.select("rep", "n_shingles", "bands"), "rep")
     dealt = dealt.select(*keys, "odd", "rep", "component", "main", "n_shingles", "bands").repartition(*keys).sortWithinPartitions(*keys)
-    least = floor_estimate(percent)
 
     def run(batches):
         for group in _groups(batches, keys):
-            odd = group.column("odd").to_numpy() == 1
-            if not odd.any() or odd.all():
-                continue
-            rep, comp, n = (group.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-            reg, main = _registers(group.column("bands")), group.column("main")[0].as_py()
-            rest, found = np.flatnonzero(~odd), set()
-            for x in np.flatnonzero(odd):
-                # of two odd documents the larger asks
-                ok = (comp[rest] != comp[x]) & ((comp[rest] == main) | (rep[rest] < rep[x]))
-                ok &= 100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])
-                at = rest[ok]
-                if len(at):
-                    equal = (reg[at] == reg[x]).mean(1)
-                    at = at[estimate(equal, n[at], np.full(len(at), n[x])) >= least]
-                    found.update((int(rep[x]), int(c)) for c in np.unique(comp[at]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*sorted(found), strict=True)], ["rep", "component"])
-
-    return scratch.save(dealt.mapInArrow(run, "rep long, component long").distinct(), "asked")
+            block = _Block(group, percent)
+            met = np.zeros(len(block.odd), dtype=bool)
+            for x in np.flatnonzero(block.odd):
+                at = block.candidates(x)
+                met[at] = True
+                met[x] = len(at) > 0
+            yield from group.select([*keys, "main", "odd", "rep"]).filter(pa.array(met)).to_batches()
+
+    found = dealt.mapInArrow(run, "band int, key long, i int, j int, main long, odd int, rep long")
+    return scratch.save(found.select(F.xxhash64(*keys).alias("block"), "band", "main", "odd", "rep"), "asked")
 
 
 def _settled(asked: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int, k: int) -> DataFrame:
-    """Of the asked (rep, component), one verified link (a, b) each, where there is one.
+    """Verified links (a, b) that join all components which the asked documents can join.
 
-    A component's members and the documents that ask for it meet in blocks of bounded
-    text. In a block, pairs that the registers don't rule out are compared on all hashes of
-    their shingles, and the first that passes is confirmed on the shingles themselves.
+    They meet in parts of their block, of bounded text. There, pairs that the registers don't
+    rule out are compared on all hashes of their shingles, and those that pass are confirmed
+    on the shingles themselves, but for documents that links of the part have joined already.
     """
-    odd = asked.select(F.col("component").alias("group"), "rep", F.lit(1).alias("odd"))
-    rest = nodes.join(asked.select("component").distinct(), "component").select(F.col("component").alias("group"), "rep", F.lit(0).alias("odd"))
-    rows = odd.union(rest).join(nodes.select("rep", "n_shingles", "bands"), "rep")
-    rows = scratch.save(rows, "ask-rows")
+    rows = scratch.save(asked.join(nodes.select("rep", "n_shingles"), "rep"), "ask-rows")
     blocks = lambda side: F.ceil(F.sum(F.when(F.col("odd") == side, F.col("n_shingles"))) / BLOCK_SHINGLES).cast("int")
-    sizes = scratch.save(rows.groupBy("group").agg(blocks(1).alias("odd_blocks"), blocks(0).alias("blocks")), "ask-sizes")
-    keys = ["group", "i", "j"]
-    dealt = _in_blocks(rows, sizes, ["group"]).join(texts, "rep")
-    dealt = dealt.select(*keys, "odd", "rep", "n_shingles", "bands", "text").repartition(*keys).sortWithinPartitions(*keys)
-    least = floor_estimate(percent)
+    sizes = scratch.save(rows.groupBy("block").agg(blocks(1).alias("odd_blocks"), blocks(0).alias("blocks")), "ask-sizes")
+    keys = ["block", "i", "j"]
+    dealt = _in_blocks(rows.drop("n_shingles"), sizes, ["block"], 1).join(nodes.select("rep", "component", "n_shingles", "bands"), "rep").join(texts, "rep")
+    dealt = dealt.select(*keys, "band", "odd", "rep", "component", "main", "n_shingles", "bands", "text").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
         for group in _groups(batches, keys):
-            odd = group.column("odd").to_numpy() == 1
-            if not odd.any() or odd.all():
-                continue
-            rep, n, text = group.column("rep").to_numpy(), group.column("n_shingles").to_numpy(), group.column("text").to_pylist()
-            reg, rest, links = _registers(group.column("bands")), np.flatnonzero(~odd), []
+            block, text, links = _Block(group, percent), group.column("text"), []
+            rep, comp = block.rep, block.comp
             hashes: dict[int, np.ndarray] = {}
 
             def of(i, hashes=hashes, text=text):
                 if i not in hashes:
-                    hashes[i] = hash_shingles(word_hashes_of(text[i]), k)
+                    hashes[i] = hash_shingles(word_hashes_of(text[i].as_py()), k)
                 return hashes[i]
 
-            for x in np.flatnonzero(odd):
-                at = rest[100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])]
-                if not len(at):
-                    continue
-                guess = estimate((reg[at] == reg[x]).mean(1), n[at], np.full(len(at), n[x]))
-                own = of(x)
-                for i in at[np.argsort(-guess, kind="stable")][: int((guess >= least).sum())]:
-                    other = of(i)
+            for x in np.flatnonzero(block.odd).tolist():
+                for i in block.candidates(x).tolist():
+                    if comp[i] == comp[x]:
+                        continue
+                    own, other = of(x), of(i)
                     inter = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
-                    if 100 * inter >= percent * (len(own) + len(other) - inter) and _similar(shingle_set(text[x], k), shingle_set(text[i], k), percent):
+                    if 100 * inter >= percent * (len(own) + len(other) - inter) and _similar(shingle_set(text[x].as_py(), k), shingle_set(text[i].as_py(), k), percent):
                         links.append((int(rep[x]), int(rep[i])))
-                        break
+                        comp[comp == comp[i]] = comp[x]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*links, strict=True)], ["a", "b"])
 
