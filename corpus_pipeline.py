@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate as leaks
 from weftline.llm import hyperminhash, language_mix, packing, suffix_index
-from weftline.llm.common import Scratch, slices, table
+from weftline.llm.common import Scratch, giving_back, slices, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -69,6 +69,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     docs = suffix_index.with_rows(docs.select(COLUMNS))
     rows = docs.join(suffix_index.repeated_spans(docs, scratch), "row", "left")
 
+    @giving_back
     def cut(batches):
         for batch in (part for batch in batches for part in slices(batch, "text")):
             texts = batch.column("text").cast(pa.binary()).to_pylist()

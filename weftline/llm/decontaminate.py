@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, slices, table, word_hashes
+from .common import Scratch, giving_back, mix, slices, table, word_hashes
 
 SLOTS = 1 << 16  # 2 to the power of SLOT_BITS
 RANK = 256
@@ -82,6 +82,7 @@ def slots_of(hashes: np.ndarray) -> np.ndarray:
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold each slot's words, and all documents."""
 
+    @giving_back
     def count(batches):
         n, total = np.zeros(SLOTS + 1, dtype=np.int64), 0
         for text in (t for batch in batches for part in slices(batch, 0) for t in part.column(0).to_pylist()):
@@ -300,6 +301,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()]
         sent = spark.sparkContext.broadcast(_Index(rows, idf, row, v))
 
+        @giving_back
         def run(batches, sent=sent):
             for batch in (part for batch in batches for part in slices(batch, 1)):
                 got = [(doc_id, *m) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in sent.value.search(text)]

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, slices, table, word_hashes
+from .common import Scratch, connected_components, giving_back, slices, table, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -137,6 +137,7 @@ def sketches(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, key of the word sequence, and registers packed four to a long (null without shingles)."""
     mult = multipliers()
 
+    @giving_back
     def run(batches):
         for batch in (part for batch in batches for part in slices(batch, 1)):
             counts, keys, bands = [], [], []
@@ -170,6 +171,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     for side in "ab":
         full = full.join(reps.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("bands").alias(f"r_{side}")), side)
 
+    @giving_back
     def run(batches):
         for batch in batches:
             n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
@@ -186,6 +188,7 @@ def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, label: str, p
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("t_a")), "a")
     both = both.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("t_b")), "b")
 
+    @giving_back
     def run(batches):
         last, last_set = None, set()
         for batch in batches:
@@ -276,6 +279,7 @@ def _asked(members: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int)
     dealt = _in_blocks(rows.drop("main"), sizes, ["band", "key"]).join(nodes.select("rep", "n_shingles", "bands"), "rep")
     dealt = dealt.select(*keys, "odd", "rep", "component", "main", "n_shingles", "bands").repartition(*keys).sortWithinPartitions(*keys)
 
+    @giving_back
     def run(batches):
         for group in _groups(batches, keys):
             block = _Block(group, percent)
@@ -304,6 +308,7 @@ def _settled(asked: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scra
     dealt = _in_blocks(rows.drop("n_shingles"), sizes, ["block"], 1).join(nodes.select("rep", "component", "n_shingles", "bands"), "rep").join(texts, "rep")
     dealt = dealt.select(*keys, "band", "odd", "rep", "component", "main", "n_shingles", "bands", "text").repartition(*keys).sortWithinPartitions(*keys)
 
+    @giving_back
     def run(batches):
         for group in _groups(batches, keys):
             block, text, links = _Block(group, percent), group.column("text"), []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import giving_back, slices, table
 
 SLOTS = 1 << 16
 PER_LANGUAGE = 1000
@@ -68,6 +68,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
     least = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), F.col("text").cast("string").alias("text")))
     sample = rows.join(F.broadcast(chosen), ["key", "lang"], "left_semi").groupBy("key", "lang").agg(least.alias("one")).select("lang", "one.text")
 
+    @giving_back
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -123,6 +124,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     kinds = {"doc_id": "long", "text": "string"}
     passed = docs.select(*[F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in dict.fromkeys([*keep, "text"])])
 
+    @giving_back
     def run(batches):
         langs, log_prob = sent.value
         for batch in (part for batch in batches for part in slices(batch, "text")):

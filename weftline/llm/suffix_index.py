@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK, Scratch, hash_tables, mix, prefix_hashes, slices, table
+from .common import CHUNK, Scratch, giving_back, hash_tables, mix, prefix_hashes, slices, table
 
 LENGTH = 200
 GRAM = 64
@@ -168,6 +168,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
         longs = [pa.array(np.ascontiguousarray(x), pa.int64()) for x in (*hashes, row)]
         return pa.RecordBatch.from_arrays([*longs, pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], [*CONTEXT, "row", "start", "windows"])
 
+    @giving_back
     def run(batches):
         for batch in (part for batch in batches for part in slices(batch, 1)):
             rows, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
@@ -284,6 +285,7 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
     names = ["hot", "key", "row", "start", "windows", "body", "more", "rows", "starts"]
     kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
+    @giving_back
     def cut(batches):
         held: list[tuple] = []
         size = 0
@@ -360,6 +362,7 @@ def _compare_contexts(asked: DataFrame, docs: DataFrame, blocks: int) -> DataFra
         b = np.concatenate([a[1:], [len(r)]]) - 1
         return _span_batch(r[a], s[a], s[b] + LENGTH)
 
+    @giving_back
     def run(batches):
         small: list = []
         block: list = []
@@ -465,6 +468,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, wi
     docs = with_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     joined = docs.join(repeated_spans(docs, scratch, batches), "row", "left").select("doc_id", "text", "spans")
 
+    @giving_back
     def run(batches):
         for batch in (part for batch in batches for part in slices(batch, "text")):
             out = [[] for _ in range(6)]
