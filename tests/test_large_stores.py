@@ -8,7 +8,7 @@ from weftline.functions import text as say
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["w_compacted", "w_delete_marks", "w_update_marks", "x_action_undone"])
+@pytest.mark.parametrize("name", ["w_compacted", "w_delete_marks", "w_update_marks", "x_action_undone", "x_action_writes"])
 def test_rows_that_a_batch_wrote_stay_off_the_driver(spark, monkeypatch, name):
     """At 60 times sf0.1 an update returns 1.7 million rows of lineitem, which a driver can't hold as dicts and text."""
 
