@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ from ..sources.store import Store, Transaction
 from .schema import struct_of
 
 ROWS, PAIRS = 10, 5
+#: Heads of a table's INSERT statements up to which each has its own way to a column's literal.
+FORMS = 8
 
 
 def lookup_rows(spark: SparkSession, table: dict) -> DataFrame:
@@ -125,15 +127,25 @@ def check_inserts(store: Store, text: str) -> list[str]:
         tx.rollback()
 
 
-def _typed(tx: Transaction, name: str, rows: DataFrame, columns: set[str]) -> DataFrame:
-    """Rows of literals as rows of a table, with defaults and next keys as ``_stage`` gives them."""
+def _typed(tx: Transaction, name: str, rows: DataFrame, heads: list[str]) -> DataFrame:
+    """Rows of literals under these heads as rows of a table, with defaults and next keys as ``_stage`` gives them."""
     schema, entry = tx.schema(name), tx.entry(name)
-    unknown = sorted(columns - set(schema.names))
+    unknown = sorted({c for h in heads for c in h.split(",")[1:]} - set(schema.names))
     if unknown:
         raise StoreError(f"{name} has no column {', '.join(unknown)}")
     defaults = {"created_at": "2024-01-01T00:00:00"} | entry["constraints"].get("defaults", {})
     given = F.map_from_arrays("columns", "literals")
-    value = lambda c: F.when(F.array_contains("columns", c), F.element_at(given, F.lit(c))).otherwise(F.lit(defaults.get(c)).cast("string"))
+
+    def value(c: str) -> Column:
+        default = F.lit(defaults.get(c)).cast("string")
+        if len(heads) > FORMS:
+            return F.when(F.array_contains("columns", c), F.element_at(given, F.lit(c))).otherwise(default)
+        forms = [F.col("literals")[h.split(",")[1:].index(c)] if c in h.split(",")[1:] else default for h in heads]
+        out = forms[-1]
+        for h, form in zip(heads[:-1], forms[:-1], strict=True):
+            out = F.when(F.col("head") == h, form).otherwise(out)
+        return out
+
     rows = rows.select("path", "start", "at", "n", *[value(f.name).alias(f.name) for f in schema.fields])
     key = entry["primary_key"]
     if key in schema.names and not isinstance(schema[key].dataType, T.StringType):
@@ -166,17 +178,22 @@ def load_insert_files(store: Store, path: str) -> int:
         except PySparkException as e:  # a task's error comes as text
             said = re.search(r"StoreError: (.*)", str(e))
             raise StoreError(said[1] if said else str(e).split("\n", 1)[0]) from e
-        wrong = rows.where("size(columns) <> size(literals)").select("name").limit(1).collect()
-        if wrong:
-            raise StoreError(f"a row of {wrong[0][0]} has not as many values as columns")
-        heads = rows.groupBy("name").agg(F.min(F.struct("path", "start", "at", "n")).alias("first"), F.array_distinct(F.flatten(F.collect_set("columns"))).alias("columns"))
+        place = F.shiftleft("at", 32) + F.col("n")
+        heads = rows.groupBy("head", "path", "start").agg(F.min(place).alias("place"), F.min("size").alias("least"), F.max("size").alias("most"))
+        heads = heads.groupBy("head").agg(F.min(F.struct("path", "start", "place")).alias("first"), F.min("least").alias("least"), F.max("most").alias("most"))
+        forms: dict[str, list[str]] = {}
         for r in heads.orderBy("first").collect():
-            typed = _typed(tx, r["name"], rows.where(F.col("name") == r["name"]), set(r["columns"]))
+            name = r["head"].split(",", 1)[0]
+            if {r["least"], r["most"]} != {r["head"].count(",")}:
+                raise StoreError(f"a row of {name} has not as many values as columns")
+            forms.setdefault(name, []).append(r["head"])
+        for name, of in forms.items():
+            typed = _typed(tx, name, rows.where(F.col("head").isin(of) if len(of) <= FORMS else F.col("name") == name), of)
             try:
-                new = tx.append(r["name"], typed)
+                new = tx.append(name, typed)
             except PySparkException as e:  # a literal that is none of its column's type
-                raise StoreError(f"{r['name']}: {str(e).split(chr(10), 1)[0]}") from e
-            check_rows(tx, r["name"], new)
+                raise StoreError(f"{name}: {str(e).split(chr(10), 1)[0]}") from e
+            check_rows(tx, name, new)
         for folder in scratch:
             tx.discard(folder)
         return statements
